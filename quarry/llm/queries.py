@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.bpe import bpe_digests
 from quarry.llm.langid import language_id
+from quarry.llm.mixing import mix_documents
 from quarry.llm.secrets import secret_scan
+from quarry.llm.sharding import regular, shard, shard_sql
+
+SHARDS, GROWN = regular(24, 3, 4), regular(24, 3, 4, extra=1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,5 +30,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op6_secrets": op6_secrets, "op10_language": op10_language}
-SQL: dict[str, str] = {}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), SHARDS, GROWN)
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op9_sharding": op9_sharding, "op6_secrets": op6_secrets, "op10_language": op10_language}
+SQL: dict[str, str] = {"op9_sharding": shard_sql(SHARDS, GROWN)}
