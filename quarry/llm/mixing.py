@@ -120,7 +120,7 @@ def _part(patterns: list[tuple], supply: dict[tuple, int], quota: dict, repeats:
     return {k: edges[i ^ 1][1] for k, i in routes.items()}
 
 
-def mix(docs: DataFrame, weigh: Callable[[list], dict], sources: Column, key: Column, size: Column, carry: list[str], seed: int = 17, repeats: int = 3, region_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weigh: Callable[[list], dict], sources: Column, key: Column, size: Column, carry: list[str], seed: int = 17, repeats: int = 3, region_rows: int = 2_000) -> DataFrame:
     """Rows (row: struct of the carry columns, size, pattern, copies, source_size, target); the last two of the pattern's first source.
 
     weigh maps the ordered sources to weights; sources: array<string> of a document's sources; key: what the seeded order hashes.

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.bpe import bpe_digests
 from quarry.llm.langid import language_id
+from quarry.llm.minhash import near_duplicates
 from quarry.llm.mixing import mix_documents
 from quarry.llm.secrets import secret_scan
 from quarry.llm.sharding import regular, shard, shard_sql
@@ -22,6 +23,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -38,5 +43,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), SHARDS, GROWN)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op9_sharding": op9_sharding, "op6_secrets": op6_secrets, "op10_language": op10_language}
+QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op9_sharding": op9_sharding, "op6_secrets": op6_secrets, "op10_language": op10_language}
 SQL: dict[str, str] = {"op9_sharding": shard_sql(SHARDS, GROWN)}

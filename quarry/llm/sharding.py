@@ -106,7 +106,7 @@ def shard_sql(tree: Tree, grown: Tree) -> str:
 crc_table AS (SELECT i, list_reduce([i::UBIGINT] || [0::UBIGINT FOR _ IN range(8)], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) t(i)),
 lookup AS (SELECT list(v ORDER BY i) AS v FROM crc_table),
 texts AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
-  xor(list_reduce([4294967295::UBIGINT] || [('0x' || hex[2 * i - 1 : 2 * i])::UBIGINT FOR i IN range(1, len(hex) // 2 + 1)], lambda c, b: xor(c >> 8, v[(xor(c, b) & 255) + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  xor(list_reduce([4294967295::UBIGINT] || [('0x' || hex[2 * i - 1 : 2 * i])::UBIGINT FOR i IN range(1, len(hex) // 2 + 1)], lambda c, b: xor(c >> 8, v[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32
   FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS hex FROM documents), lookup)
 SELECT t.doc_id, t.size::BIGINT AS size, t.text_crc32, 'key' AS law, old.s AS shard,
   row_number() OVER (PARTITION BY old.s ORDER BY substr(md5(old.k || ':slot'), 1, {SLOT_DIGITS}), t.doc_id, t.size, t.text_crc32) - 1 AS slot, grown.s AS grown_shard
