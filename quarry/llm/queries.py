@@ -11,6 +11,7 @@ from quarry.llm.minhash import near_duplicates
 from quarry.llm.mixing import mix_documents
 from quarry.llm.secrets import secret_scan
 from quarry.llm.sharding import regular, shard, shard_sql
+from quarry.llm.vectors import vector_duplicates
 
 SHARDS, GROWN = regular(24, 3, 4), regular(24, 3, 4, extra=1)
 
@@ -39,9 +40,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), SHARDS, GROWN)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op9_sharding": op9_sharding, "op6_secrets": op6_secrets, "op10_language": op10_language}
+QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op7_vectors": op7_vectors, "op9_sharding": op9_sharding, "op6_secrets": op6_secrets, "op10_language": op10_language}
 SQL: dict[str, str] = {"op9_sharding": shard_sql(SHARDS, GROWN)}
