@@ -11,6 +11,7 @@ from quarry.llm.minhash import near_duplicates
 from quarry.llm.mixing import mix_documents
 from quarry.llm.secrets import secret_scan
 from quarry.llm.sharding import regular, shard, shard_sql
+from quarry.llm.suffix import repeated_passages
 from quarry.llm.vectors import vector_duplicates
 
 SHARDS, GROWN = regular(24, 3, 4), regular(24, 3, 4, extra=1)
@@ -28,6 +29,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), SHARDS, GROWN)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op7_vectors": op7_vectors, "op9_sharding": op9_sharding, "op6_secrets": op6_secrets, "op10_language": op10_language}
+QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_passages": op5_passages, "op7_vectors": op7_vectors, "op9_sharding": op9_sharding, "op6_secrets": op6_secrets, "op10_language": op10_language}
 SQL: dict[str, str] = {"op9_sharding": shard_sql(SHARDS, GROWN)}
