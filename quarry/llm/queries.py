@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.llm.audio import aligned
 from quarry.llm.bpe import bpe_digests
 from quarry.llm.langid import language_id
 from quarry.llm.minhash import near_duplicates
+from quarry.llm.license import license_scan, license_sql
 from quarry.llm.mixing import mix_documents
 from quarry.llm.secrets import secret_scan
 from quarry.llm.sharding import regular, shard, shard_sql
@@ -21,6 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: documents has no paths: ids are dealt over directories three deep, and every fifth document is a licence file at one of the three levels.
+PATH = """concat({source}, CASE WHEN {id} % 5 = 0 AND {half} % 3 = 2 THEN '' ELSE concat('/', {third}) END,
+CASE WHEN {id} % 5 = 0 AND {half} % 3 >= 1 THEN '' ELSE concat('/', {fourth}) END, CASE WHEN {id} % 5 = 0 THEN concat('/LICENSE.', {id}) ELSE concat('/', {id}, '.txt') END)"""
+LICENCE_FILE = "coalesce(doc_id % 5 = 0, false)"
+
+
+def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = PATH.format(id="doc_id", source="coalesce(source, '')", half="(doc_id div 5)", third="(doc_id div 2000)", fourth="(doc_id div 200)")
+    return license_scan(table(spark, sf_dir, "documents"), F.expr(path), F.expr(LICENCE_FILE))
+
+
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no recordings: a text's UTF-8 bytes are read as unsigned 8-bit samples. Queries: ids divisible by 100."""
+    docs = table(spark, sf_dir, "documents")
+    out = aligned(docs, F.col("id") % 100 == 0, "doc_id", F.encode("text", "UTF-8"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,5 +74,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), SHARDS, GROWN)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_passages": op5_passages, "op7_vectors": op7_vectors, "op9_sharding": op9_sharding, "op6_secrets": op6_secrets, "op10_language": op10_language}
-SQL: dict[str, str] = {"op9_sharding": shard_sql(SHARDS, GROWN)}
+QUERIES = {"op1_license": op1_license, "op8_audio": op8_audio, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_passages": op5_passages, "op7_vectors": op7_vectors, "op9_sharding": op9_sharding, "op6_secrets": op6_secrets, "op10_language": op10_language}
+SQL: dict[str, str] = {"op1_license": license_sql(PATH.format(id="doc_id", source="coalesce(source, '')", half="(doc_id // 5)", third="(doc_id // 2000)", fourth="(doc_id // 200)"), LICENCE_FILE), "op9_sharding": shard_sql(SHARDS, GROWN)}
