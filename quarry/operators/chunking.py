@@ -1,0 +1,89 @@
+"""From parsed blocks to chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quarry.functions import text as T
+
+WHOLE_UNITS = ("code", "list")
+MAX_BYTES = 30_000
+
+
+def split_oversized(c: Column, most: int = MAX_BYTES) -> Column:
+    """array<string>: a text over `most` UTF-8 bytes packed into parts by lines, a longer line by characters; blank parts go."""
+    step = most // 4
+    pieces = F.flatten(
+        F.transform(
+            F.split(c, "\n"),
+            lambda x: F.when(F.octet_length(x) <= most, F.array(x)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / step)), lambda i: F.substring(x, (i * step + 1).cast("int"), F.lit(step)))),
+        )
+    )
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).cast("int").alias("n"))
+
+    def pack(s: Column, x: Column) -> Column:
+        size = F.octet_length(x)
+        full = (F.size(s["now"]) > 0) & (s["n"] + size > most)
+        return F.when(full, F.struct(F.concat(s["done"], F.array(F.array_join(s["now"], "\n"))).alias("done"), F.array(x).alias("now"), size.alias("n"))).otherwise(
+            F.struct(s["done"].alias("done"), F.concat(s["now"], F.array(x)).alias("now"), (s["n"] + size).cast("int").alias("n"))
+        )
+
+    packed = F.aggregate(pieces, start, pack, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(F.array_join(s["now"], "\n")))).otherwise(s["done"]))
+    return F.when(F.octet_length(c) <= most, F.array(c)).otherwise(F.filter(packed, lambda x: T.strip(x) != ""))
+
+
+def keep_meaningful(chunks: DataFrame, min_chars: int = 20, col: str = "content") -> DataFrame:
+    return chunks.where(T.meaningful_len(F.col(col)) >= min_chars)
+
+
+def sentence_windows(sents: DataFrame, buffer: int = 1, by: str = "block", order: str = "i", col: str = "sentence", most_chars: int = 512) -> DataFrame:
+    """Each sentence with its neighbours within the buffer, joined by blanks; `embed` is what an embedder sees of it."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(-buffer, buffer)
+    return sents.withColumn("combined", F.array_join(F.collect_list(col).over(w), " ")).withColumn("embed", F.substring("combined", 1, most_chars))
+
+
+def semantic_chunks(sents: DataFrame, by: str = "block", order: str = "i", col: str = "sentence", vector: str = "v", amount: float = 82.0) -> DataFrame:
+    """Rows (block, chunk, content): sentences cut where the cosine distance to the next one is above the block's percentile."""
+    w = Window.partitionBy(by).orderBy(order)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    nxt = F.lead(vector).over(w)
+    rows = sents.withColumn("distance", 1 - dot(F.col(vector), nxt) / F.sqrt(dot(F.col(vector), F.col(vector)) * dot(nxt, nxt)))
+    limits = rows.groupBy(by).agg(F.expr(f"percentile(distance, {amount / 100})").alias("limit"))
+    rows = rows.join(limits, by).withColumn("cut", F.coalesce((F.col("distance") > F.col("limit")).cast("int"), F.lit(0)))
+    rows = rows.withColumn("chunk", F.coalesce(F.sum(F.col("cut")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.groupBy(by, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, col))), lambda x: x[col]), " ").alias("content"))
+
+
+def restore_headings(chunks: DataFrame, min_chars: int = 20, source: str = "source", order: str = "ord", col: str = "content") -> DataFrame:
+    """Moves a numbered heading at a chunk's end to the next chunk of the same source, unless too little would be left."""
+    w = Window.partitionBy(source).orderBy(order)
+    parts = T.trailing_heading(F.col(col))
+    rows = chunks.withColumn("_p", parts).withColumn("_next", F.lead(order).over(w))
+    moved = F.col("_next").isNotNull() & (F.col("_p.heading") != "") & (T.meaningful_len(F.col("_p.rest")) >= min_chars)
+    rows = rows.withColumn("_h", F.when(moved, F.col("_p.heading")).otherwise(F.lit("")))
+    own = F.when(F.col("_h") != "", F.col("_p.rest")).otherwise(F.col(col))
+    return rows.withColumn(col, F.concat(F.coalesce(F.lag("_h").over(w), F.lit("")), own)).drop("_p", "_next", "_h")
+
+
+def recursive_split(c: Column, size: int = 800, overlap: int = 100) -> Column:
+    """array<string> of at most `size` characters each, cut at sentence ends where they fit, by characters elsewhere; each part repeats about `overlap` characters."""
+    step = size - overlap
+    atoms = F.flatten(F.transform(T.sentences(c), lambda x: F.when(F.length(x) <= step, F.array(x)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / step)), lambda i: F.substring(x, (i * step + 1).cast("int"), F.lit(step))))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    grow = lambda s, x: F.when(
+        (F.length(s["now"]) > 0) & (F.length(s["now"]) + F.length(x) > size),
+        F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), F.concat(F.substring(s["now"], F.greatest(F.length(s["now"]) - F.least(F.lit(overlap), size - F.length(x)) + 1, F.lit(1)), F.lit(size)), x).alias("now")),
+    ).otherwise(F.struct(s["done"].alias("done"), F.concat(s["now"], x).alias("now")))
+    return F.aggregate(atoms, start, grow, lambda s: F.filter(F.concat(s["done"], F.array(s["now"])), lambda x: T.strip(x) != ""))
+
+
+def heading_paths(blocks: DataFrame, source: str = "source", order: str = "ord", level: str = "level", title: str = "title", levels: int = 9) -> DataFrame:
+    """heading_path of each block: the open heading of each level, joined; a heading closes those of its level and below."""
+    w = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = []
+    for n in range(levels + 1):
+        last = F.last(F.when(F.col(level) <= n, F.struct(F.col(level).alias("l"), F.col(title).alias("t"))), ignorenulls=True).over(w)
+        parts.append(F.when(last["l"] == n, last["t"]))
+    return blocks.withColumn("heading_path", F.concat_ws(" > ", *parts))
