@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import chunking, evaluation, tables
-from quarry.plans import catalog, pipeline
+from quarry.plans import catalog, details, pipeline  # noqa: F401
 from quarry.sources import files, layout, markdown, store, word
 from quarry.sources.excel import workbook_chunks
 from quarry.streaming import ingest
@@ -31,7 +31,7 @@ def plain(v):
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "conversations", "labels", "pages"):
+    for t in ("documents", "embeddings", "benchmark", "conversations", "labels", "pages", "events"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return c
 
