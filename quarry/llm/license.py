@@ -22,6 +22,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import written
+
 #: Wording of public licenses' notices.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -70,18 +72,20 @@ def license_scan(files: DataFrame, path: Column, licence_file: Column, id_col: s
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(TRIGGER))
     parts = F.when(licence_file, F.array_union(lines, F.array(text))).otherwise(F.array_distinct(lines))
     found = files.where(text.rlike(TRIGGER)).select(F.coalesce(path, F.lit("")).alias("path"), F.col(id_col).alias("doc_id"), F.explode(parts).alias("part"))
+    # From here on a candidate goes by its digest, as its rows multiply.
+    found = written(found.withColumn("words", F.regexp_extract_all(F.lower("part"), F.lit(f"({WORD})"))).withColumn("part", F.md5("part")), "candidates")
     # One vector for each distinct candidate, however many files hold it.
-    bag = found.select("part").distinct().withColumn("words", F.regexp_extract_all(F.lower("part"), F.lit(f"({WORD})")))
+    bag = found.groupBy("part").agg(F.first("words").alias("words"))
     words = bag.select("part", F.explode("words").alias("word")).groupBy("part", "word").agg(F.count("*").alias("tf"))
     words = words.join(F.broadcast(idfs), "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     length = words.groupBy("part").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
     scores = words.join(F.broadcast(vectors), "word").groupBy("part", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scores = scores.join(length, "part").withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("score") >= least)
     best = scores.groupBy("part").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best"))
-    own = found.join(best, "part").groupBy("doc_id", "path").agg(F.min("best").alias("best")).select(F.col("doc_id").alias("k"), F.col("path").alias("p"), F.col("best.license").alias("own_license"), (-F.col("best.s")).alias("own_score"))
+    own = found.drop("words").join(best, "part").groupBy("doc_id", "path").agg(F.min("best").alias("best")).select(F.col("doc_id").alias("k"), F.col("path").alias("p"), F.col("best.license").alias("own_license"), (-F.col("best.s")).alias("own_score"))
     rows = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.coalesce(licence_file, F.lit(False)).alias("is_file"))
     rows = rows.join(own, rows.doc_id.eqNullSafe(own.k) & (F.coalesce(rows.path, F.lit("")) == own.p), "left").drop("k", "p")
-    rows = rows.withColumn("dir", F.regexp_extract("path", "^(.*)/", 1))
+    rows = written(rows.withColumn("dir", F.regexp_extract("path", "^(.*)/", 1)), "licensed")
     granted = rows.where("is_file and own_license is not null and path is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_license")).alias("g")).select(F.col("dir").alias("above"), F.col("g.path").alias("from"), F.col("g.own_license").alias("given"))
     dirs = rows.where("own_license is null and path is not null").select("dir").distinct()
     steps = F.split("dir", "/")
