@@ -5,7 +5,7 @@ network then holds patterns and sources only. Each pattern offers its size sever
 higher cost (convex, so that everything is used once before anything is used twice), each source takes its quota, and
 successive shortest paths route the cheapest flow, one connected part of the pattern-source graph at a time. A pattern's flow is then taken
 from its documents: all of them as many whole times as it holds their size, and the rest from documents in a seeded hash
-order up to the remainder, where the last gap goes to the document that fills it best.
+order up to the remainder; the last of them are chosen so that the sum comes nearest.
 
 Targets: the sources share the size of all documents by weight; a source's target stops at `repeats` times its
 size, and the excess is shared anew by weight until none is above.
@@ -24,6 +24,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,6 +121,31 @@ def _part(patterns: list[tuple], supply: dict[tuple, int], quota: dict, repeats:
     return {k: edges[i ^ 1][1] for k, i in routes.items()}
 
 
+def fill(sizes: np.ndarray, room: int) -> np.ndarray:
+    """Places of documents, in seeded order, that fill the room: each that still fits, then the one document or the one exchange that brings the sum nearest."""
+    taken, left = np.zeros(len(sizes), bool), int(room)
+    for i, n in enumerate(sizes.tolist()):
+        if n <= left:
+            taken[i], left = True, left - n
+    if left:
+        out, in_ = np.flatnonzero(~taken), np.flatnonzero(taken)
+        # Row 0 adds a document, the others exchange one for it.
+        change = np.concatenate([sizes[out][None, :], sizes[out][None, :] - sizes[in_][:, None]]) if len(out) else np.zeros((0, 0))
+        if change.size:
+            i, j = np.unravel_index(np.abs(left - change).argmin(), change.shape)
+            if abs(left - change[i, j]) < left:
+                taken[out[j]] = True
+                if i:
+                    taken[in_[i - 1]] = False
+    return np.flatnonzero(taken)
+
+
+def _filled(sizes, room):
+    import pandas as pd
+
+    return pd.Series([(fill(np.asarray(s, np.int64), r) + 1).astype("int32") for s, r in zip(sizes, room, strict=True)])
+
+
 def mix(docs: DataFrame, weigh: Callable[[list], dict], sources: Column, key: Column, size: Column, carry: list[str], seed: int = 17, repeats: int = 3, region_rows: int = 2_000) -> DataFrame:
     """Rows (row: struct of the carry columns, size, pattern, copies, source_size, target); the last two of the pattern's first source.
 
@@ -163,13 +189,12 @@ def mix(docs: DataFrame, weigh: Callable[[list], dict], sources: Column, key: Co
     inside = F.coalesce(F.col("part") == F.col("end"), F.lit(False))
     clear = rows.where(~inside).withColumn("more", F.coalesce(F.col("part") < F.col("end"), F.lit(False)).cast("int"))
     seq = Window.partitionBy("pattern").orderBy("fine", "h", "size", F.xxhash64("row"))
-    alone = Window.partitionBy("pattern")
-    edge = rows.where(inside).withColumn("k", F.row_number().over(seq)).withColumn("upto", F.sum("size").over(seq.rowsBetween(Window.unboundedPreceding, 0)))
-    fits = F.col("upto") <= F.col("room")
-    edge = edge.withColumn("gap", F.col("room") - F.coalesce(F.max(F.when(fits, F.col("upto"))).over(alone), F.lit(0)))
-    edge = edge.withColumn("best", F.min(F.when(~fits, F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "k"))).over(alone))
-    chosen = fits | (F.coalesce(F.col("best.k") == F.col("k"), F.lit(False)) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
-    edge = edge.withColumn("more", chosen.cast("int"))
+    edge = rows.where(inside).withColumn("k", F.row_number().over(seq))
+    fill = F.pandas_udf(_filled, "array<int>")
+    # About region_rows documents a pattern, whatever its size.
+    chosen = edge.groupBy("pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "size"))), lambda x: x["size"]).alias("sizes"), F.first("room").alias("room"))
+    chosen = chosen.select("pattern", fill("sizes", "room").alias("chosen"))
+    edge = edge.join(chosen, "pattern").withColumn("more", F.array_contains("chosen", F.col("k")).cast("int"))
     cols = ["row", "size", "pattern", (F.col("whole") + F.col("more")).alias("copies"), "source_size", "target"]
     return clear.select(*cols).unionByName(edge.select(*cols))
 
