@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import small_batches, trim
+
 SPACE = regex.compile(r"\p{White_Space}+")
 #: Python's split() also splits at these; the tokenizer does not.
 ODD = regex.compile("[\x1c-\x1f]")
@@ -61,14 +63,15 @@ class WordBpe:
         self.names = [""] * size
         for t, i in [*self.vocab.items(), *self.special.items()]:
             self.names[i] = t
+        self.shown = list(map(str, range(size)))
         self.symbol = byte_symbols()
         self.table = str.maketrans({chr(b): s for b, s in enumerate(self.symbol)})
         self.inner = {t: i for t, i in self.vocab.items() if not (self.end and t.endswith(self.end) and len(t) > len(self.end))}
         self.final = {t[: len(t) - len(self.end)]: i for t, i in self.vocab.items() if t.endswith(self.end)} if self.end else self.inner
         self.longest = max(map(len, [*self.inner, *self.final]))
-        self.reach: dict[str, int] = {}  # by its first two symbols: length of the longest token
+        self.reach: dict[str, int] = {}  # by its first three symbols: length of the longest token
         for t in self.inner:
-            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
+            self.reach[t[:3]] = max(self.reach.get(t[:3], 2), len(t))
         self._merges(model["merges"], size)
         self.cache_words, self.known, self.old = cache_words, {}, {}  # what is still used when `known` is full moves on from `old`
 
@@ -129,7 +132,7 @@ class WordBpe:
             if n - i <= self.longest and (t := final.get(word[i:])) is not None:
                 out.append(t)
                 break
-            for j in range(min(n - 1 if self.end else n, i + self.reach.get(word[i : i + 2], 1)), i, -1):
+            for j in range(min(n - 1 if self.end else n, i + self.reach.get(word[i : i + 3], 2)), i, -1):
                 if (t := inner.get(word[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -143,15 +146,16 @@ class WordBpe:
         ids = [self.inner[c] for c in word[:-1]] + [self.final[word[-1]]]
         n, rank, never = len(ids), self.rank, self.never
         if n <= 40:
-            found = [rank.get(p, never) for p in zip(ids, ids[1:], strict=False)]
+            get = rank.get
+            found = [get(p, never) for p in zip(ids, ids[1:], strict=False)]
             while found and (best := min(found)) is not never:
                 i = found.index(best)
                 ids[i : i + 2] = [best[1]]
                 del found[i]
                 if i:
-                    found[i - 1] = rank.get((ids[i - 1], best[1]), never)
+                    found[i - 1] = get((ids[i - 1], best[1]), never)
                 if i < len(found):
-                    found[i] = rank.get((best[1], ids[i + 1]), never)
+                    found[i] = get((best[1], ids[i + 1]), never)
             return ids
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(*self.rank[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.rank]
@@ -190,7 +194,7 @@ class WordBpe:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by one blank, as the file names no decoder."""
-        return " ".join(self.names[i] for i in ids)
+        return " ".join([self.names[i] for i in ids])
 
     def chunks(self, text: str) -> list[str]:
         """The text's normalised parts between white space; special tokens stand as themselves, after a NUL."""
@@ -219,7 +223,8 @@ class WordBpe:
                 made[w] = got
         words = list(all_words - made.keys())
         ids, _ = self.encode_words([w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.table) for w in words])
-        made.update((w, (len(x), " ".join(map(str, x)), self.decode(x))) for w, x in zip(words, ids, strict=True))
+        shown = self.shown
+        made.update((w, (len(x), " ".join([shown[i] for i in x]), self.decode(x))) for w, x in zip(words, ids, strict=True))
         for c, ws in zip(chunks, parts, strict=True):
             if type(ws) is str:
                 self.known[c] = (1, str(self.special[c[1:]]), self.decode([self.special[c[1:]]]))
@@ -281,6 +286,8 @@ def _runs(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), one for each input row; see the module for nulls and the rest."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         import pyarrow as pa
 
@@ -290,6 +297,8 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             rows = [x for part in _runs(texts) for x in enc.digests(part)]
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.old = {}
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +41,34 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """df to be sent to every task if it is counted and small; else as it is, for a join by exchange. df should be a written table."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python workers in batches of fewer rows than Spark's default, so that a batch of long texts stays small. A session's own setting is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def trim() -> None:
+    """At a task's end: gives free memory back, as Python workers live on."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files that nothing needs any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of edges(a long, b long): rows (node, root) of every node in an edge, root the smallest node reachable.
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.llm.common import small_batches, trim
+
 LETTER = regex.compile(r"\p{L}")
 BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
@@ -88,7 +90,7 @@ class Model:
         return self.langs[k], float(p[k]), bool(p[k] < self.threshold)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs: int = 12, rate: float = 4.0, seed: int = 7, false_rejects: float = 0.001, most_threshold: float = 0.5) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs: int = 12, rate: float = 4.0, seed: int = 7, false_rejects: float = 0.001, most_threshold: float = 0.4) -> Model:
     """Fits on rows of (bucket ids, their counts, language)."""
     langs = sorted({r[2] for r in rows})
     if not langs:
@@ -140,8 +142,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs: i
     return Model(langs, table, bias.astype(np.float64), t, threshold)
 
 
-def train(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 700, max_languages: int = 400, **how) -> Model:
+def train(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, max_languages: int = 400, **how) -> Model:
     """A model from the rows of docs for which the column train_on holds; see the module for the sample's bound."""
+    small_batches(docs.sparkSession)
     rows = docs.where(train_on & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
@@ -161,7 +164,7 @@ def train(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int64())), pa.array(langs, pa.string())], names=["ids", "ns", "lang"])
 
     got = rows.join(F.broadcast(ids), ["lang", "id"]).select("text", "lang").mapInArrow(features, "ids array<int>, ns array<long>, lang string").toArrow()
-    made = [(np.array(i.values, dtype=np.int64), np.array(n.values, dtype=np.float64), lang.as_py()) for i, n, lang in zip(got["ids"], got["ns"], got["lang"], strict=True)]
+    made = [(np.array(i.values, dtype=np.int32), np.array(n.values, dtype=np.float32), lang.as_py()) for i, n, lang in zip(got["ids"], got["ns"], got["lang"], strict=True)]
     made.sort(key=lambda r: (r[2], len(r[0]), r[1].sum(), r[0][:8].tolist(), r[1][:8].tolist()))  # the order rows arrive in doesn't count
     seen: dict[str, int] = {}
     kept = []
@@ -188,6 +191,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             got = [m.predict(t) for t in batch.column(2).to_pylist()]
             a, b, c = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.string()), pa.array(b, pa.float64()), pa.array(c, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
@@ -208,5 +212,6 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         m = shared.value
         for batch in batches:
             yield batch.filter(pa.array([not m.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,6 +23,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import small_batches, trim
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -131,6 +133,7 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str = "[SECRET]")
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 10.0) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess), one for each input row."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -144,12 +147,14 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
 def without_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None, min_log10: float = 10.0) -> DataFrame:
     """The rows of docs, all columns, with secrets masked in the text (and its length in length_col set anew)."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     length = docs.columns.index(length_col) if length_col else None
 
@@ -163,5 +168,6 @@ def without_secrets(docs: DataFrame, text_col: str = "text", length_col: str | N
             if length is not None:
                 cols[length] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
