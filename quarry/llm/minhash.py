@@ -28,8 +28,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarry.llm.common import components, written
+from quarry.llm.common import components, sent, small_batches, sweep, trim, written
 
 SIZE, BANDS = 128, 32
 STEP_BITS = 25
@@ -45,15 +46,30 @@ def _stir(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class _WordHashes(dict):
+class _WordNumbers(dict):
+    """Numbers words as they come, and keeps their hashes in an array by number."""
+
+    most = 250_000
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(self.most + 1, np.uint64)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        n = len(self)
+        self[word] = n
+        if n >= len(self.hashes):  # one text with very many words
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[n] = xxhash.xxh3_64_intdigest(word)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most // 2:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.hashes[at]
 
 
-_hashes = _WordHashes()
+_numbers = _WordNumbers()
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -61,12 +77,13 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").translate(_lower).split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = _numbers.of(words)
     k = min(width, len(h))
     x = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         x = _stir(x * _G + h[i : len(h) - k + 1 + i])
-    return np.unique(x)
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -146,12 +163,14 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
             flush()
             it = iter(sigs)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([next(it) if k else None for k in n], pa.binary())], names=["doc_id", "n", "node", "sig"])
+        _numbers.clear()
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, sig binary")
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
-    """bucket, node: one row for each band of each node."""
+    """bucket, band, node: one row for each band of each node."""
 
     def run(batches):
         import pyarrow as pa
@@ -162,123 +181,140 @@ def _banded(nodes: DataFrame) -> DataFrame:
             h = band_hashes(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SIZE))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, BANDS, dtype=np.int32)), pa.array(np.ascontiguousarray(h).ravel()))], names=["node", "buckets"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "node long, buckets array<long>").select(F.explode("buckets").alias("bucket"), "node")
+    return nodes.select("node", "sig").mapInArrow(run, "node long, buckets array<long>").select(F.posexplode("buckets").alias("band", "bucket"), "node")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union. b leads: its rows come before those that are compared with it, so a task holds two sets at a time.
+def _confirmed(pairs: DataFrame, leads: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets have 100 * intersection >= percent * union, of rows (part, a, with: the b of one part) and leads (part, node: all b of a part, about TILE
+    at most). The b of a part are linked already, so one link for each a is enough.
 
-    A leader's pairs are dealt over blocks of about TILE rows, each with a copy of the leader.
+    A part's a are dealt over blocks of about TILE texts; a task reads a part's b first, then meets the a one by one. Each text goes
+    once to each block that needs it, not once a pair.
     """
-    counts = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))
-    texts = texts.select("node", "text")
-    follow = pairs.join(counts.select("b", "blocks"), "b").join(texts, F.col("a") == F.col("node")).select("b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "a", "text")
-    lead = counts.join(texts, F.col("b") == F.col("node")).select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("b").alias("a"), "text")
+    pairs = pairs.groupBy("part", "a").agg(F.array_distinct(F.flatten(F.collect_list("with"))).alias("with"))  # at most a part's b
+    sizes = pairs.groupBy("part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    follow = pairs.join(sizes, "part").select("part", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("j"), F.col("a").alias("node"), "with")
+    lead = leads.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", F.lit(None).cast("array<long>").alias("with"))
+    both = texts.join(sent(written(lead.union(follow), "asked")), "node").select("part", "j", F.col("with").isNotNull().alias("role"), "node", "with", "text")
 
     def run(batches):
         import pyarrow as pa
 
-        at, lead_set = None, None
+        at, held = None, {}
         for batch in batches:
             out = [], []
-            for b, role, a, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            for part, j, role, node, with_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (part, j):
+                    at, held = (part, j), {}
                 s = shingles(text, width)
-                if role == 0:
-                    if at != b or lead_set is None:
-                        at, lead_set = b, s
-                elif at == b:
-                    both = len(np.intersect1d(s, lead_set, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(lead_set) - both):
-                        out[0].append(a), out[1].append(b)
+                if set_id(s) != node:  # another text of a repeated doc_id
+                    continue
+                if not role:
+                    held[node] = s
+                    continue
+                for b in with_:
+                    t = held.get(b)
+                    if t is None or 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                        continue
+                    common = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * common >= percent * (len(s) + len(t) - common):
+                        out[0].append(node), out[1].append(b)
+                        break
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+        _numbers.clear()
+        trim()
 
-    return lead.union(follow).repartition("b", "block").sortWithinPartitions("b", "block", "role").mapInArrow(run, "a long, b long")
+    return both.repartition("part", "j").sortWithinPartitions("part", "j", "role").mapInArrow(run, "a long, b long")
 
 
 def _tiled(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components within a bucket whose signatures don't rule out a link; rows (bucket, node, comp, n, sig).
+    """Rows (part, a, with: nodes b of that part) across components within a bucket whose signatures don't rule out a link; rows (bucket, band, node, comp, part, n, sig).
 
-    A bucket is cut into blocks of about TILE rows and each two blocks meet in one task, so none holds more than two blocks.
+    A bucket is cut into blocks and each two blocks meet in one task, so none holds more than two blocks. A pair comes from the first
+    of the bands that it shares only.
     """
-    counts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    block_rows = 4 * TILE
+    counts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     rows = rows.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meet = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.withColumn("other", F.explode(meet)).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "sig")
-    limit = percent / 100 - 0.25  # seven standard deviations of the estimate
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "node", "comp", "part", "n", "sig")
+    limit = percent / 100 - 0.15  # five standard deviations of the estimate
 
     def run(pdf):
         import pandas as pd
 
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        i, j, band = pdf["i"].iloc[0], pdf["j"].iloc[0], int(pdf["band"].iloc[0])
         p, q = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
         sp, sq = (np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, SIZE) for x in (p, q))
-        out = []
-        for k in range(len(p)):
-            ok = (q["comp"].to_numpy() != p["comp"].iloc[k]) & ((sq == sp[k]).mean(axis=1) >= limit)
-            small, large = np.minimum(q["n"].to_numpy(), p["n"].iloc[k]), np.maximum(q["n"].to_numpy(), p["n"].iloc[k])
-            ok &= 100 * small >= percent * large
-            ok &= q["node"].to_numpy() > p["node"].iloc[k] if i == j else True
-            out.append(pd.DataFrame({"a": p["node"].iloc[k], "b": q["node"].to_numpy()[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
+        qn, qc, qk, qp = (q[c].to_numpy() for c in ("node", "comp", "n", "part"))
+        out: dict[tuple[int, int], list[int]] = {}
+        before = band * (SIZE // BANDS)
+        for x, comp, n, part, s in zip(*(p[c].tolist() for c in ("node", "comp", "n", "part")), sp, strict=True):
+            ok = (qc != comp) & (100 * np.minimum(qk, n) >= percent * np.maximum(qk, n))
+            if i == j:
+                ok &= qn > x
+            k = np.flatnonzero(ok)
+            if not len(k):
+                continue
+            same = sq[k] == s
+            good = same.mean(axis=1) >= limit
+            if before:
+                good &= ~same[:, :before].reshape(len(k), band, -1).all(axis=2).any(axis=1)
+            # The smaller component leads, so that both orders of two components meet in one part.
+            for y, c, other in zip(*(v[k[good]].tolist() for v in (qn, qc, qp)), strict=True):
+                out.setdefault((part, y) if comp < c else (other, x), []).append(x if comp < c else y)
+        return pd.DataFrame({"part": [k[0] for k in out], "a": [k[1] for k in out], "with": pd.Series(list(out.values()), dtype=object)}).astype({"part": "int64", "a": "int64"})
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return rows.groupBy("bucket", "i", "j").applyInPandas(run, "part long, a long, with array<long>")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each input row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     rows = written(_described(docs, width), "sets")
     known = rows.where("node is not null and doc_id is not null")
     # One row for each set: its first document and its signature (equal for all of them).
     nodes = written(known.groupBy("node").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x")).select("node", F.col("x.doc_id").alias("first"), "x.n", "x.sig"), "nodes")
-    bands = _banded(nodes)
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("size")).where("size > 1").select("bucket", "lead")
-    members = written(bands.join(shared, "bucket"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", "first")
-    texts = docs.join(written(wanted, "wanted"), F.col("doc_id") == F.col("first")).select("node", "text")
-    texts = written(_own(texts, width), "texts")
-    left = members.select("bucket", "node", F.col("node").alias("comp"), "lead", F.col("lead").alias("lead_comp"))
-    links = None
+    bucket = Window.partitionBy("bucket")
+    members = _banded(nodes).withColumn("size", F.count("*").over(bucket)).withColumn("lead", F.min("node").over(bucket)).where("size > 1").drop("size")
+    members = written(members, "members")
+    sweep(docs.sparkSession)
+    wanted = written(members.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", "first"), "wanted")
+    texts = written(docs.join(sent(wanted, 2_000_000), F.col("doc_id") == F.col("first")).select("node", "text"), "texts")
+    left = members.select("bucket", "band", "node", F.col("node").alias("comp"), "lead", F.col("lead").alias("lead_comp"))
+    links = label = None
     for k in range(rounds):
-        pairs = left.where("comp <> lead_comp").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-        found = written(_confirmed(pairs, texts, width, percent), "links")
+        # A leader is only tried where some bands agree; whatever that leaves out, the exhaustive step takes up.
+        pairs = left.where("comp <> lead_comp").groupBy(F.col("lead").alias("part"), F.col("node").alias("a")).agg(F.count("*").alias("bands")).where("bands >= 3")
+        pairs = written(pairs.select("part", "a", F.array("part").alias("with")), "pairs")
+        found = written(_confirmed(pairs, pairs.select("part", F.col("part").alias("node")).distinct(), texts, width, percent), "links")
         links = found if links is None else links.union(found)
         label = written(components(links), "label")
-        left = members.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+        left = members.drop("lead").join(label, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("comp"))
         split = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("x")).where("lo <> hi")
+        sweep(docs.sparkSession)
         left = written(left.join(split.select("bucket", F.col("x.node").alias("lead"), F.col("x.comp").alias("lead_comp")), "bucket"), "left")
-        if left.isEmpty():
-            break
-    else:
-        rest = left.select("bucket", "node", "comp").join(nodes.select("node", "n", "sig"), "node")
-        found = written(_confirmed(written(_tiled(rest, percent), "pairs"), texts, width, percent), "links")
-        links = links.union(found)
+    # A component's nodes are dealt over parts of about TILE.
+    ends = left.select("node", "comp").distinct()
+    parts = ends.join(ends.groupBy("comp").agg(F.ceil(F.count("*") / TILE).alias("blocks")), "comp").select("node", F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("part"))
+    parts = written(parts, "parts")
+    rest = left.select("bucket", "band", "node", "comp").join(nodes.select("node", "n", "sig").join(parts, "node"), "node")
+    pairs = written(_tiled(rest, percent), "pairs")
+    if not pairs.isEmpty():
+        links = links.union(written(_confirmed(pairs, parts.select("part", "node"), texts, width, percent), "links"))
         label = written(components(links), "label")
     own = nodes.select("node", "first").join(label, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     low = own.groupBy("root").agg(F.min("first").alias("component_id"))
     group = own.where("root <> node").select("node", "root").join(low, "root").select("node", "component_id")
     group = own.where("root = node").join(low, "root").select("node", "component_id").union(group)
-    out = rows.join(group, "node", "left")
+    out = rows.drop("sig").join(group, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     component = F.when(F.col("node").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _own(texts: DataFrame, width: int) -> DataFrame:
-    """Where a doc_id has several texts, the rows of other sets go."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = [set_id(shingles(text, width)) == node for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return texts.mapInArrow(run, "node long, text string")
-
-
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, all columns, of the documents that are kept: one of each group, the least doc_id; one row, if that is repeated."""
+    """The rows of docs, all columns, of the documents that are kept: one of each group, the least doc_id; rows that repeat one doc_id stay together."""
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("kept").select("doc_id").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.join(kept, rows.k.eqNullSafe(kept.doc_id)).select("k", "row")
