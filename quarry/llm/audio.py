@@ -2,11 +2,12 @@
 
 A recording (unsigned 8-bit or signed 16-bit mono PCM) becomes frames of 12 pitch-class energies by short Fourier transforms. Filters compare rectangles of these
 frames in time and pitch, read off an integral image, and give 2 Gray-coded bits each: 16 filters, one packed 32-bit integer
-for every window of 16 frames. Recordings with equal integer sequences form a class. To search, the integers of
-query classes meet equal integers of all classes; the histogram of their offsets proposes one alignment for each two classes, and the share of
+for every window of 16 frames. Recordings with equal integer sequences form a class. To search, a recording's landmarks (of every 16 integers in
+a row the one with the least hash) meet equal landmarks of query classes; the histogram of their offsets proposes one alignment for each two classes, and the share of
 differing bits where they overlap decides.
 
-An alignment is proposed only where at least one integer is equal at its offset; how many of the alignments that brute force finds are lost by that is measured in the tests.
+An alignment is proposed only where at least one landmark, and a share `least_equal` of the integers that overlap, is equal at its offset; the tests measure how many of the alignments that
+brute force finds are lost by that.
 
 Defined results: a null or too short recording has no integers, is in a class of its own and aligns with nothing; a null id is kept as null, in no class, and is no query. Repeated rows are members of one class, one
 result row for each input row; of equally supported offsets the nearest to 0, then the lower is taken, of equally good queries the one with the smallest class id. Recordings of any length are read whole, in pieces. An empty
@@ -21,9 +22,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import sent, small_batches, written
 
 WINDOW = 16  # frames that one integer sees
+#: Bits that two landmarks must share: three filters of four.
+MASK = np.uint32(0x00FFFFFF)
+PART = 256
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 
 
@@ -99,8 +103,20 @@ def fingerprint(audio: bytes | None, rate: int = 8000, width: int = 1, frame: in
     return packed(chroma(samples, rate, frame, hop))
 
 
+def landmarks(ints: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of the integers that stand for a recording in the search: the least by hash of each `window` in a row, each value once."""
+    if not len(ints):
+        return np.zeros(0, np.int64)
+    ints = ints & MASK
+    h = ints.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    w = min(window, len(h))
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(len(h) - w + 1))
+    return np.sort(at[np.unique(ints[at], return_index=True)[1]])
+
+
 def fingerprints(media: DataFrame, id_col: str, audio: Column, **how) -> DataFrame:
-    """Rows (id, n_frames, print (sha256 of the integers), ints array<int>), one for each input row."""
+    """Rows (id, n_frames, print (sha256 of the integers), ints array<int>, marks array<int>: places of the landmarks), one for each input row."""
 
     def run(batches):
         import pyarrow as pa
@@ -110,9 +126,9 @@ def fingerprints(media: DataFrame, id_col: str, audio: Column, **how) -> DataFra
             ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint32), *got]).view(np.int32)
             names = [hashlib.sha256(g.astype("<u4").tobytes()).hexdigest() for g in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "n_frames", "print", "ints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([landmarks(g).tolist() for g in got], pa.list_(pa.int32()))], names=["id", "n_frames", "print", "ints", "marks"])
 
-    return media.select(F.col(id_col).cast("long").alias("id"), audio.cast("binary").alias("audio")).mapInArrow(run, "id long, n_frames long, print string, ints array<int>")
+    return media.select(F.col(id_col).cast("long").alias("id"), audio.cast("binary").alias("audio")).mapInArrow(run, "id long, n_frames long, print string, ints array<int>, marks array<int>")
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
@@ -124,36 +140,55 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return hi - lo, float(np.bitwise_count(x).sum()) / (32 * (hi - lo))
 
 
-def aligned(media: DataFrame, is_query: Column, id_col: str, audio: Column, least: int = 6, most_errors: float = 0.1, **how) -> DataFrame:
+def aligned(media: DataFrame, is_query: Column, id_col: str, audio: Column, least: int = 16, most_errors: float = 0.05, least_equal: float = 0.003, **how) -> DataFrame:
     """Rows (id, n_frames, print, class_id, n_queries, best_query, offset, overlap, bit_error), one for each input row.
 
     class_id is the smallest id with the same integers; n_queries counts the other classes that hold a query (a row where is_query, a column over `id`, holds) and align
     with this one over at least `least` integers with at most most_errors of their bits different; the rest describes the best of them.
     """
+    small_batches(media.sparkSession)
     rows = written(fingerprints(media, id_col, audio, **how), "prints")
     sound = rows.where("id is not null and n_frames > 0")
     classes = sound.groupBy("print").agg(F.min("id").alias("c"), F.max(is_query.cast("int")).alias("q"))
-    one = sound.join(classes.where("c is not null").withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("id") == F.col("c"))).select("c", "q", "ints").dropDuplicates(["c"])
+    one = sound.join(classes.where("c is not null").withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("id") == F.col("c"))).select("c", "q", "ints", "marks").dropDuplicates(["c"])
     one = written(one, "classes")
-    places = one.select("c", F.posexplode("ints").alias("at", "value"))
-    asked = one.where("q = 1").select(F.col("c").alias("qc"), F.posexplode("ints").alias("qat", "value"))
-    votes = places.join(asked, "value").where("c <> qc").groupBy("qc", "c", (F.col("qat") - F.col("at")).alias("offset")).count()
+    marked = one.select("c", "q", F.size("ints").alias("n"), F.explode(F.transform("marks", lambda m: F.struct(m.alias("at"), F.get("ints", m).bitwiseAND(int(MASK)).alias("value")))).alias("x")).select("c", "q", "n", "x.*")
+    places = marked.drop("q")
+    asked = marked.where("q = 1").select(F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("at").alias("qat"), "value")
+    votes = places.join(asked, "value").where("c <> qc").groupBy("qc", "c", "qn", "n", (F.col("qat") - F.col("at")).alias("offset")).count()
+    overlap = F.least("qn", F.col("n") + F.col("offset")) - F.greatest(F.lit(0), F.col("offset"))
+    votes = votes.where((overlap >= least) & (F.col("count") >= least_equal * overlap))
     best = votes.groupBy("qc", "c").agg(F.max(F.struct("count", -F.abs("offset"), -F.col("offset"))).alias("x")).select("qc", "c", (-F.col("x.col3")).alias("offset"))
-    pairs = best.join(one.select("c", "ints"), "c").join(one.select(F.col("c").alias("qc"), F.col("ints").alias("qints")), "qc").select("qc", "c", "offset", "ints", "qints")
+    # Query classes are dealt over parts of about PART; a class goes once to each part that it may align with, with the list of its alignments there.
+    blocks = max(1, -(-one.where("q = 1").count() // PART))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    asks = written(best.groupBy(part("qc").alias("part"), "c").agg(F.collect_list(F.struct("qc", "offset")).alias("with")), "asks")
+    sizes = asks.groupBy("part").agg(F.ceil(F.count("*") / (8 * PART)).cast("int").alias("na"))
+    follow = sent(asks).join(one.select("c", "ints"), "c").join(sizes, "part").select("part", F.pmod(F.xxhash64("c"), F.col("na")).cast("int").alias("j"), F.lit(1).alias("role"), "c", "ints", "with")
+    lead = one.where("q = 1").select(part("c").alias("part"), "c", "ints").join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), F.lit(0).alias("role"), "c", "ints", F.lit(None).cast("array<struct<qc:bigint,offset:int>>").alias("with"))
 
     def compare(batches):
         import pyarrow as pa
 
+        at, held = None, {}
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for r in batch.to_pylist():
-                n, e = bit_errors(np.array(r["qints"], np.int32), np.array(r["ints"], np.int32), r["offset"])
-                if n >= least and e <= most_errors:
-                    for col, v in zip(out, (r["qc"], r["c"], r["offset"], n, e), strict=True):
-                        col.append(v)
+                if at != (r["part"], r["j"]):
+                    at, held = (r["part"], r["j"]), {}
+                ints = np.array(r["ints"], np.int32)
+                if not r["role"]:
+                    held[r["c"]] = ints
+                    continue
+                for x in r["with"]:
+                    n, e = bit_errors(held[x["qc"]], ints, x["offset"])
+                    if n >= least and e <= most_errors:
+                        for col, v in zip(out, (x["qc"], r["c"], x["offset"], n, e), strict=True):
+                            col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["qc", "c", "offset", "overlap", "bit_error"])
 
-    found = pairs.mapInArrow(compare, "qc long, c long, offset int, overlap long, bit_error double")
+    both = lead.union(follow).repartition("part", "j").sortWithinPartitions("part", "j", "role")
+    found = both.mapInArrow(compare, "qc long, c long, offset int, overlap long, bit_error double")
     found = found.groupBy("c").agg(F.count("*").alias("n_queries"), F.min(F.struct("bit_error", -F.col("overlap"), "qc", "offset", "overlap")).alias("x"))
     named = classes.join(found, "c", "left").select("print", F.col("c").alias("class_id"), F.coalesce("n_queries", F.lit(0)).cast("long").alias("n_queries"), F.col("x.qc").alias("best_query"), F.col("x.offset").alias("offset"), F.col("x.overlap").alias("overlap"), F.col("x.bit_error").alias("bit_error"))
     out = rows.select("id", "n_frames", "print", F.when(F.col("id").isNotNull() & (F.col("n_frames") > 0), F.col("print")).alias("k")).join(named.withColumnRenamed("print", "k"), "k", "left")
