@@ -11,7 +11,7 @@ enough is that all places of a repeated string meet in one task:
    far as it matters, that is whether it reaches `length`. Matches are of bytes, not of hashes.
 5. The matches go back to the blocks, where bytes are counted and removed.
 
-An anchor in over `hot` documents would gather too much in one task: there each string of `length` bytes around it is dealt by its own 128-bit hash instead,
+An anchor in over `hot` documents would gather too much in one task: there each distinct string of `length` bytes around it in a block is dealt by its own 128-bit hash instead,
 and an aggregation with partial minima gives its first document.
 
 Defined results: a null text is an empty text; a row with a null doc_id matches nothing; rows with one doc_id count as one document (not smaller than each other),
@@ -21,7 +21,6 @@ their names, are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import sent, small_batches, sweep, written
 
 GRAM = 25
 BLOCK = 1 << 20
@@ -85,7 +84,7 @@ def anchors(b: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
 
 def _order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of x, and each element's rank (equal ones share it)."""
-    o = np.argsort(x, kind="stable")
+    o = np.argsort(x)
     s = x[o]
     step = np.empty(len(x), np.int64)
     if len(x):
@@ -127,6 +126,7 @@ def earlier_matches(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, d
         x = (r << np.uint64(32)) | pad(r, k)
     _, r = _order(x)  # ranks by 32 bytes
     rest = length - 32
+    valid = valid[np.bincount(r.astype(np.int64))[r[valid].astype(np.int64)] > 1]  # the others begin like nothing else
     o, _ = _order((r[valid] << np.uint64(32)) | pad(r, rest)[valid])
     suffix = valid[o]
     _, number = np.unique(docs, return_inverse=True)
@@ -168,6 +168,24 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "gid long, ids array<long>, lens array<long>, data binary")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, low halves first: the high halves are mostly zero and then compress to nothing."""
+    x = x.astype(np.uint32)
+    return (x & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + (x >> np.uint32(16)).astype(np.uint16).tobytes()
+
+
+def _runs(p: np.ndarray) -> bytes:
+    """Sorted places as runs of consecutive ones: first places, then numbers."""
+    p = np.unique(p)
+    first = np.zeros(0, np.int64) if not len(p) else np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1] + 1]))
+    return np.concatenate([p[first], np.diff(first, append=len(p))]).astype(np.uint32).tobytes() if len(p) else b""
+
+
+def _unplaned(b: bytes) -> np.ndarray:
+    x = np.frombuffer(b, np.uint16)
+    return x[: len(x) // 2].astype(np.int64) | x[len(x) // 2 :].astype(np.int64) << 16
+
+
 def _bytes(row: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(row), np.uint8) if row else np.zeros(0, np.uint8)
 
@@ -194,7 +212,7 @@ def _anchored(packed: DataFrame, buckets: int, length: int) -> DataFrame:
                 for k in np.flatnonzero(cut[1:] > cut[:-1]):
                     x = o[cut[k] : cut[k + 1]]
                     d, first = np.unique(doc[x], return_index=True)
-                    for name, value in zip(out, (int(k), r["gid"], (h[x] >> np.uint64(24)).astype(np.uint32).tobytes(), np.diff(p[x], prepend=0).astype(np.uint32).tobytes(), ids[d].tobytes(), np.diff(first, append=len(x)).astype(np.uint32).tobytes()), strict=True):
+                    for name, value in zip(out, (int(k), r["gid"], (h[x] >> np.uint64(24)).astype(np.uint32).tobytes(), _planes(np.diff(p[x], prepend=0)), np.diff(ids[d], prepend=0).tobytes(), _planes(np.diff(first, append=len(x)))), strict=True):
                         out[name].append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["gid"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in ("hashes", "pos", "docs", "counts"))], names=list(out))
 
@@ -209,8 +227,8 @@ def _shared(anchored: DataFrame, hot: int) -> DataFrame:
 
         n = [len(x) // 4 for x in pdf["pos"]]
         h = np.frombuffer(b"".join(pdf["hashes"]), np.uint32)
-        pos = np.concatenate([np.cumsum(np.frombuffer(x, np.uint32), dtype=np.int64) for x in pdf["pos"]])
-        doc = np.repeat(np.frombuffer(b"".join(pdf["docs"]), np.int64), np.frombuffer(b"".join(pdf["counts"]), np.uint32))
+        pos = np.concatenate([np.cumsum(_unplaned(x)) for x in pdf["pos"]])
+        doc = np.repeat(np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in pdf["docs"]]), np.concatenate([_unplaned(x) for x in pdf["counts"]]))
         row = np.repeat(np.arange(len(pdf)), n)
         o = np.argsort(h, kind="stable")
         s = h[o]
@@ -284,7 +302,7 @@ def _segments(joined: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def _matched(segments: DataFrame, length: int) -> DataFrame:
-    """gid, starts: places of strings that a smaller document has, from each bucket's suffix arrays."""
+    """gid, starts: runs (first place, number) of strings that a smaller document has, from each bucket's suffix arrays."""
 
     def run(pdf):
         import pandas as pd
@@ -314,13 +332,32 @@ def _matched(segments: DataFrame, length: int) -> DataFrame:
         order = np.lexsort((p, g))
         g, p = g[order], p[order]
         cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else []
-        return pd.DataFrame({"gid": [int(g[a]) for a in cut], "starts": [p[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, [*cut[1:], len(g)] if len(cut) else [], strict=True)]})
+        return pd.DataFrame({"gid": [int(g[a]) for a in cut], "starts": [_runs(p[a:b]) for a, b in zip(cut, [*cut[1:], len(g)] if len(cut) else [], strict=True)]})
 
     return segments.groupBy("bucket").applyInPandas(run, "gid long, starts binary")
 
 
+def _hot_places(shared: DataFrame) -> DataFrame:
+    """The rows of shared with hot anchors only."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for gid, pos, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hot = np.frombuffer(keys, np.int64) < 0
+                if hot.any():
+                    for c, v in zip(out, (gid, np.frombuffer(pos, np.uint32)[hot].tobytes(), np.frombuffer(keys, np.int64)[hot].tobytes()), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["gid", "pos", "keys"])
+
+    return shared.select("gid", "pos", "keys").mapInArrow(run, "gid long, pos binary, keys binary")
+
+
 def _hot_strings(joined: DataFrame, length: int) -> DataFrame:
-    """gid, pos, doc, string: hash of every string of `length` bytes around a hot anchor."""
+    """gid, string, doc, pos, later: each string of `length` bytes around hot anchors of a block, once, by its 128-bit hash, with its smallest document there,
+    its places, and those of them that are in other documents."""
 
     def run(batches):
         import pyarrow as pa
@@ -329,15 +366,20 @@ def _hot_strings(joined: DataFrame, length: int) -> DataFrame:
             for r in batch.to_pylist():
                 key, doc, a, b, _ = _spans(r, length)
                 x = key < 0
-                data, seen = _bytes(r["data"]).tobytes(), {}
-                for d, s, e in zip(doc[x].tolist(), a[x].tolist(), b[x].tolist(), strict=True):
-                    for p in range(s, e - length + 1):
-                        seen[p] = d
-                if seen:
-                    pos = list(seen)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["gid"]] * len(pos), pa.int64()), pa.array(pos, pa.int64()), pa.array([r["ids"][seen[p]] for p in pos], pa.int64()), pa.array([hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in pos], pa.binary())], names=["gid", "pos", "doc", "string"])
+                data, found = _bytes(r["data"]).tobytes(), {}
+                places = {p: d for d, s, e in zip(doc[x].tolist(), a[x].tolist(), b[x].tolist(), strict=True) for p in range(s, e - length + 1)}
+                for p, d in places.items():
+                    found.setdefault(data[p : p + length], []).append((r["ids"][d], p))
+                out: list[list] = [[], [], [], []]
+                for string, at in found.items():
+                    low = min(at)[0]
+                    row = (hashlib.blake2b(string, digest_size=16).digest(), low, _runs(np.array([p for _, p in at])), _runs(np.array([p for i, p in at if i > low], np.int64)) if len(at) > 1 else b"")
+                    for c, v in zip(out, row, strict=True):
+                        c.append(v)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([r["gid"]] * len(found), pa.int64()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["gid", "string", "doc", "pos", "later"])
 
-    return joined.mapInArrow(run, "gid long, pos long, doc long, string binary")
+    return joined.mapInArrow(run, "gid long, string binary, doc long, pos binary, later binary")
 
 
 def _cut(packed: DataFrame, marks: DataFrame, length: int) -> DataFrame:
@@ -349,9 +391,9 @@ def _cut(packed: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                 data, ids, lens = _bytes(r["data"]), r["ids"], np.array(r["lens"], np.int64)
                 edge = np.zeros(len(data) + 1, np.int32)
                 for x in r["starts"] or ():
-                    p = np.frombuffer(x, np.uint32).astype(np.int64)
-                    np.add.at(edge, p, 1)
-                    np.add.at(edge, p + length, -1)
+                    first, n = np.frombuffer(x, np.uint32).astype(np.int64).reshape(2, -1)
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, first + n - 1 + length, -1)
                 gone = np.cumsum(edge)[: len(data)] > 0
                 out, at = [], 0
                 for n in lens.tolist():
@@ -368,40 +410,28 @@ def _cut(packed: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     return marked.select("ids", "lens", "data", "starts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _sweep(spark) -> None:
-    """Lets Spark drop shuffle files that nothing needs any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = 20_000) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = 10_000) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one for each input row. length: 33 to 64 bytes."""
     if not 33 <= length <= 64:
         raise ValueError("length must be from 33 to 64")
     spark = docs.sparkSession
+    small_batches(spark)
     packed = written(_packed(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))), "texts")
+    sweep(spark)
     total = packed.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 << 20) + 1)
     shared = written(_shared(_anchored(packed, buckets, length), hot), "shared")
-    _sweep(spark)
+    sweep(spark)
     near = shared.groupBy("gid").agg(F.collect_list("pos").alias("pos"), F.collect_list("keys").alias("keys"))
     joined = packed.join(near, "gid")
     marks = written(_matched(_segments(joined, buckets, length), length), "marks")
-    is_hot = shared.where(F.instr(F.hex("keys"), "F" * 16) > 0).select("gid").distinct()
+    is_hot = written(_hot_places(shared), "hot")
     if not is_hot.isEmpty():
-        strings = written(_hot_strings(joined.join(is_hot, "gid", "left_semi"), length), "strings")
+        there = written(is_hot.groupBy("gid").agg(F.collect_list("pos").alias("pos"), F.collect_list("keys").alias("keys")), "hot")
+        strings = written(_hot_strings(packed.join(sent(there, 20_000), "gid"), length), "strings")
+        # Only strings of several blocks need the others' first document.
         first = strings.groupBy("string").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("string", "first")
-        late = strings.join(first, "string").where("doc > first").groupBy("gid", F.floor(F.col("pos") / 4096).alias("part")).agg(F.collect_list("pos").alias("pos"))
-        marks = marks.union(written(_pack_positions(late), "marks"))
-    _sweep(spark)
+        late = strings.join(sent(written(first, "first")), "string", "left").select("gid", F.when(F.col("first") < F.col("doc"), F.col("pos")).otherwise(F.col("later")).alias("starts")).where(F.length("starts") > 0)
+        marks = marks.union(written(late, "marks"))
+    sweep(spark)
     return _cut(packed, marks, length)
-
-
-def _pack_positions(late: DataFrame) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(p, np.uint32).tobytes() for p in batch.column(1).to_pylist()], pa.binary())], names=["gid", "starts"])
-
-    return late.select("gid", "pos").mapInArrow(run, "gid long, starts binary")
