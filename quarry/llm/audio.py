@@ -6,8 +6,7 @@ for every window of 16 frames. Recordings with equal integer sequences form a cl
 a row the one with the least hash) meet equal landmarks of query classes; the histogram of their offsets proposes one alignment for each two classes, and the share of
 differing bits where they overlap decides.
 
-An alignment is proposed only where at least one landmark, and a share `least_equal` of the integers that overlap, is equal at its offset; the tests measure how many of the alignments that
-brute force finds are lost by that.
+An alignment is proposed only where at least one landmark is equal at its offset.
 
 Defined results: a null or too short recording has no integers, is in a class of its own and aligns with nothing; a null id is kept as null, in no class, and is no query. Repeated rows are members of one class, one
 result row for each input row; of equally supported offsets the nearest to 0, then the lower is taken, of equally good queries the one with the smallest class id. Recordings of any length are read whole, in pieces. An empty
@@ -140,7 +139,7 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return hi - lo, float(np.bitwise_count(x).sum()) / (32 * (hi - lo))
 
 
-def aligned(media: DataFrame, is_query: Column, id_col: str, audio: Column, least: int = 16, most_errors: float = 0.05, least_equal: float = 0.003, **how) -> DataFrame:
+def aligned(media: DataFrame, is_query: Column, id_col: str, audio: Column, least: int = 6, most_errors: float = 0.1, **how) -> DataFrame:
     """Rows (id, n_frames, print, class_id, n_queries, best_query, offset, overlap, bit_error), one for each input row.
 
     class_id is the smallest id with the same integers; n_queries counts the other classes that hold a query (a row where is_query, a column over `id`, holds) and align
@@ -157,7 +156,7 @@ def aligned(media: DataFrame, is_query: Column, id_col: str, audio: Column, leas
     asked = marked.where("q = 1").select(F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("at").alias("qat"), "value")
     votes = places.join(asked, "value").where("c <> qc").groupBy("qc", "c", "qn", "n", (F.col("qat") - F.col("at")).alias("offset")).count()
     overlap = F.least("qn", F.col("n") + F.col("offset")) - F.greatest(F.lit(0), F.col("offset"))
-    votes = votes.where((overlap >= least) & (F.col("count") >= least_equal * overlap))
+    votes = votes.where(overlap >= least)
     best = votes.groupBy("qc", "c").agg(F.max(F.struct("count", -F.abs("offset"), -F.col("offset"))).alias("x")).select("qc", "c", (-F.col("x.col3")).alias("offset"))
     # Query classes are dealt over parts of about PART; a class goes once to each part that it may align with, with the list of its alignments there.
     blocks = max(1, -(-one.where("q = 1").count() // PART))
@@ -176,7 +175,7 @@ def aligned(media: DataFrame, is_query: Column, id_col: str, audio: Column, leas
             for r in batch.to_pylist():
                 if at != (r["part"], r["j"]):
                     at, held = (r["part"], r["j"]), {}
-                ints = np.array(r["ints"], np.int32)
+                ints = np.array(r["ints"], np.int32).view(np.uint32)  # of signed ones bitwise_count takes the absolute value
                 if not r["role"]:
                     held[r["c"]] = ints
                     continue

@@ -363,6 +363,23 @@ def test_audio_alignment(spark):
     assert got[101].class_id == 100 and got[102].best_query == 100 and got[102].offset == 5 and got[103].n_queries == 0 and got[104].n_frames == 0
 
 
+def test_audio_short_and_edited_copies(spark):
+    """Copies of 6 to 15 integers, and copies with 5 to 10% of their bits different, align."""
+    rng = np.random.default_rng(12)
+    a = rng.integers(0, 255, 8_000).astype(np.uint8)
+    edited = a.copy()
+    for at in range(700, 8_000, 1_600):
+        edited[at : at + 64] = rng.integers(0, 255, 64)
+    n, error = audio.bit_errors(audio.fingerprint(a.tobytes()), audio.fingerprint(edited.tobytes()), 0)
+    assert 0.05 < error < 0.1
+    cuts = {101: a[64 * 20 :][:1_536], 102: a[64 * 20 :][:2_112], 103: edited}
+    assert len(audio.fingerprint(cuts[101].tobytes())) == 6 and len(audio.fingerprint(cuts[102].tobytes())) == 15
+    rows = [(100, bytearray(a.tobytes())), *((k, bytearray(v.tobytes())) for k, v in cuts.items())]
+    got = {r.id: r for r in audio.aligned(spark.createDataFrame(rows, "i long, audio binary"), F.col("id") % 100 == 0, "i", F.col("audio")).collect()}
+    assert (got[103].best_query, got[103].offset, got[103].overlap) == (100, 0, n) and math.isclose(got[103].bit_error, error)
+    assert [(got[k].best_query, got[k].offset, got[k].overlap) for k in (101, 102)] == [(100, 20, 6), (100, 20, 15)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
