@@ -2,14 +2,14 @@
 
 A recording (unsigned 8-bit or signed 16-bit mono PCM) becomes frames of 12 pitch-class energies by short Fourier transforms. Filters compare rectangles of these
 frames in time and pitch, read off an integral image, and give 2 Gray-coded bits each: 16 filters, one packed 32-bit integer
-for every window of 16 frames. Recordings with equal integer sequences form a class. To search, a recording's landmarks (of every 16 integers in
-a row the one with the least hash) meet equal landmarks of query classes; the histogram of their offsets proposes one alignment for each two classes, and the share of
-differing bits where they overlap decides.
+for every window of 16 frames. Recordings with equal integer sequences form a class. To search, the integers of all classes go once to each part of the query classes
+and vote for the offsets at which they meet integers of a query that are equal in the first or the last 12 filters. Every offset with a vote is compared, and the share of
+differing bits where the two overlap decides.
 
-An alignment is proposed only where at least one landmark is equal at its offset.
+An alignment without any such integer at its offset is not found; the tests measure how many of the recordings that brute force aligns are lost by that.
 
 Defined results: a null or too short recording has no integers, is in a class of its own and aligns with nothing; a null id is kept as null, in no class, and is no query. Repeated rows are members of one class, one
-result row for each input row; of equally supported offsets the nearest to 0, then the lower is taken, of equally good queries the one with the smallest class id. Recordings of any length are read whole, in pieces. An empty
+result row for each input row; of two classes' alignments the one with most votes is taken, then the nearest to 0, then the lower, of equally good queries the one with the smallest class id. Recordings of any length are read whole, in pieces. An empty
 table gives an empty table; other columns, whatever their names, are ignored.
 """
 
@@ -21,12 +21,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import sent, small_batches, written
+from quarry.llm.common import small_batches, written
 
 WINDOW = 16  # frames that one integer sees
 #: Bits that two landmarks must share: three filters of four.
 MASK = np.uint32(0x00FFFFFF)
-PART = 256
+#: Bits that are equal where two integers vote: the first or the last 12 filters.
+VOTES = (np.uint32(0x00FFFFFF), np.uint32(0xFFFFFF00))
+#: Integers of query classes in one part, integers of other classes looked up at once, and votes or integers compared at once.
+PART, SLICE, AT_ONCE = 1 << 20, 1 << 15, 1 << 21
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 
 
@@ -103,7 +106,7 @@ def fingerprint(audio: bytes | None, rate: int = 8000, width: int = 1, frame: in
 
 
 def landmarks(ints: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the integers that stand for a recording in the search: the least by hash of each `window` in a row, each value once."""
+    """Places of integers that stand for a recording: the least by hash of each `window` in a row, each value once. The search does not use them, it votes with all."""
     if not len(ints):
         return np.zeros(0, np.int64)
     ints = ints & MASK
@@ -115,7 +118,7 @@ def landmarks(ints: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def fingerprints(media: DataFrame, id_col: str, audio: Column, **how) -> DataFrame:
-    """Rows (id, n_frames, print (sha256 of the integers), ints array<int>, marks array<int>: places of the landmarks), one for each input row."""
+    """Rows (id, n_frames, print (sha256 of the integers), ints array<int>), one for each input row."""
 
     def run(batches):
         import pyarrow as pa
@@ -125,9 +128,9 @@ def fingerprints(media: DataFrame, id_col: str, audio: Column, **how) -> DataFra
             ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint32), *got]).view(np.int32)
             names = [hashlib.sha256(g.astype("<u4").tobytes()).hexdigest() for g in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([landmarks(g).tolist() for g in got], pa.list_(pa.int32()))], names=["id", "n_frames", "print", "ints", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "n_frames", "print", "ints"])
 
-    return media.select(F.col(id_col).cast("long").alias("id"), audio.cast("binary").alias("audio")).mapInArrow(run, "id long, n_frames long, print string, ints array<int>, marks array<int>")
+    return media.select(F.col(id_col).cast("long").alias("id"), audio.cast("binary").alias("audio")).mapInArrow(run, "id long, n_frames long, print string, ints array<int>")
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
@@ -139,6 +142,74 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return hi - lo, float(np.bitwise_count(x).sum()) / (32 * (hi - lo))
 
 
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i, counts[i] times: i, and 0, 1, ... counts[i] - 1."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def chunks(weights: np.ndarray, most: int):
+    """Slices of adjacent items whose weights sum to at most `most`, or of a single item."""
+    ends, at = np.cumsum(weights), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+        yield slice(at, to)
+        at = to
+
+
+class Part:
+    """The integers of some query classes, to be met by those of other classes."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray):
+        self.ids, self.sizes, self.flat, self.starts = ids, sizes, flat, np.cumsum(sizes) - sizes
+        own, at = spread(sizes)
+        self.by = []
+        for mask in VOTES:
+            order = np.argsort(flat & mask, kind="stable")
+            self.by.append((mask, (flat & mask)[order], own[order], at[order]))
+
+    def votes(self, ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+        """(class, query, offset, votes) of all offsets with a vote and at least `least` integers that overlap, classes and queries by number."""
+        own, at = spread(sizes)
+        low = -int(sizes.max(initial=0))
+        span = int(self.sizes.max(initial=0)) - low + 1
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for mask, values, qown, qat in self.by:
+            lo = np.searchsorted(values, flat & mask, "left")
+            n = np.searchsorted(values, flat & mask, "right") - lo
+            hit = np.flatnonzero(n)
+            for some in chunks(n[hit], AT_ONCE):
+                of, k = spread(n[hit[some]])
+                f = hit[some][of]
+                q = lo[f] + k
+                offset = qat[q] - at[f]
+                fits = (ids[own[f]] != self.ids[qown[q]]) & (np.minimum(self.sizes[qown[q]], sizes[own[f]] + offset) - np.maximum(0, offset) >= least)
+                new, m = np.unique(((own[f] * len(self.ids) + qown[q]) * span + offset - low)[fits], return_counts=True)
+                keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, m]), len(keys)).astype(np.int64)
+        pair, offset = np.divmod(keys, span)
+        return (*np.divmod(pair, max(1, len(self.ids))), offset + low, counts)
+
+    def links(self, ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, least: int, most_errors: float) -> tuple[np.ndarray, ...]:
+        """(class, query, offset, overlap, bit_error), one for each two classes that align: of their alignments that with most votes."""
+        c, q, offset, votes = self.votes(ids, sizes, flat, least)
+        lo = np.maximum(0, offset)
+        n = np.minimum(self.sizes[q], sizes[c] + offset) - lo
+        bits = np.zeros(len(n), np.int64)
+        starts = np.cumsum(sizes) - sizes
+        for some in chunks(n, AT_ONCE):
+            of, k = spread(n[some])
+            x = self.flat[(self.starts[q[some]] + lo[some])[of] + k] ^ flat[(starts[c[some]] + lo[some] - offset[some])[of] + k]
+            bits[some] = np.add.reduceat(np.bitwise_count(x).astype(np.int64), np.cumsum(n[some]) - n[some])
+        error = bits / (32 * n)
+        good = np.flatnonzero(error <= most_errors)
+        good = good[np.lexsort((offset[good], np.abs(offset[good]), -votes[good], q[good], c[good]))]
+        first = np.ones(len(good), bool)
+        first[1:] = (np.diff(c[good]) != 0) | (np.diff(q[good]) != 0)
+        good = good[first]
+        return c[good], q[good], offset[good], n[good], error[good]
+
+
 def aligned(media: DataFrame, is_query: Column, id_col: str, audio: Column, least: int = 6, most_errors: float = 0.1, **how) -> DataFrame:
     """Rows (id, n_frames, print, class_id, n_queries, best_query, offset, overlap, bit_error), one for each input row.
 
@@ -149,46 +220,50 @@ def aligned(media: DataFrame, is_query: Column, id_col: str, audio: Column, leas
     rows = written(fingerprints(media, id_col, audio, **how), "prints")
     sound = rows.where("id is not null and n_frames > 0")
     classes = sound.groupBy("print").agg(F.min("id").alias("c"), F.max(is_query.cast("int")).alias("q"))
-    one = sound.join(classes.where("c is not null").withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("id") == F.col("c"))).select("c", "q", "ints", "marks").dropDuplicates(["c"])
+    one = sound.join(classes.where("c is not null").withColumnRenamed("print", "p"), (F.col("print") == F.col("p")) & (F.col("id") == F.col("c"))).select("c", "q", "ints").dropDuplicates(["c"])
     one = written(one, "classes")
-    marked = one.select("c", "q", F.size("ints").alias("n"), F.explode(F.transform("marks", lambda m: F.struct(m.alias("at"), F.get("ints", m).bitwiseAND(int(MASK)).alias("value")))).alias("x")).select("c", "q", "n", "x.*")
-    places = marked.drop("q")
-    asked = marked.where("q = 1").select(F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("at").alias("qat"), "value")
-    votes = places.join(asked, "value").where("c <> qc").groupBy("qc", "c", "qn", "n", (F.col("qat") - F.col("at")).alias("offset")).count()
-    overlap = F.least("qn", F.col("n") + F.col("offset")) - F.greatest(F.lit(0), F.col("offset"))
-    votes = votes.where(overlap >= least)
-    best = votes.groupBy("qc", "c").agg(F.max(F.struct("count", -F.abs("offset"), -F.col("offset"))).alias("x")).select("qc", "c", (-F.col("x.col3")).alias("offset"))
-    # Query classes are dealt over parts of about PART; a class goes once to each part that it may align with, with the list of its alignments there.
-    blocks = max(1, -(-one.where("q = 1").count() // PART))
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    asks = written(best.groupBy(part("qc").alias("part"), "c").agg(F.collect_list(F.struct("qc", "offset")).alias("with")), "asks")
-    sizes = asks.groupBy("part").agg(F.ceil(F.count("*") / (8 * PART)).cast("int").alias("na"))
-    follow = sent(asks).join(one.select("c", "ints"), "c").join(sizes, "part").select("part", F.pmod(F.xxhash64("c"), F.col("na")).cast("int").alias("j"), F.lit(1).alias("role"), "c", "ints", "with")
-    lead = one.where("q = 1").select(part("c").alias("part"), "c", "ints").join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), F.lit(0).alias("role"), "c", "ints", F.lit(None).cast("array<struct<qc:bigint,offset:int>>").alias("with"))
+    # Query classes are dealt over parts of about PART integers; every class goes once to each part, in splits of twice a part's integers, each with all of the part.
+    total, asked = one.agg(F.coalesce(F.sum(F.size("ints").cast("long")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("q") == 1, F.size("ints").cast("long"))), F.lit(0))).first()
+    parts = max(1, -(-asked // PART))
+    splits = max(1, -(-total // max(SLICE, 2 * asked // parts)))
+    dealt = lambda n: F.pmod(F.xxhash64("c"), F.lit(n)).cast("int")
+    lead = one.where("q = 1").select(dealt(parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), F.lit(0).alias("role"), "c", "ints")
+    follow = one.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("c", F.lit(1)), F.lit(splits)).cast("int").alias("split"), F.lit(1).alias("role"), "c", "ints")
 
     def compare(batches):
         import pyarrow as pa
 
-        at, held = None, {}
+        at, held, part = None, [], None
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for r in batch.to_pylist():
-                if at != (r["part"], r["j"]):
-                    at, held = (r["part"], r["j"]), {}
-                ints = np.array(r["ints"], np.int32).view(np.uint32)  # of signed ones bitwise_count takes the absolute value
-                if not r["role"]:
-                    held[r["c"]] = ints
+            where = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            ids, lists = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, starts = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.cumsum(sizes) - sizes
+            edges = [i for i in range(len(where)) if not i or where[i] != where[i - 1]] + [len(where)]
+            out: list[list] = [[], [], [], [], [], []]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if at != where[a][:2]:
+                    at, held, part = where[a][:2], [], None
+                cut = lambda s: (ids[s], sizes[s], flat[starts[s.start] : starts[s.stop - 1] + sizes[s.stop - 1]])
+                if not where[a][2]:
+                    held.append(tuple(x.copy() for x in cut(slice(a, b))))
+                    continue
+                if not held:
                     continue
-                for x in r["with"]:
-                    n, e = bit_errors(held[x["qc"]], ints, x["offset"])
-                    if n >= least and e <= most_errors:
-                        for col, v in zip(out, (x["qc"], r["c"], x["offset"], n, e), strict=True):
-                            col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["qc", "c", "offset", "overlap", "bit_error"])
-
-    both = lead.union(follow).repartition("part", "j").sortWithinPartitions("part", "j", "role")
-    found = both.mapInArrow(compare, "qc long, c long, offset int, overlap long, bit_error double")
-    found = found.groupBy("c").agg(F.count("*").alias("n_queries"), F.min(F.struct("bit_error", -F.col("overlap"), "qc", "offset", "overlap")).alias("x"))
+                part = part or Part(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                for some in chunks(sizes[a:b], SLICE):
+                    i, s, f = cut(slice(a + some.start, a + some.stop))
+                    c, q, offset, n, e = part.links(i, s, f, least, most_errors)
+                    best = np.lexsort((offset, part.ids[q], -n, e, c))
+                    best = best[np.concatenate([[True], np.diff(c[best]) != 0])[: len(best)]]
+                    for col, v in zip(out, (i[c[best]], np.bincount(c, minlength=len(i))[c[best]], part.ids[q[best]], offset[best], n[best], e[best]), strict=True):
+                        col.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], k) for x, k in zip(out, kinds, strict=True)], names=["c", "n_queries", "qc", "offset", "overlap", "bit_error"])
+
+    both = lead.union(follow).repartition("part", "split").sortWithinPartitions("part", "split", "role")
+    found = both.mapInArrow(compare, "c long, n_queries long, qc long, offset int, overlap long, bit_error double")
+    found = found.groupBy("c").agg(F.sum("n_queries").alias("n_queries"), F.min(F.struct("bit_error", -F.col("overlap"), "qc", "offset", "overlap")).alias("x"))
     named = classes.join(found, "c", "left").select("print", F.col("c").alias("class_id"), F.coalesce("n_queries", F.lit(0)).cast("long").alias("n_queries"), F.col("x.qc").alias("best_query"), F.col("x.offset").alias("offset"), F.col("x.overlap").alias("overlap"), F.col("x.bit_error").alias("bit_error"))
     out = rows.select("id", "n_frames", "print", F.when(F.col("id").isNotNull() & (F.col("n_frames") > 0), F.col("print")).alias("k")).join(named.withColumnRenamed("print", "k"), "k", "left")
     return out.select("id", "n_frames", "print", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_queries", F.lit(0)).cast("long").alias("n_queries"), "best_query", "offset", "overlap", "bit_error")

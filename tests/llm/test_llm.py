@@ -380,6 +380,66 @@ def test_audio_short_and_edited_copies(spark):
     assert [(got[k].best_query, got[k].offset, got[k].overlap) for k in (101, 102)] == [(100, 20, 6), (100, 20, 15)]
 
 
+def test_audio_recall_of_clips_cut_anywhere(spark):
+    """aligned() itself against brute force: clips off the hop, short ones, and noise on every sample."""
+    rng = np.random.default_rng(14)
+    clips, there = {}, set()
+    for i in range(1, 121):
+        notes = 220 * 2 ** (rng.integers(0, 24, 24) / 12)
+        a = (128 + 50 * np.sin(2 * np.pi * np.cumsum(np.repeat(notes, 500)) / 8000) + rng.normal(0, 2, 12_000)).clip(0, 255).astype(np.uint8)
+        start = 64 * int(rng.integers(0, 40)) + int(rng.integers(1, 64))
+        b = a[start :][: int(rng.integers(1_536, 3_000)) if i % 2 else None]
+        b = (b + rng.normal(0, 2 if i % 3 == 0 else 0, len(b))).clip(0, 255).astype(np.uint8)
+        clips |= {100 * i: a, 100 * i + 1: b}
+        x, y = audio.fingerprint(a.tobytes()), audio.fingerprint(b.tobytes())
+        if any(n >= 6 and e <= 0.1 for n, e in (audio.bit_errors(x, y, o) for o in range(-len(y), len(x)))):
+            there.add(100 * i + 1)
+    df = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in clips.items()], "i long, audio binary")
+    got = {r.id: r for r in audio.aligned(df, F.col("id") % 100 == 0, "i", F.col("audio")).collect()}
+    prints = {k: audio.fingerprint(v.tobytes()) for k, v in clips.items()}
+    for k, r in got.items():
+        if r.best_query is not None:
+            n, e = audio.bit_errors(prints[r.best_query], prints[k], r.offset)
+            assert n == r.overlap >= 6 and math.isclose(e, r.bit_error) and e <= 0.1
+    assert len(there) >= 100
+    assert sum(got[k].best_query == k - 1 for k in there) >= 0.9 * len(there)
+
+
+@pytest.mark.parametrize("size", [1 << 20, 64])
+def test_audio_links_by_brute_force(spark, size, monkeypatch):
+    """Parts, splits and slices of any size give the links of all voted offsets."""
+    for name in ("PART", "SLICE", "AT_ONCE"):
+        monkeypatch.setattr(audio, name, size)
+    rng = np.random.default_rng(15)
+    base = [rng.integers(0, 255, 3_000).astype(np.uint8) for _ in range(4)] + [np.full(3_000, 7, np.uint8)]
+    rows = {i: base[i % 5][64 * int(rng.integers(0, 10)) :][: int(rng.integers(1_400, 3_000))] for i in range(60)}
+    prints = {i: audio.fingerprint(a.tobytes()) for i, a in rows.items()}
+    first = {}
+    for i in sorted(prints):
+        if len(prints[i]):
+            first.setdefault(prints[i].tobytes(), i)
+    asked = {first[prints[i].tobytes()] for i in prints if i % 3 == 0 and len(prints[i])}
+
+    def best(q, c):
+        x, y, good = prints[q], prints[c], []
+        for o in range(-len(y) + 6, len(x) - 5):
+            lo, hi = max(0, o), min(len(x), len(y) + o)
+            d = x[lo:hi] ^ y[lo - o : hi - o]
+            votes = int(sum((d & m == 0).sum() for m in audio.VOTES))
+            n, e = audio.bit_errors(x, y, o)
+            if votes and n >= 6 and e <= 0.1:
+                good.append(((-votes, abs(o), o), (e, -n, q, o)))
+        return min(good)[1] if good else None
+
+    df = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in rows.items()], "i long, audio binary")
+    for r in audio.aligned(df, F.col("id") % 3 == 0, "i", F.col("audio")).collect():
+        c = first.get(prints[r.id].tobytes())
+        links = [x for q in asked if c is not None and q != c and (x := best(q, c))]
+        assert r.n_queries == len(links)
+        if links:
+            assert (r.bit_error, -r.overlap, r.best_query, r.offset) == min(links)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
