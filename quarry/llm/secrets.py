@@ -2,7 +2,7 @@
 
 Fixed patterns (leftmost, non-overlapping for each kind; matches that are too short are dropped): assign,
 access and hex. The method adds kind `guess`: the value that follows a credential word (password, pwd,
-passphrase, pin, credential, auth and the like, with `:`, `=` or `is`) is cut into words, dates, repeats, keyboard walks, sequences
+passphrase, pin, credential, auth and the like, alone or as a part of a name as in `DB_PASSWORD` or `clientSecret`, with `:`, `=` or `is`) is cut into words, dates, repeats, keyboard walks, sequences
 and brute-force spans by dynamic programming, so that the product of the parts' guesses is least; a value
 that would take at least 10**`min_log10` guesses is a secret, one that is easily guessed (`changeme`,
 `aaaaaaaa`, `12/03/1999`) is not. Spans are in code points, end exclusive.
@@ -30,8 +30,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal either way, so this finds the runs of HEX that are long enough
-CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|credentials?|secret|auth(?:orization)?|token|api[_-]?key|access[_-]?key|private[_-]?key)\b["']?(?:\x20*(?:[:=]|=>)|\x20is)\x20*["']?([^\s"'<>,;]{6,})""", re.I | re.A)
-HINT = re.compile(r"pass|pwd|credential|secret|auth|token|api|access|private", re.I | re.A)
+#: A credential word as a part of an identifier (DB_PASSWORD, clientSecret): short words that other words hold start at a part's start, all end at a part's end.
+WORD = re.compile(r"""(?:pass(?:word|wd|phrase|code)s?|pwds?|credentials?|secret(?:[_-]?key)?s?|tokens?|(?:api|access|private)[_-]?keys?|(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass|pins?|auth(?:orization)?))(?:(?![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))""", re.I | re.A)
+PART = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
+#: What is left of the identifier, then `:`, `=` or `is`, then the value after a scheme (Bearer, Basic).
+REST = re.compile(r"[a-z0-9_.-]*+", re.I | re.A)
+VALUE = re.compile(r"""["']?(?:\x20*(?:=>|[:=])|(?<![.-])\x20is(?=[\x20"']))\x20*["']?(?>(?:bearer|basic)\x20+["']?)?([^\s"'<>,;]{6,})""", re.I | re.A)
+HINT = re.compile(r"pass|pwd|pin|credential|secret|auth|token|api|access|private", re.I | re.A)
 
 #: Frequent words of passwords, the most frequent first.
 WORDS = (
@@ -104,10 +109,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def values(text: str):
+    """(start, end) of the values that follow credential words, in one pass."""
+    at = 0
+    while word := WORD.search(text, at):
+        at = REST.match(text, word.end()).end()  # other words of this identifier would have the same value
+        if found := VALUE.match(text, at):
+            yield found.span(1)
+            # A value that ends as an identifier may name the next value (auth: password: x).
+            at = found.start(1) + len(found[1].rstrip(":=>").rstrip(PART))
+
+
 def guess_spans(text: str, min_log10: float) -> list[tuple[int, int, int]]:
     if not HINT.search(text):
         return []
-    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], min_log10) >= min_log10]
+    out, end = [], 0
+    for a, b in values(text):
+        if a >= end and guess_cost(text[a:b], min_log10) >= min_log10:
+            out.append((a, 3, b))
+            end = b
+    return out
 
 
 def scan(text: str | None, min_log10: float = 10.0) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -221,6 +221,22 @@ def brute_cost(v):
     return best[0]
 
 
+def test_secrets_after_compound_names():
+    for text, value in (
+        ('DB_PASSWORD="Xk9#mQ2!vLpz"', "Xk9#mQ2!vLpz"), ("db_password: Xk9#mQ2!vLpz", "Xk9#mQ2!vLpz"), ("client_secret = Xk9#mQ2!vLpz", "Xk9#mQ2!vLpz"), ('SECRET_KEY = "Xk9#mQ2!vLpz"', "Xk9#mQ2!vLpz"),
+        ("DB_PWD=r7TqB2xZw8", "r7TqB2xZw8"), ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI/K7MDENG"), ("app.clientSecret: Xk9#mQ2!vLpz", "Xk9#mQ2!vLpz"), ("login-pin: 83jd#2Lq9x", "83jd#2Lq9x"),
+        ("accessToken => 'Xk9#mQ2!vLpz'", "Xk9#mQ2!vLpz"), ("the password is Xk9#mQ2!vLpz", "Xk9#mQ2!vLpz"), ("Authorization: Bearer r7TqB2xZw8Lm", "r7TqB2xZw8Lm"), ('"Authorization": "Basic r7TqB2xZw8Lm"', "r7TqB2xZw8Lm"),
+        ("auth: password: Xk9#mQ2!vLpz", "Xk9#mQ2!vLpz"), ("password: changeme token_2: Xk9#mQ2!vLpz", "Xk9#mQ2!vLpz"),
+    ):
+        spans = secrets.guess_spans(text, 10.0)
+        assert [text[a:b] for a, _, b in spans] == [value], text
+        assert value not in secrets.masked(text, secrets.scan(text)[1])
+    for text in ("Author: Featherstonehaugh", "the secretary is Featherstonehaugh", "compass: northeasterly", "opinion is overwhelmingly", "tokenizer: sentencepiece2x", "DB_PASSWORD=changeme", "Authorization: Bearer <token>"):
+        assert secrets.guess_spans(text, 10.0) == [], text
+    for text in ("token_" * 50_000, "token=" * 50_000, "password is " * 30_000, "a_" * 100_000 + "pin"):  # one pass
+        secrets.scan(text)
+
+
 def test_mixing(docs):
     rows = mixing.mix_documents(docs).collect()
     sizes = collections.Counter()
