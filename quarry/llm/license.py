@@ -1,6 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory. DataFrame operations only.
 
-Every line of a file that holds a word of licensing is a header candidate; a licence file is also compared as a whole. Candidates and templates
+Every line of a file, and every run of up to SPAN lines, is a header candidate, as notices are wrapped; lines without words (blank ones, bare comment marks) do not count. A licence
+file is also compared as a whole. Candidates that surely stay below `least` are dropped first: those without any of the words that a score of `least` needs, and those whose bound is too
+low, the bound being a product over a length that are both sums over lines. Candidates and templates
 are sparse vectors over words: idf comes from the templates, words that no template has weigh most and only lengthen the vector.
 Templates are a small fixed table. A candidate's products with the templates come from a join on the word, so nothing
 dense is built. The best template at `least` or more names the file's license (ties: the first name).
@@ -18,6 +20,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +45,11 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 WORD = "[a-z0-9]+"
-#: A line without any of these is no candidate.
+#: Lines of one candidate at most.
+SPAN = 6
+#: Words that are frequent in any text.
+FREQUENT = "the of and to in a is that for it with as you are this by not be or from at an any can may which all if without".split()
+#: In the SQL a line without any of these is no candidate, and a candidate is one line.
 TRIGGER = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|creative commons|warrant"
 
 
@@ -57,6 +65,19 @@ def template_vectors() -> tuple[list[tuple[int, str, str, float]], dict[str, flo
     return rows, idf, math.log(1 + n) + 1
 
 
+def needed(weights: list[tuple[int, str, str, float]], least: float) -> list[str]:
+    """The templates' words without frequent ones that, by themselves, give less than `least` with every template: a candidate at `least` has one of these."""
+    left = []
+    share = Counter()
+    for word in sorted({w[2] for w in weights}, key=lambda w: (FREQUENT.index(w) if w in FREQUENT else len(FREQUENT), w)):
+        squares = Counter({i: x * x for i, _, w, x in weights if w == word})
+        if word in FREQUENT and all(share[i] + x < (least - 1e-3) ** 2 for i, x in squares.items()):
+            share.update(squares)
+        else:
+            left.append(word)
+    return left
+
+
 def _values(rows: list[tuple], names: str) -> str:
     show = lambda v: f"'{v}'" if isinstance(v, str) else f"{v}" if isinstance(v, int) else f"CAST({v!r} AS DOUBLE)"
     return "SELECT * FROM VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f" AS t({names})"
@@ -68,12 +89,32 @@ def license_scan(files: DataFrame, path: Column, licence_file: Column, id_col: s
     weights, idf, unknown = template_vectors()
     vectors = spark.sql(_values(weights, "template, license, word, weight"))
     idfs = spark.sql(_values(list(idf.items()), "word, idf"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(TRIGGER))
-    parts = F.when(licence_file, F.array_union(lines, F.array(text))).otherwise(F.array_distinct(lines))
-    found = files.where(text.rlike(TRIGGER)).select(F.coalesce(path, F.lit("")).alias("path"), F.col(id_col).alias("doc_id"), F.explode(parts).alias("part"))
+    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    trigger = f"(?<![a-z0-9])(?:{'|'.join(needed(weights, least))})(?![a-z0-9])"
+    # Each word's part in the bound: at most idf * weight in the product, idf ** 2 in the squared length (a word that comes n times adds n * n of these).
+    most = Counter()
+    for _, _, w, x in weights:
+        most[w] = max(most[w], x * idf[w])
+    table = lambda d: F.create_map(*[F.lit(x) for w, v in d.items() for x in (w, v)])
+    product, square = table(most), table({w: x * x for w, x in idf.items()})
+    summed = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda total, x: total + f(x))
+    cut = lambda x: F.regexp_extract_all(x, F.lit(f"({WORD})"))
+    line = lambda x: F.struct(x.alias("words"), summed(x, lambda w: F.coalesce(F.element_at(product, w), F.lit(0.0))).alias("p"), summed(x, lambda w: F.coalesce(F.element_at(square, w), F.lit(unknown * unknown))).alias("s"))
+    near = files.where(text.rlike(trigger)).select(F.coalesce(path, F.lit("")).alias("path"), F.col(id_col).alias("doc_id"), F.when(licence_file, F.array_join(cut(text), " ")).alias("whole"), F.transform(F.filter(F.transform(F.split(text, "\n"), cut), lambda x: F.size(x) > 0), line).alias("lines"))
+    n = F.size("lines")
+    # A run begins and ends with a template's word: without such a line it would score more.
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.get("lines", i - 1)["p"] > 0, F.transform(F.sequence(F.lit(1), F.least(F.lit(SPAN), n - i + 1)), lambda k: F.slice("lines", i, k))).otherwise(F.array())))
+    sound = F.filter(runs, lambda r: (F.element_at(r, -1)["p"] > 0) & (summed(r, lambda x: x["p"]) >= (least - 1e-5) * F.sqrt(summed(r, lambda x: x["s"]))))
+    # The same bound with each template by itself.
+    each = [table({w: x * idf[w] for i, _, w, x in weights if i == t}) for t in range(len(TEMPLATES))]
+    weigh = lambda t: lambda w: F.coalesce(F.element_at(t, w), F.lit(0.0))
+    joined = F.transform(sound, lambda r: F.struct(F.flatten(F.transform(r, lambda x: x["words"])).alias("words"), ((least - 1e-5) * F.sqrt(summed(r, lambda x: x["s"]))).alias("low")))
+    joined = F.filter(joined, lambda r: reduce(or_, (summed(r["words"], weigh(t)) >= r["low"] for t in each)))
+    parts = F.transform(joined, lambda r: F.array_join(r["words"], " "))
+    parts = F.array_distinct(F.when(F.col("whole").isNotNull(), F.concat(parts, F.array("whole"))).otherwise(parts))
+    found = near.where(n > 0).select("path", "doc_id", F.explode(parts).alias("part"))
     # From here on a candidate goes by its digest, as its rows multiply.
-    found = written(found.withColumn("words", F.regexp_extract_all(F.lower("part"), F.lit(f"({WORD})"))).withColumn("part", F.md5("part")), "candidates")
+    found = written(found.withColumn("words", F.split("part", " ")).withColumn("part", F.md5("part")), "candidates")
     # One vector for each distinct candidate, however many files hold it.
     bag = found.groupBy("part").agg(F.first("words").alias("words"))
     words = bag.select("part", F.explode("words").alias("word")).groupBy("part", "word").agg(F.count("*").alias("tf"))

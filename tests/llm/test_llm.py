@@ -340,6 +340,30 @@ def test_licenses(spark):
     assert got == {1: ("MIT", None), 2: ("GPL-3.0", "a/b/LICENSE"), 3: ("CC-BY-NC-4.0", None), 4: ("GPL-3.0", None), 5: (None, None), 6: ("MIT", "a/LICENSE"), 7: (None, None)}
 
 
+def test_licenses_of_wrapped_notices(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    rows = [
+        (1, "a/LICENSE", "Released under the MIT License.", True), (2, "a/mpl.js", f"// {mpl}\nlet x = 1\n", False), (3, "a/un.c", "/*\n * This is free and unencumbered software released into the public\n * domain.\n */\nint x;", False),
+        (4, "a/gpl.py", "import os\n# This program is free software: you can redistribute it\n#\n# and/or modify it under the terms of the GNU General\n# Public License, version 3, as published by the\n# Free Software Foundation.\nx = 1", False),
+        (5, "a/narrow.txt", "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.".replace(", ", ",\n").replace(" of ", "\nof ").split("\n")), False),
+        (6, "a/none.py", "the of and to in\nis this the\nany by", False), (7, "a/prose.txt", "you may use this software in the public domain of your choice\nand modify the program under terms that the foundation published\n" * 50, False),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string, is_file boolean")
+    got = {r.doc_id: (r.own_license, r.license, r.own_score) for r in license.license_scan(df, F.col("path"), F.col("is_file")).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: ("MIT", "MIT"), 2: ("MPL-2.0", "MPL-2.0"), 3: ("Unlicense", "Unlicense"), 4: ("GPL-3.0", "GPL-3.0"), 5: ("MIT", "MIT"), 6: (None, "MIT"), 7: (None, "MIT")}
+    weights, idf, unknown = license.template_vectors()
+    for i, _, text, whole in rows:  # every run of lines, without bounds
+        lines = [x for x in (re.findall(license.WORD, y) for y in text.lower().split("\n")) if x]
+        best = 0.0
+        for run in [*(sum(lines[a : a + k], []) for a in range(len(lines)) for k in range(1, license.SPAN + 1)), *([sum(lines, [])] if whole else [])]:
+            bag = {w: c * idf.get(w, unknown) for w, c in collections.Counter(run).items()}
+            dots = collections.Counter()
+            for t, _, w, x in weights:
+                dots[t] += bag.get(w, 0) * x
+            best = max(best, max(dots.values()) / math.sqrt(sum(x * x for x in bag.values())))
+        assert got[i][2] == (pytest.approx(best, abs=1e-6) if best >= 0.6 else None)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql_agrees(spark, name):
     db = duckdb.connect()
