@@ -33,6 +33,8 @@ from pyspark.sql.window import Window
 from quarry.llm.common import components, sent, small_batches, sweep, trim, written
 
 SIZE, BANDS = 128, 32
+#: An estimate so far below the threshold rules a link out: seven standard deviations of plain MinHash, which large sets have.
+MARGIN = 0.25
 STEP_BITS = 25
 CHUNK = 40_000
 TILE = 256
@@ -237,7 +239,7 @@ def _tiled(rows: DataFrame, percent: int) -> DataFrame:
     counts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     rows = rows.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "node", "comp", "part", "n", "sig")
-    limit = percent / 100 - 0.15  # five standard deviations of the estimate
+    limit = percent / 100 - MARGIN
 
     def run(pdf):
         import pandas as pd

@@ -140,6 +140,14 @@ def test_superminhash_varies_less():
     assert np.std(errors) < math.sqrt(0.16 / minhash.SIZE)
 
 
+def test_signature_margin_loses_less_than_bands():
+    """The estimate of two large sets at the threshold is binomial."""
+    least, p = math.ceil(minhash.SIZE * (0.8 - minhash.MARGIN)), 0.8
+    lost = sum(math.comb(minhash.SIZE, k) * p**k * (1 - p) ** (minhash.SIZE - k) for k in range(least))
+    assert lost < (1 - p ** (minhash.SIZE // minhash.BANDS)) ** minhash.BANDS
+    assert lost < 1e-9
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(400 + i, 401 + i) for i in range(60)]
