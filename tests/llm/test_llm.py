@@ -292,6 +292,13 @@ def test_language_id_held_out(spark):
     assert sum(r.rejected for r in got) <= 0.01 * len(got)
 
 
+def test_language_threshold():
+    """Where right scores are high, only most_threshold bounds the threshold."""
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(200, 40, replace=False)) + 200 * (i % 3), np.ones(40), "abc"[i % 3]) for i in range(300)]
+    assert langid.fit(rows).threshold == 0.5
+
+
 def test_vectors_by_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 8))
