@@ -2,8 +2,10 @@
 
 import base64
 import datetime
-import importlib
 import json
+import os
+import shutil
+import subprocess
 import sys
 import zipfile
 
@@ -17,7 +19,7 @@ from quarry.plans import catalog, details, pipeline  # noqa: F401
 from quarry.sources import files, layout, markdown, store, word
 from quarry.sources.excel import workbook_chunks
 from quarry.streaming import ingest
-from tests_paths import SMALL
+from tests_paths import ROOT, SMALL
 
 
 def plain(v):
@@ -62,14 +64,15 @@ def test_rouge(spark):
         assert abs(r.f1 - want) < 1e-8
 
 
-def test_entry_without_the_training_data_package(monkeypatch):
-    """The entry imports and keeps the other queries where quarry.llm and corpus_pipeline are not there."""
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n in ("quarry.llm", "corpus_pipeline") else find(n, *a))
-    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
-    entry = importlib.import_module("__spark_entry__")
-    assert set(entry.queries()) == set(catalog.QUERIES)
-    monkeypatch.delitem(sys.modules, "__spark_entry__")
+@pytest.mark.parametrize("gone", [("quarry/llm", "tests/llm", "corpus_pipeline.py"), ("quarry/llm", "tests/llm")])
+def test_entry_without_the_training_data_package(tmp_path, gone):
+    """A copy of the repository without the package imports, and keeps the other queries."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    for name in gone:
+        shutil.rmtree(copy / name) if (copy / name).is_dir() else (copy / name).unlink()
+    code = "import __spark_entry__ as e; from quarry.plans import catalog; assert set(e.queries()) == set(catalog.QUERIES); assert set(e.oracle_sql()) == set(catalog.SQL)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True, timeout=120)
 
 
 MD = "# 标题 A\n\n引言段落。\n\n- 一\n- 二\n\n## 小节\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\n# not a heading\n```\n\n结尾。\n\nSetext\n======\n\ntext\n"

@@ -1 +1,4 @@
+import os
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SMALL = "/root/testdata/sf0.001"
