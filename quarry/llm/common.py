@@ -8,26 +8,24 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where driver and executors are one process, a folder of our own if that is unset."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not getattr(sc, "_quarry_dir", None):
-        sc._quarry_dir = tempfile.mkdtemp(prefix="quarry-")  # only where no cluster names a folder
+        sc._quarry_dir = tempfile.mkdtemp(prefix="quarry-")
     return sc._quarry_dir
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """df as Parquet in the shared folder, read again: lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def _remover(spark: SparkSession, path: str):
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def drop() -> None:
@@ -37,19 +35,70 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
         except Exception:  # the session may have ended before the interpreter
             pass
 
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+    return drop
+
+
+def written(df: DataFrame, name: str = "t") -> DataFrame:
+    """df as Parquet in the shared folder, read again: lineage ends there and a lost executor costs nothing. Gone at the interpreter's end, or with discard()."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_drop = _remover(spark, path)
+    atexit.register(out._quarry_drop)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        df._quarry_drop()
+        atexit.unregister(df._quarry_drop)
+
+
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row takes once sent."""
+    total = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith("array"):
+            total = total + 16 * F.coalesce(F.size(c), F.lit(0))
+    return total.cast("long")
+
+
+def sent(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """df to be sent to every task if its measured size is small; else as it is, for a join by exchange. df should be a written table."""
+    size = df.agg(F.coalesce(F.sum(_width(df)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most_bytes else df
+
+
+#: Bits of a key filter, 8 MB at most, dealt over rows of 32,768 bits.
+FILTER_BITS = 26
+
+
+def flagged(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str, flag: str) -> DataFrame:
+    """df with a boolean column: false where the key surely is not in wanted. One hash bit a key, in a filter whose size does not
+    depend on the tables, so that most rows can be told apart before anything is exchanged."""
+    bit = lambda c: F.shiftrightunsigned(F.xxhash64(c, F.lit("filter")), 64 - FILTER_BITS)
+    spot = wanted.select(bit(F.col(wanted_key)).alias("_bit"))
+    rows = spot.groupBy(F.shiftright("_bit", 15).alias("_row")).agg(F.bitmap_construct_agg(F.col("_bit") % 32768).alias("_bits"))
+    at = df.withColumn("_bit", bit(key)).withColumn("_row", F.shiftright("_bit", 15))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(F.col("_bit") % 32768, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    inside = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0
+    return at.join(F.broadcast(rows), "_row", "left").select(*[f"`{c}`" for c in df.columns], F.coalesce(inside, F.lit(False)).alias(flag))
 
 
-def sent(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """df to be sent to every task if it is counted and small; else as it is, for a join by exchange. df should be a written table."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of df whose key may be in wanted, for a join to follow."""
+    return flagged(df, key, wanted, wanted_key, "_maybe").where("_maybe").drop("_maybe")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts go to Python workers in batches of fewer rows than Spark's default, so that a batch of long texts stays small. A session's own setting is kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if spark.conf.get(key) == "10000" and spark.sparkContext.getConf().get(key, None) is None:
         spark.conf.set(key, str(rows))
 
 
@@ -64,35 +113,36 @@ def trim() -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files that nothing needs any more."""
+    """Lets Spark drop shuffle files that nothing needs any more, and gives the driver's free memory back."""
     gc.collect()
+    trim()
     spark._jvm.System.gc()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Connected components of edges(a long, b long): rows (node, root) of every node in an edge, root the smallest node reachable.
 
     Alternates large-star and small-star steps, each a grouped minimum and an equi-join, until no edge
-    changes; the edges stay distributed and no group of neighbours is gathered. Self-loops and nulls are
-    ignored; an empty table gives an empty table.
+    changes; the edges stay distributed and no group of neighbours is gathered. After a given number of rounds the groups
+    are parts of components. Self-loops and nulls are ignored; an empty table gives an empty table.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = written(e, "edges")
-    mark = None
-    for _ in range(rounds):
+    mark, done = None, 0
+    while rounds is None or done < rounds:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = low.select("u", F.col("m").alias("v"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(kept.union(moved).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(
-        e.select("v").distinct().join(e.select("u").distinct(), F.col("v") == F.col("u"), "left_anti").select(F.col("v").alias("node"), F.col("v").alias("root"))
-    )
+        before, e, done = e, written(kept.union(moved).distinct(), "edges"), done + 1
+        discard(before)
+        if rounds is None:
+            digest = lambda k: F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)"))
+            now = e.agg(F.count("*"), digest(1), digest(2)).first()
+            if now == mark:
+                break
+            mark = now
+    roots = e.groupBy("u").agg(F.min("v").alias("root"))
+    return roots.select(F.col("u").alias("node"), "root").union(e.select("v").distinct().join(e.select("u").distinct(), F.col("v") == F.col("u"), "left_anti").select(F.col("v").alias("node"), F.col("v").alias("root")))

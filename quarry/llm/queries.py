@@ -74,5 +74,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), SHARDS, GROWN)
 
 
+#: By brute force: all pairs of a label, and what is reachable.
+VECTORS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+sound AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id, vec_id <= coalesce(low.b, vec_id) AS kept FROM v LEFT JOIN low ON low.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+
 QUERIES = {"op1_license": op1_license, "op8_audio": op8_audio, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_passages": op5_passages, "op7_vectors": op7_vectors, "op9_sharding": op9_sharding, "op6_secrets": op6_secrets, "op10_language": op10_language}
-SQL: dict[str, str] = {"op1_license": license_sql(PATH.format(id="doc_id", source="coalesce(source, '')", half="(doc_id // 5)", third="(doc_id // 2000)", fourth="(doc_id // 200)"), LICENCE_FILE), "op9_sharding": shard_sql(SHARDS, GROWN)}
+SQL: dict[str, str] = {"op1_license": license_sql(PATH.format(id="doc_id", source="coalesce(source, '')", half="(doc_id // 5)", third="(doc_id // 2000)", fourth="(doc_id // 200)"), LICENCE_FILE), "op7_vectors": VECTORS_SQL, "op9_sharding": shard_sql(SHARDS, GROWN)}
