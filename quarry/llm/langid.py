@@ -3,14 +3,14 @@
 A text's subwords are its byte n-grams of 2 to 4 bytes (ASCII letters lowered, other ASCII bytes read as a
 blank), hashed into buckets. Each bucket has a small vector; a text is the average over all its subwords,
 whole text, and a linear softmax gives the languages. Vectors and softmax are fitted together by stochastic
-gradient descent in numpy on a bounded sample: at most `per_language` training rows of each language (the first by hash of
+gradient descent in numpy on a bounded sample: at most `per_language` training documents of each language (the first by hash of
 doc_id), of at most `max_languages` languages, the most frequent first. A fifth of the sample is held back
 to calibrate: a temperature by likelihood, and a rejection threshold that lets through all but
-`false_rejects` of the rows that are predicted rightly there (never above `most_threshold`). Everything else covers all rows.
+`false_rejects` of the rows that are predicted rightly there. Everything else covers all rows.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; so is every text
-where there is nothing to learn from (no labelled row). A row with a null doc_id or lang is not learned from, and a
-null doc_id counts as not held out. Repeated rows give equal rows, one for each input row; ties between languages go to the
+where there is nothing to learn from (no labelled row). A row with a null doc_id or lang is not learned from, of rows with one doc_id and
+language the one with the least text is, and a null doc_id counts as not held out. Repeated rows give equal rows, one for each input row; ties between languages go to the
 first by code point; texts of any length are read whole, in pieces; an empty table gives an empty table;
 other columns, whatever their names, are ignored.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import small_batches, trim
+from quarry.llm.common import small_batches, sweep, trim
 
 LETTER = regex.compile(r"\p{L}")
 BUCKETS = 1 << 14
@@ -90,8 +90,8 @@ class Model:
         return self.langs[k], float(p[k]), bool(p[k] < self.threshold)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs: int = 12, rate: float = 4.0, seed: int = 7, false_rejects: float = 0.001, most_threshold: float = 0.5) -> Model:
-    """Fits on rows of (bucket ids, their counts, language)."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs: int = 12, rate: float = 4.0, seed: int = 7, false_rejects: float = 0.001) -> Model:
+    """Fits on rows of (bucket ids, the share of each in the text, language)."""
     langs = sorted({r[2] for r in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -110,7 +110,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs: i
         for at in range(0, len(used), batch):
             pick = used[at : at + batch]
             lr, step = rate * (1 - step / steps), step + 1
-            x = np.stack([(rows[i][1] / rows[i][1].sum()) @ emb[rows[i][0]] for i in pick]).astype(np.float32)
+            x = np.stack([rows[i][1] @ emb[rows[i][0]] for i in pick]).astype(np.float32)
             z = x @ w + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -121,9 +121,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs: i
             bias -= 0.1 * lr * p.sum(axis=0)
             for i, g in zip(pick, back, strict=True):
                 # Averaging shrinks each bucket's share of the gradient; the factor restores its scale.
-                emb[rows[i][0]] -= (lr * 50 * rows[i][1] / rows[i][1].sum())[:, None].astype(np.float32) * g
+                emb[rows[i][0]] -= (np.float32(lr * 50) * rows[i][1])[:, None] * g
     table = (emb @ w).astype(np.float32)
-    z = np.stack([(rows[i][1] / rows[i][1].sum()) @ table[rows[i][0]] + bias for i in held]).astype(np.float64)
+    z = np.stack([rows[i][1] @ table[rows[i][0]] + bias for i in held]).astype(np.float64)
 
     def soft(t: float) -> np.ndarray:
         e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
@@ -138,41 +138,48 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs: i
     t = float(min(loss, key=loss.get))
     p = soft(t)
     right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-    threshold = min(most_threshold, float(np.quantile(right, false_rejects))) if len(right) else 0.0
+    threshold = float(np.quantile(right, false_rejects)) if len(right) else 0.0
     return Model(langs, table, bias.astype(np.float64), t, threshold)
 
 
 def train(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, max_languages: int = 400, **how) -> Model:
-    """A model from the rows of docs for which the column train_on holds; see the module for the sample's bound."""
-    small_batches(docs.sparkSession)
+    """A model from the rows of docs for which the column train_on holds; see the module for the sample's bound, which holds before anything reaches the driver."""
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.where(train_on & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    top = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    # A few more than wanted by their hash, however large the language; then the first of them.
+    h = F.xxhash64("id")
+    some = rows.select("lang", "id", h.alias("h")).join(F.broadcast(top), "lang").where(F.col("h") / 2.0**64 + 0.5 < (1.5 * per_language + 50) / F.col("ids")).select("lang", "id", "h").distinct()
     first = Window.partitionBy("lang").orderBy("h", "id")
-    ids = rows.select("lang", "id", F.xxhash64(F.col("id").cast("string")).alias("h")).join(F.broadcast(top), "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("lang", "id").distinct()
+    ids = some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("lang", "id")
 
     def features(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, ns, langs = [], [], []
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, shares, langs, names = [], [], [], []
+            for text, lang, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if LETTER.search(text):
                     c = counts(text)
                     k = np.flatnonzero(c)
-                    ids.append(k.astype(np.int32)), ns.append(c[k]), langs.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int64())), pa.array(langs, pa.string())], names=["ids", "ns", "lang"])
-
-    got = rows.join(F.broadcast(ids), ["lang", "id"]).select("text", "lang").mapInArrow(features, "ids array<int>, ns array<long>, lang string").toArrow()
-    made = [(np.array(i.values, dtype=np.int32), np.array(n.values, dtype=np.float32), lang.as_py()) for i, n, lang in zip(got["ids"], got["ns"], got["lang"], strict=True)]
-    made.sort(key=lambda r: (r[2], len(r[0]), r[1].sum(), r[0][:8].tolist(), r[1][:8].tolist()))  # the order rows arrive in doesn't count
-    seen: dict[str, int] = {}
-    kept = []
-    for r in made:  # repeated rows can exceed the bound
-        seen[r[2]] = seen.get(r[2], 0) + 1
-        if seen[r[2]] <= 2 * per_language:
-            kept.append(r)
-    return fit(kept, **how)
+                    ids.append(k.astype(np.int16)), shares.append((c[k] / c.sum()).astype(np.float32)), langs.append(lang), names.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(ids, pa.list_(pa.int16())), pa.array(shares, pa.list_(pa.float32()))], names=["lang", "id", "ids", "shares"])
+        trim()
+
+    chosen = rows.join(F.broadcast(ids), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
+    got = chosen.select("text", "lang", "id").mapInArrow(features, "lang string, id string, ids array<short>, shares array<float>").toArrow()
+    got = got.sort_by([("lang", "ascending"), ("id", "ascending")]).combine_chunks()  # the order rows arrive in doesn't count
+    made = []
+    if len(got):
+        i, n = (got[c].chunk(0) for c in ("ids", "shares"))
+        at, ids_, shares = i.offsets.to_numpy(), i.values.to_numpy().astype(np.int32), n.values.to_numpy()
+        made = [(ids_[a:b], shares[a:b], lang) for a, b, lang in zip(at[:-1], at[1:], got["lang"].to_pylist(), strict=True)]
+    model = fit(made, **how)
+    del got, made
+    sweep(spark)
+    return model
 
 
 def held_out(id_col: str = "doc_id"):
