@@ -5,22 +5,23 @@ network then holds patterns and sources only. Each pattern offers its size sever
 higher cost (convex, so that everything is used once before anything is used twice), each source takes its quota, and
 successive shortest paths route the cheapest flow, one connected part of the pattern-source graph at a time. A pattern's flow is then taken
 from its documents: all of them as many whole times as it holds their size, and the rest from documents in a seeded hash
-order up to the remainder; the last of them are chosen so that the sum comes nearest.
+order up to the remainder; the last of them are chosen so that the sum comes nearest. Each copy counts for one of its pattern's sources, drawn by hash in proportion to the flow.
 
 Targets: the sources share the size of all documents by weight; a source's target stops at `repeats` times its
 size, and the excess is shared anew by weight until none is above.
 
-The driver holds one row for each membership pattern, never documents. Hash buckets find where the remainder ends, so that only
-documents of one bucket range (about `region_rows` of them) of each pattern are put in order.
+The driver holds one row for each membership pattern, never documents. Hash buckets, as many as the largest pattern needs, find where the remainder ends, so that only
+documents of one bucket range (about `region_rows` of them) of each pattern are put in order. There documents of one hash (rows with one key) are one entry with a number.
 
 Defined results: a null text has size 0; a null source is a source of its own (last in order); an empty source list counts as the null source; a document of size 0
-takes 0 words; repeated rows and ties count as documents of their own and are told apart by position; an empty table gives an empty table;
+takes 0 words; rows with a null key are ordered by their text; repeated rows and ties count as documents of their own, of which any may be the ones taken once more; an empty table gives an empty table;
 other columns, whatever their names, are carried in one struct and can't clash.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -29,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-FINE = 4096
+from quarry.llm.common import sent, written
+
 SOURCE_ORDER = lambda s: (s is None, s or "")  # noqa: E731  code point order, null last
 
 
@@ -56,6 +58,7 @@ def targets(sizes: dict, weight: dict, repeats: int = 3) -> dict:
 def flow(supply: dict[tuple, int], quota: dict, repeats: int = 3) -> dict[tuple[tuple, object], int]:
     """Cheapest largest flow from patterns to sources: {(pattern, source): words}; the r-th use of a pattern's words costs r - 1."""
     out: dict[tuple[tuple, object], int] = {}
+    supply = {p: supply[p] for p in sorted(supply, key=lambda p: [SOURCE_ORDER(s) for s in p])}  # of several cheapest flows always the same
     parent: dict = {}
 
     def root(x):
@@ -121,45 +124,73 @@ def _part(patterns: list[tuple], supply: dict[tuple, int], quota: dict, repeats:
     return {k: edges[i ^ 1][1] for k, i in routes.items()}
 
 
-def fill(sizes: np.ndarray, room: int) -> np.ndarray:
-    """Places of documents, in seeded order, that fill the room: each that still fits, then the one document or the one exchange that brings the sum nearest."""
-    taken, left = np.zeros(len(sizes), bool), int(room)
-    for i, n in enumerate(sizes.tolist()):
-        if n <= left:
-            taken[i], left = True, left - n
-    if left:
-        out, in_ = np.flatnonzero(~taken), np.flatnonzero(taken)
-        # Row 0 adds a document, the others exchange one for it.
-        change = np.concatenate([sizes[out][None, :], sizes[out][None, :] - sizes[in_][:, None]]) if len(out) else np.zeros((0, 0))
-        if change.size:
-            i, j = np.unravel_index(np.abs(left - change).argmin(), change.shape)
-            if abs(left - change[i, j]) < left:
-                taken[out[j]] = True
-                if i:
-                    taken[in_[i - 1]] = False
-    return np.flatnonzero(taken)
-
-
-def _filled(sizes, room):
+def fill(sizes: np.ndarray, numbers: np.ndarray, room: int) -> np.ndarray:
+    """How many documents of each entry (a size and a number of documents), in seeded order, fill the room: each that still fits, then what _nearer makes of it. If that stays off by over a
+    thousandth, as with few documents, it is tried again with each of the first left-out ones put in."""
+    sizes, numbers = np.asarray(sizes, np.int64), np.asarray(numbers, np.int64)
+    taken, left = np.zeros(len(sizes), np.int64), int(room)
+    for i, (size, n) in enumerate(zip(sizes.tolist(), numbers.tolist(), strict=True)):
+        taken[i] = n if not size else min(n, left // size)
+        left -= size * int(taken[i])
+    taken, left = _nearer(sizes, numbers, taken, left)
+    for i in np.flatnonzero(taken < numbers)[:64].tolist():
+        if abs(left) <= room / 1000:
+            break
+        if taken[i] == numbers[i]:
+            continue
+        other = taken.copy()
+        other[i] += 1
+        other, rest = _nearer(sizes, numbers, other, left - int(sizes[i]), i)
+        if abs(rest) < abs(left):
+            taken, left = other, rest
+    return taken
+
+
+def _nearer(sizes: np.ndarray, numbers: np.ndarray, taken: np.ndarray, left: int, keep: int = -1) -> tuple[np.ndarray, int]:
+    """As long as the sum comes nearer by it: the one document to add or to give back, or the one exchange of two, that brings it nearest; keep is not given back. Each step takes n log n time."""
+    taken = taken.copy()
+    for _ in range(64):
+        if not left:
+            break
+        out, in_ = np.flatnonzero(taken < numbers), np.flatnonzero(taken)
+        out = np.concatenate([[-1], out[np.argsort(sizes[out], kind="stable")]])  # -1: none
+        in_ = np.concatenate([[-1], in_[in_ != keep]])
+        more, back = np.where(out < 0, 0, sizes[out]), np.where(in_ < 0, 0, sizes[in_])
+        at = np.searchsorted(more, back + left)
+        near = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(out) - 1)])
+        gap = np.abs(left - (more[near] - back))
+        side, i = np.unravel_index(gap.argmin(), gap.shape)
+        if gap[side, i] >= abs(left):
+            break
+        j = near[side, i]
+        left -= int(more[j] - back[i])
+        if out[j] >= 0:
+            taken[out[j]] += 1
+        if in_[i] >= 0:
+            taken[in_[i]] -= 1
+    return taken, left
+
+
+def _filled(sizes, numbers, room):
     import pandas as pd
 
-    return pd.Series([(fill(np.asarray(s, np.int64), r) + 1).astype("int32") for s, r in zip(sizes, room, strict=True)])
+    return pd.Series([fill(s, n, r) for s, n, r in zip(sizes, numbers, room, strict=True)])
 
 
-def mix(docs: DataFrame, weigh: Callable[[list], dict], sources: Column, key: Column, size: Column, carry: list[str], seed: int = 17, repeats: int = 3, region_rows: int = 2_000) -> DataFrame:
-    """Rows (row: struct of the carry columns, size, pattern, copies, source_size, target); the last two of the pattern's first source.
+def mix(docs: DataFrame, weigh: Callable[[list], dict], sources: Column, key: Column, size: Column, carry: list[str], seed: int = 17, repeats: int = 3, region_rows: int = 2_000, again: bool = False) -> DataFrame:
+    """Rows (row: struct of the carry columns, size, pattern, copies, counts_for, source_size, target): counts_for holds the source that each copy counts for; the last two are of the pattern's first source.
 
-    weigh maps the ordered sources to weights; sources: array<string> of a document's sources; key: what the seeded order hashes.
+    weigh maps the ordered sources to weights; sources: array<string> of a document's sources; key: what the seeded order hashes. again: docs is read once more for the result, where
+    what it carries is large; size is null then.
     """
     spark = docs.sparkSession
     pattern = F.array_sort(F.array_distinct(F.coalesce(F.filter(sources, lambda x: x.isNotNull()), F.array().cast("array<string>"))))
     has_null = F.coalesce(F.exists(sources, lambda x: x.isNull()), F.lit(True)) | (F.size(pattern) == 0)
     pattern = F.when(has_null, F.concat(pattern, F.array(F.lit(None).cast("string")))).otherwise(pattern)
-    h = F.xxhash64(F.coalesce(key.cast("string"), F.lit("")), F.lit(seed))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), size.alias("size"), pattern.alias("pattern"), h.alias("h"), F.shiftrightunsigned(h, 52).cast("int").alias("fine"))
-    fine = rows.groupBy("pattern", "fine").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    by_pattern: dict[tuple, list] = {}
-    sums = fine.groupBy("pattern").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()  # one row a pattern
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    known = docs.select(pattern.alias("pattern"), F.xxhash64(key.cast("string"), F.lit(seed)).alias("h"), size.alias("size"), *([] if again else [row]))
+    known = written(known, "sizes")  # texts are counted once
+    sums = known.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row a pattern
     supply = {tuple(r.pattern): int(r["size"]) for r in sums}
     sizes: dict = defaultdict(int)
     for p, n in supply.items():
@@ -167,36 +198,51 @@ def mix(docs: DataFrame, weigh: Callable[[list], dict], sources: Column, key: Co
             sizes[s] += n
     order = sorted(sizes, key=SOURCE_ORDER)
     goal = targets({s: sizes[s] for s in order}, weigh(order), repeats)
-    got: dict[tuple, int] = defaultdict(int)
-    for (p, _), n in flow(supply, goal, repeats).items():
-        got[p] += n
-    for r in sums:
-        p = tuple(r.pattern)
-        whole, rest = divmod(got[p], supply[p]) if supply[p] else (0, 0)
-        wide = min(FINE, max(1, -(-FINE * region_rows // r.n)))
-        by_pattern[p] = [list(p), int(whole), int(rest), int(wide), int(sizes[p[0]]), float(goal[p[0]])]
-    schema = "pattern array<string>, whole int, rest long, wide int, source_size long, target double"
-    plan = spark.createDataFrame(list(by_pattern.values()), schema)
-    small = len(by_pattern) <= 50_000
-    hint = F.broadcast if small else (lambda d: d)
-    # Where the remainder ends: the bucket range in which the running size passes it.
+    routed: dict[tuple, list] = defaultdict(list)
+    for (p, s), n in flow(supply, goal, repeats).items():
+        if n:
+            routed[p].append((s, n))
+    bits = min(40, max(0, math.ceil(math.log2(max([4 * r.n / region_rows for r in sums], default=1) or 1))))
+    rows_of, plan = {tuple(r.pattern): r.n for r in sums}, []
+    for p in supply:
+        whole, rest = divmod(sum(n for _, n in routed[p]), supply[p]) if supply[p] else (0, 0)
+        wide = min(1 << bits, max(1, -(-(region_rows << bits) // rows_of[p])))
+        upto = np.cumsum([n for _, n in routed[p]]).tolist()
+        plan.append((list(p), int(whole), int(rest), int(wide), int(sizes[p[0]]), float(goal[p[0]]), [(s, u / upto[-1]) for (s, _), u in zip(routed[p], upto, strict=True)]))
+    plan = spark.createDataFrame(plan, "pattern array<string>, whole int, rest long, wide long, source_size long, target double, shares array<struct<source string, upto double>>")
+    # Both have one row a pattern.
+    part = lambda: F.floor(F.shiftrightunsigned("h", 64 - bits) / F.col("wide")).cast("long") if bits else F.lit(0).cast("long")
     before = Window.partitionBy("pattern").orderBy("part")
-    ends = fine.join(hint(plan), "pattern").where("rest > 0").groupBy("pattern", "rest", F.floor(F.col("fine") / F.col("wide")).alias("part")).agg(F.sum("size").alias("size"))
+    ends = known.join(sent(plan), "pattern").where("rest > 0").withColumn("part", part()).groupBy("pattern", "rest", "part").agg(F.sum("size").alias("size"))
     ends = ends.withColumn("upto", F.sum("size").over(before)).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("size") <= F.col("rest")))
-    ends = ends.select("pattern", F.col("part").alias("end"), (F.col("rest") - F.col("upto") + F.col("size")).alias("room")).collect()  # one row a pattern
-    ends = spark.createDataFrame([(list(r.pattern), int(r.end), int(r.room)) for r in ends], "pattern array<string>, end int, room long")
-    rows = rows.join(hint(plan.join(ends, "pattern", "left")), "pattern").withColumn("part", F.floor(F.col("fine") / F.col("wide")).cast("int"))
-    inside = F.coalesce(F.col("part") == F.col("end"), F.lit(False))
-    clear = rows.where(~inside).withColumn("more", F.coalesce(F.col("part") < F.col("end"), F.lit(False)).cast("int"))
-    seq = Window.partitionBy("pattern").orderBy("fine", "h", "size", F.xxhash64("row"))
-    edge = rows.where(inside).withColumn("k", F.row_number().over(seq))
-    fill = F.pandas_udf(_filled, "array<int>")
-    # About region_rows documents a pattern, whatever its size.
-    chosen = edge.groupBy("pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "size"))), lambda x: x["size"]).alias("sizes"), F.first("room").alias("room"))
-    chosen = chosen.select("pattern", fill("sizes", "room").alias("chosen"))
-    edge = edge.join(chosen, "pattern").withColumn("more", F.array_contains("chosen", F.col("k")).cast("int"))
-    cols = ["row", "size", "pattern", (F.col("whole") + F.col("more")).alias("copies"), "source_size", "target"]
-    return clear.select(*cols).unionByName(edge.select(*cols))
+    ends = ends.groupBy("pattern").agg(F.min("part").alias("end"), F.min_by(F.col("rest") - F.col("upto") + F.col("size"), "part").alias("room"))
+    plan = written(plan.join(ends, "pattern", "left"), "plan")
+    # Where the remainder ends, one entry for each hash: how many of its documents are taken once more.
+    inside = known.join(sent(plan.where("end is not null").select("pattern", "wide", "end", "room")), "pattern").where(part() == F.col("end"))
+    entries = inside.groupBy("pattern", "room", "h").agg(F.min("size").alias("size"), F.count("*").alias("n"))
+    lists = entries.groupBy("pattern", "room").agg(F.array_sort(F.collect_list(F.struct("h", "size", "n"))).alias("x"))  # about region_rows entries
+    taken = F.pandas_udf(_filled, "array<long>")(F.transform("x", lambda x: x["size"]), F.transform("x", lambda x: x["n"]), F.col("room"))
+    chosen = lists.select("pattern", F.explode(F.arrays_zip(F.col("x"), taken.alias("m"))).alias("y")).select("pattern", F.col("y.x.h").alias("h"), F.col("y.x.n").alias("n"), F.col("y.m").alias("m"))
+    chosen = written(chosen.where("m > 0"), "chosen")
+    rows = docs.select(pattern.alias("pattern"), F.xxhash64(key.cast("string"), F.lit(seed)).alias("h"), F.lit(None).cast("long").alias("size"), row) if again else known
+    rows = rows.join(sent(plan), "pattern").withColumn("part", part()).drop("wide", "rest", "room")
+    clear = rows.where(F.col("end").isNull() | (F.col("part") != F.col("end"))).withColumn("more", F.coalesce(F.col("part") < F.col("end"), F.lit(False)).cast("int"))
+    edge = rows.where(F.col("part") == F.col("end")).join(sent(chosen), ["pattern", "h"], "left")
+    sole = edge.where("m is null or m = n").withColumn("more", F.col("m").isNotNull().cast("int"))
+    # Only where some of the documents of one hash are taken they are told apart.
+    nth = Window.partitionBy("pattern", "h").orderBy(F.xxhash64("row"))
+    tied = edge.where("m < n").withColumn("more", (F.row_number().over(nth) <= F.col("m")).cast("int"))
+    every = clear.drop("part", "end").unionByName(sole.drop("part", "end", "n", "m")).unionByName(tied.drop("part", "end", "n", "m"))
+    every = every.withColumn("copies", F.col("whole") + F.col("more"))
+    draw = lambda i: F.xxhash64("h", i) / 2.0**64 + 0.5
+    source = lambda i: F.get(F.filter("shares", lambda x: x["upto"] > draw(i)), 0)["source"]
+    counts_for = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.col("copies")), source)).otherwise(F.array().cast("array<string>"))
+    return every.select("row", "size", "pattern", "copies", counts_for.alias("counts_for"), "source_size", "target")
+
+
+def _seeded(id_col: str, text_col: str) -> Column:
+    """What rows are ordered by: their id, or their text where they have none."""
+    return F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def cycle(weights: tuple[float, ...] = (5, 2, 1)) -> Callable[[list], dict]:
@@ -206,11 +252,11 @@ def cycle(weights: tuple[float, ...] = (5, 2, 1)) -> Callable[[list], dict]:
 
 def mix_documents(docs: DataFrame, weigh: Callable[[list], dict] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, copies), one for each input row of documents with one source each."""
-    out = mix(docs, weigh or cycle(), F.array(F.col(source_col).cast("string")), F.col(id_col), words(F.col(text_col)), [id_col], **how)
+    out = mix(docs, weigh or cycle(), F.array(F.col(source_col).cast("string")), _seeded(id_col, text_col), words(F.col(text_col)), [id_col], **how)
     return out.select(F.col("row")[id_col].alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, weigh: Callable[[list], dict] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of docs, all columns, as often as the mix takes them."""
-    out = mix(docs, weigh or cycle(), F.array(F.col(source_col).cast("string")), F.col(id_col), words(F.col(text_col)), docs.columns, **how)
+    out = mix(docs, weigh or cycle(), F.array(F.col(source_col).cast("string")), _seeded(id_col, text_col), words(F.col(text_col)), docs.columns, again=True, **how)
     return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
