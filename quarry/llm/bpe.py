@@ -11,7 +11,8 @@ the caches are cleared when full.
 Defined results: a null text is an empty text, with no tokens and the empty string decoded; repeated rows
 and ties (equal texts) give equal rows, one for each input row; texts of any length are encoded whole, in
 time proportional to n log n; an empty table gives an empty table; other columns of the input, whatever their
-names, are ignored.
+names, are ignored. Characters count as letters and numbers, and are lowered, as the tokenizers library does it, code points of the latest Unicode versions included.
+The driver reads the vocabulary file and sends it to the workers.
 """
 
 from __future__ import annotations
@@ -33,6 +34,19 @@ SPACE = regex.compile(r"\p{White_Space}+")
 #: Python's split() also splits at these; the tokenizer does not.
 ODD = regex.compile("[\x1c-\x1f]")
 
+#: Code points that are letters or numbers in Unicode by now, but not in the library's tables, where they are like punctuation.
+LATE = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 "
+    "1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 "
+    "1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATE_RANGES = "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in LATE.split())
+LATE_RE = regex.compile(f"[{LATE_RANGES}]")
+#: Capitals that the library lowers and Python does not yet, and what to.
+LATE_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LATE_LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+LATE_CAPITALS = regex.compile("[" + "".join(map(chr, LATE_LOWER)) + "]")
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -49,14 +63,22 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder of a vocabulary file with word ends (tokenizers JSON: NFC, white space to one blank, lower case, regex split, bytes)."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: str | bytes, cache_words: int = 200_000):
+        """file: its path, or what it holds."""
+        if isinstance(file, str):
+            with open(file, "rb") as f:
+                file = f.read()
+        spec = json.loads(file)
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        self.pieces = regex.compile(pattern)
+        for kind, inside in (("L", r"(?:(?!%s)\p{L})"), ("N", r"(?:(?!%s)\p{N})")):
+            pattern = pattern.replace(f"[\\p{{{kind}}}]", inside % f"[{LATE_RANGES}]")
+        other = r"[^\p{White_Space}\p{L}\p{N}]"
+        self.late_pieces = regex.compile(pattern.replace(other, f"(?:{other}|[{LATE_RANGES}])"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         size = 1 + max([*self.vocab.values(), *self.special.values()])
@@ -211,12 +233,15 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 text = text.replace("Σ", "σ")  # letters are lowered one by one: no final form
+            if LATE_CAPITALS.search(text):
+                text = text.translate(LATE_LOWER)
         text = text.lower()
         return [x for x in SPACE.split(text) if x] if ODD.search(text) else text.split()
 
     def learn(self, chunks: list[str]) -> None:
         """Caches the number of tokens, the ids and the decoded text of new chunks."""
-        parts = [self.pieces.findall(c) if c[0] != "\0" or c[1:] not in self.special else c for c in chunks]
+        cut = lambda c: (self.pieces if c.isascii() or not LATE_RE.search(c) else self.late_pieces).findall(c)
+        parts = [cut(c) if c[0] != "\0" or c[1:] not in self.special else c for c in chunks]
         made, all_words = {}, {w for ws in parts if type(ws) is list for w in ws}
         for w in all_words:
             if (got := self.known.get(w)) or (got := self.old.get(w)):
@@ -264,11 +289,18 @@ class WordBpe:
 _coders: dict[str, WordBpe] = {}
 
 
-def coder(path: str) -> WordBpe:
+def coder(data: bytes) -> WordBpe:
     """One encoder for each worker process and file."""
-    if path not in _coders:
-        _coders[path] = WordBpe(path)
-    return _coders[path]
+    name = hashlib.sha256(data).hexdigest()
+    if name not in _coders:
+        _coders.clear()
+        _coders[name] = WordBpe(data)
+    return _coders[name]
+
+
+def _sent_file(df: DataFrame, path: str):
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def _runs(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
@@ -287,11 +319,12 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), one for each input row; see the module for nulls and the rest."""
 
     small_batches(docs.sparkSession)
+    file = _sent_file(docs, path)
 
     def run(batches):
         import pyarrow as pa
 
-        enc = coder(path)
+        enc = coder(file.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = [x for part in _runs(texts) for x in enc.digests(part)]
@@ -305,11 +338,13 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, ids array<int>) of each text."""
+    small_batches(docs.sparkSession)
+    file = _sent_file(docs, path)
 
     def run(batches):
         import pyarrow as pa
 
-        enc = coder(path)
+        enc = coder(file.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([enc.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -318,11 +353,12 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def bpe_decode(coded: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, text) of rows (doc_id, ids); null ids give the empty text."""
+    file = _sent_file(coded, path)
 
     def run(batches):
         import pyarrow as pa
 
-        enc = coder(path)
+        enc = coder(file.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([enc.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
