@@ -11,8 +11,9 @@ enough is that all places of a repeated string meet in one task:
    far as it matters, that is whether it reaches `length`. Matches are of bytes, not of hashes.
 5. The matches go back to the blocks, where bytes are counted and removed.
 
-An anchor in over `hot` documents would gather too much in one task: there each distinct string of `length` bytes around it in a block is dealt by its own 128-bit hash instead,
-and an aggregation with partial minima gives its first document.
+An anchor with over `hot` places would gather too much in one task, or, where a text repeats itself, make a segment of all of it: there each distinct string of `length` bytes around it in a block is
+dealt by its own 128-bit hash instead, and an aggregation with partial minima gives its first document. Both ways give the same matches for any anchor, so which anchors count as hot
+may be estimated: those that a sample of the blocks (one in SAMPLE, by number) shows to be frequent are found before any of their places are exchanged, the others where they meet.
 
 Defined results: a null text is an empty text; a row with a null doc_id matches nothing; rows with one doc_id count as one document (not smaller than each other),
 one result row for each input row; matches never cross documents; texts are taken as UTF-8 bytes, whole; an empty table gives an empty table; other columns, whatever
@@ -35,6 +36,8 @@ GRAM = 25
 BLOCK = 1 << 20
 REGION_BITS = 9
 SORT_BYTES = 1 << 20
+#: One block in SAMPLE is looked at for hot anchors, and at most MOST_HOT of these are told to all tasks.
+SAMPLE, MOST_HOT = 8, 200_000
 
 
 def _gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
@@ -190,19 +193,47 @@ def _bytes(row: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(row), np.uint8) if row else np.zeros(0, np.uint8)
 
 
-def _anchored(packed: DataFrame, buckets: int, length: int) -> DataFrame:
-    """bucket, gid, hashes, pos, runs: the anchors of one block in one bucket; runs holds (document, number of anchors)."""
+def _known_anchors(r: dict, length: int) -> tuple[np.ndarray, ...]:
+    """Places, hashes and documents (by number) of a block's anchors, without those of documents without an id."""
+    bounds = np.concatenate([[0], np.cumsum(r["lens"], dtype=np.int64)])
+    p, h = anchors(_bytes(r["data"]), bounds, length)
+    doc = np.searchsorted(bounds, p, side="right") - 1
+    keep = np.array([i is not None for i in r["ids"]], bool)[doc]
+    return p[keep], h[keep], doc[keep]
+
+
+def _is_in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _frequent(packed: DataFrame, length: int, hot: int) -> np.ndarray:
+    """Sorted hashes of the anchors that a sample of the blocks shows to have about `hot` places or more: the most frequent MOST_HOT of them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                h, n = np.unique(_known_anchors(r, length)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    some = packed.where(F.pmod(F.xxhash64("gid"), F.lit(SAMPLE)) == 0).mapInArrow(run, "h long, n long")
+    many = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * SAMPLE > max(hot, 8 * SAMPLE)).orderBy(F.desc("n"), "h").limit(MOST_HOT)
+    return np.sort(np.array([r.h for r in many.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _anchored(packed: DataFrame, buckets: int, length: int, frequent) -> DataFrame:
+    """bucket, gid, hashes, pos, runs: the anchors of one block in one bucket, without the frequent ones (a broadcast of their hashes); runs holds (document, number of anchors)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for r in batch.to_pylist():
-                bounds = np.concatenate([[0], np.cumsum(r["lens"], dtype=np.int64)])
-                p, h = anchors(_bytes(r["data"]), bounds, length)
-                doc = np.searchsorted(bounds, p, side="right") - 1
-                known = np.array([i is not None for i in r["ids"]], bool)
-                keep = known[doc]
+                p, h, doc = _known_anchors(r, length)
+                keep = ~_is_in(h, frequent.value)
                 p, h, doc = p[keep], h[keep], doc[keep]
                 ids = np.array([i or 0 for i in r["ids"]], np.int64)
                 bucket = ((h & np.uint64(0xFFFFFF)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
@@ -243,11 +274,7 @@ def _shared(anchored: DataFrame, hot: int) -> DataFrame:
         lead = np.where(doc[o] == low[group], g[row[o]] << np.int64(28) | pos[o] >> np.int64(REGION_BITS), np.iinfo(np.int64).max)
         key = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(key, group, lead)
-        if (size > hot).any():
-            many = size > hot
-            x = many[group]
-            pair = np.unique(np.stack([group[x], doc[o][x]]), axis=1)[0]
-            key[many & (np.bincount(pair, minlength=len(first)) > hot)] = -1
+        key[size > hot] = -1
         key = key[group]
         back = np.lexsort((pos[o], row[o]))
         r, p, key = row[o][back], pos[o][back], key[back]
@@ -337,26 +364,8 @@ def _matched(segments: DataFrame, length: int) -> DataFrame:
     return segments.groupBy("bucket").applyInPandas(run, "gid long, starts binary")
 
 
-def _hot_places(shared: DataFrame) -> DataFrame:
-    """The rows of shared with hot anchors only."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for gid, pos, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hot = np.frombuffer(keys, np.int64) < 0
-                if hot.any():
-                    for c, v in zip(out, (gid, np.frombuffer(pos, np.uint32)[hot].tobytes(), np.frombuffer(keys, np.int64)[hot].tobytes()), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["gid", "pos", "keys"])
-
-    return shared.select("gid", "pos", "keys").mapInArrow(run, "gid long, pos binary, keys binary")
-
-
-def _hot_strings(joined: DataFrame, length: int) -> DataFrame:
-    """gid, string, doc, pos, later: each string of `length` bytes around hot anchors of a block, once, by its 128-bit hash, with its smallest document there,
+def _hot_strings(joined: DataFrame, length: int, frequent) -> DataFrame:
+    """gid, string, doc, pos, later: each string of `length` bytes around hot anchors of a block (those of key -1, and the frequent ones), once, by its 128-bit hash, with its smallest document there,
     its places, and those of them that are in other documents."""
 
     def run(batches):
@@ -364,20 +373,44 @@ def _hot_strings(joined: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             for r in batch.to_pylist():
-                key, doc, a, b, _ = _spans(r, length)
-                x = key < 0
-                data, found = _bytes(r["data"]).tobytes(), {}
-                places = {p: d for d, s, e in zip(doc[x].tolist(), a[x].tolist(), b[x].tolist(), strict=True) for p in range(s, e - length + 1)}
-                for p, d in places.items():
-                    found.setdefault(data[p : p + length], []).append((r["ids"][d], p))
+                ids, bounds = np.array([i or 0 for i in r["ids"]], np.int64), np.concatenate([[0], np.cumsum(r["lens"], dtype=np.int64)])
+                pos = np.zeros(0, np.int64)
+                if r["pos"]:
+                    pos = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64)[np.frombuffer(k, np.int64) < 0] for x, k in zip(r["pos"], r["keys"], strict=True)])
+                if len(frequent.value):
+                    p, h, _ = _known_anchors(r, length)
+                    pos = np.concatenate([pos, p[_is_in(h, frequent.value)]])
+                if not len(pos):
+                    continue
+                # Where the strings around these anchors start: intervals, summed up.
+                data, doc = _bytes(r["data"]), np.searchsorted(bounds, pos, side="right") - 1
+                first, last = np.maximum(bounds[doc], pos - (length - GRAM)), np.minimum(bounds[doc + 1] - length, pos)
+                ok, edge = first <= last, np.zeros(len(data) + 2, np.int32)
+                np.add.at(edge, first[ok], 1), np.add.at(edge, last[ok] + 1, -1)
+                at = np.flatnonzero(np.cumsum(edge)[: len(data)] > 0)
+                if not len(at):
+                    continue
+                h = _gram_hashes(data, length)[at]
+                o = np.argsort(h, kind="stable")
+                at, doc, s = at[o], ids[np.searchsorted(bounds, at[o], side="right") - 1], h[o]
+                new = np.concatenate([[True], s[1:] != s[:-1]])
+                lead = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+                # Equal hashes are of equal strings, or else these are told apart by their bytes.
+                windows = np.lib.stride_tricks.sliding_window_view(data, length)
+                differ = np.concatenate([(windows[at[k : k + 65_536]] != windows[lead[k : k + 65_536]]).any(axis=1) for k in range(0, len(at), 65_536)])
+                if differ.any():
+                    strings = np.array([windows[p].tobytes() for p in at], object)
+                    o = np.argsort(strings, kind="stable")
+                    at, doc, strings = at[o], doc[o], strings[o]
+                    new = np.concatenate([[True], strings[1:] != strings[:-1]])
+                cut = np.flatnonzero(new)
                 out: list[list] = [[], [], [], []]
-                for string, at in found.items():
-                    low = min(at)[0]
-                    row = (hashlib.blake2b(string, digest_size=16).digest(), low, _runs(np.array([p for _, p in at])), _runs(np.array([p for i, p in at if i > low], np.int64)) if len(at) > 1 else b"")
-                    for c, v in zip(out, row, strict=True):
+                for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
+                    low = int(doc[a:b].min())
+                    later = at[a:b][doc[a:b] > low]
+                    for c, v in zip(out, (hashlib.blake2b(windows[at[a]].tobytes(), digest_size=16).digest(), low, _runs(at[a:b]), _runs(later)), strict=True):
                         c.append(v)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([r["gid"]] * len(found), pa.int64()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["gid", "string", "doc", "pos", "later"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["gid"]] * len(cut), pa.int64()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["gid", "string", "doc", "pos", "later"])
 
     return joined.mapInArrow(run, "gid long, string binary, doc long, pos binary, later binary")
 
@@ -420,15 +453,16 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     sweep(spark)
     total = packed.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 << 20) + 1)
-    shared = written(_shared(_anchored(packed, buckets, length), hot), "shared")
+    frequent = spark.sparkContext.broadcast(_frequent(packed, length, hot))
+    shared = written(_shared(_anchored(packed, buckets, length, frequent), hot), "shared")
     sweep(spark)
-    near = shared.groupBy("gid").agg(F.collect_list("pos").alias("pos"), F.collect_list("keys").alias("keys"))
-    joined = packed.join(near, "gid")
-    marks = written(_matched(_segments(joined, buckets, length), length), "marks")
-    is_hot = written(_hot_places(shared), "hot")
-    if not is_hot.isEmpty():
-        there = written(is_hot.groupBy("gid").agg(F.collect_list("pos").alias("pos"), F.collect_list("keys").alias("keys")), "hot")
-        strings = written(_hot_strings(packed.join(sent(there, 20_000), "gid"), length), "strings")
+    near = shared.groupBy("gid").agg(F.collect_list("pos").alias("pos"), F.collect_list("keys").alias("keys"))  # a block's: bounded by it
+    marks = written(_matched(_segments(packed.join(near, "gid"), buckets, length), length), "marks")
+    # Key -1 in its bytes: the blocks that hold a hot anchor.
+    is_hot = shared.where(F.exists(F.regexp_extract_all(F.hex("keys"), F.lit("(.{16})")), lambda k: k == "F" * 16))
+    if len(frequent.value) or not is_hot.isEmpty():
+        near = is_hot.groupBy("gid").agg(F.collect_list("pos").alias("pos"), F.collect_list("keys").alias("keys"))
+        strings = written(_hot_strings(packed.join(near, "gid", "left" if len(frequent.value) else "inner"), length, frequent), "strings")
         # Only strings of several blocks need the others' first document.
         first = strings.groupBy("string").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("string", "first")
         late = strings.join(sent(written(first, "first")), "string", "left").select("gid", F.when(F.col("first") < F.col("doc"), F.col("pos")).otherwise(F.col("later")).alias("starts")).where(F.length("starts") > 0)
