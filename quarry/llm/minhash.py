@@ -7,11 +7,12 @@ correlated and estimates vary less than with independent hashes, and as step j o
 [j, j + 1) a document ends as soon as all its components are below the next step. All documents of a batch take a step
 together in numpy.
 
-Equal sets form one class, found by an aggregation on the set's hash, so copies cost nothing later. Signatures are cut into bands (32 bands of 4
+Equal sets form one class, found by an aggregation on the set's 128-bit hash, so copies cost nothing later. Signatures are cut into bands (32 bands of 4
 components: a pair at similarity 0.8 shares none with probability 5e-8). In each bucket the members are compared with one leader, not with
 each other; linked ones are joined, and only buckets that still hold several components are compared again, with other leaders.
 What is left after the leaders' rounds are compared exhaustively across components: in tiles of bounded
-size where signatures rule out pairs far below the threshold, then on full sets. Every link is confirmed on
+size where signatures rule out pairs far below the threshold (first by one bit of each component, then by whole components; either limit loses a pair at the threshold
+with probability 1e-10, by the binomial tail), then on full sets. Every link is confirmed on
 the full sets, recomputed from the texts. Groups come from distributed connected components.
 
 Defined results: a row with null or wordless text has an empty set (n_shingles 0), and is linked with nothing; so is a row with a null doc_id,
@@ -23,6 +24,7 @@ empty table gives an empty table; other columns, whatever their names, are ignor
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import xxhash
@@ -30,11 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import components, sent, small_batches, sweep, trim, written
+from quarry.llm.common import components, discard, flagged, maybe_in, sent, small_batches, sweep, trim, written
 
 SIZE, BANDS = 128, 32
-#: An estimate so far below the threshold rules a link out: seven standard deviations of plain MinHash, which large sets have.
-MARGIN = 0.25
 STEP_BITS = 25
 CHUNK = 40_000
 TILE = 256
@@ -133,18 +133,31 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def set_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def least_equal(p: float, lost: float = 1e-10) -> int:
+    """How many of SIZE components may be asked to agree, where each does with chance p, if at most a share `lost` is to be missed. Large sets have plain MinHash's
+    variance, and smaller ones less."""
+    tail = 0.0
+    for k in range(SIZE + 1):
+        tail += math.comb(SIZE, k) * p**k * (1 - p) ** (SIZE - k)
+        if tail > lost:
+            return k
+    return SIZE
+
+
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit hash in two halves; the first one is its node's name."""
+    h = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, node (hash of the set; null if empty), sig."""
+    """doc_id, n, node and more (hash of the set; null if empty), sig."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, n, node, sigs = batch.column(0).to_pylist(), [], [], []
+            ids, n, names, sigs = batch.column(0), [], [], []
             held: list[np.ndarray] = []
 
             def flush():
@@ -155,7 +168,7 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
             for t in batch.column(1).to_pylist():
                 s = shingles(t, width)
                 n.append(len(s))
-                node.append(set_id(s) if len(s) else None)
+                names.append(set_id(s) if len(s) else (None, None))
                 if len(s):
                     held.append(s)
                     size += len(s)
@@ -164,11 +177,28 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
                         size = 0
             flush()
             it = iter(sigs)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([next(it) if k else None for k in n], pa.binary())], names=["doc_id", "n", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)), pa.array([next(it) if k else None for k in n], pa.binary())], names=["doc_id", "n", "node", "more", "sig"])
         _numbers.clear()
         trim()
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, more long, sig binary")
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows, and one row for each set: node, first (its first document), more, n, sig (equal for all of them).
+
+    Of sets that differ but share the first half of their hash the nodes get other names, until no name stands for two sets.
+    """
+    while True:
+        known = rows.where("node is not null and doc_id is not null")
+        found = known.groupBy("node").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"), F.min("more").alias("more"), F.max("more").alias("other"))
+        found = written(found.select("node", F.col("x.doc_id").alias("first"), "more", "other", "x.n", "x.sig"), "nodes")
+        clash = found.where("more <> other").select("node", F.lit(True).alias("clash"))
+        if clash.isEmpty():
+            return rows, found.drop("other")
+        named = F.when(F.col("clash"), F.xxhash64("node", "more")).otherwise(F.col("node"))
+        rows = written(rows.join(sent(written(clash, "clash")), "node", "left").select("doc_id", "n", named.alias("node"), "more", "sig"), "sets")
+        discard(found)
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
@@ -193,11 +223,13 @@ def _confirmed(pairs: DataFrame, leads: DataFrame, texts: DataFrame, width: int,
     A part's a are dealt over blocks of about TILE texts; a task reads a part's b first, then meets the a one by one. Each text goes
     once to each block that needs it, not once a pair.
     """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.groupBy("part", "a").agg(F.array_distinct(F.flatten(F.collect_list("with"))).alias("with"))  # at most a part's b
     sizes = pairs.groupBy("part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     follow = pairs.join(sizes, "part").select("part", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("j"), F.col("a").alias("node"), "with")
     lead = leads.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", F.lit(None).cast("array<long>").alias("with"))
-    both = texts.join(sent(written(lead.union(follow), "asked")), "node").select("part", "j", F.col("with").isNotNull().alias("role"), "node", "with", "text")
+    asked = written(lead.union(follow), "asked")
+    both = maybe_in(texts, F.col("node"), asked, "node").join(asked, "node").select("part", "j", F.col("with").isNotNull().alias("role"), "node", "with", "more", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -205,11 +237,11 @@ def _confirmed(pairs: DataFrame, leads: DataFrame, texts: DataFrame, width: int,
         at, held = None, {}
         for batch in batches:
             out = [], []
-            for part, j, role, node, with_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, j, role, node, with_, more, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != (part, j):
                     at, held = (part, j), {}
                 s = shingles(text, width)
-                if set_id(s) != node:  # another text of a repeated doc_id
+                if set_id(s)[1] != more:  # another text of a repeated doc_id
                     continue
                 if not role:
                     held[node] = s
@@ -226,7 +258,10 @@ def _confirmed(pairs: DataFrame, leads: DataFrame, texts: DataFrame, width: int,
         _numbers.clear()
         trim()
 
-    return both.repartition("part", "j").sortWithinPartitions("part", "j", "role").mapInArrow(run, "a long, b long")
+    # A given number of partitions: by their bytes, which are few for the work they mean, Spark would join them.
+    found = written(both.repartition(n, "part", "j").sortWithinPartitions("part", "j", "role").mapInArrow(run, "a long, b long"), "links")
+    discard(asked)
+    return found
 
 
 def _tiled(rows: DataFrame, percent: int) -> DataFrame:
@@ -239,7 +274,9 @@ def _tiled(rows: DataFrame, percent: int) -> DataFrame:
     counts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     rows = rows.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "node", "comp", "part", "n", "sig")
-    limit = percent / 100 - MARGIN
+    p_equal = percent / 100
+    most_bits, least = SIZE - least_equal((1 + p_equal) / 2), least_equal(p_equal)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(pdf):
         import pandas as pd
@@ -247,55 +284,63 @@ def _tiled(rows: DataFrame, percent: int) -> DataFrame:
         i, j, band = pdf["i"].iloc[0], pdf["j"].iloc[0], int(pdf["band"].iloc[0])
         p, q = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
         sp, sq = (np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, SIZE) for x in (p, q))
-        qn, qc, qk, qp = (q[c].to_numpy() for c in ("node", "comp", "n", "part"))
+        bp, bq = (np.packbits((x & 1).astype(np.uint8), axis=1).view(np.uint64) for x in (sp, sq))
+        (pn, pc, pk, pp), (qn, qc, qk, qp) = ([x[c].to_numpy() for c in ("node", "comp", "n", "part")] for x in (p, q))
         out: dict[tuple[int, int], list[int]] = {}
         before = band * (SIZE // BANDS)
-        for x, comp, n, part, s in zip(*(p[c].tolist() for c in ("node", "comp", "n", "part")), sp, strict=True):
-            ok = (qc != comp) & (100 * np.minimum(qk, n) >= percent * np.maximum(qk, n))
+        for at in range(0, len(p), 64):
+            s = slice(at, at + 64)
+            ok = sum(np.bitwise_count(bp[s, None, w] ^ bq[None, :, w]).astype(np.uint8) for w in range(bp.shape[1])) <= most_bits
+            ok &= (qc != pc[s, None]) & (100 * np.minimum(qk, pk[s, None]) >= percent * np.maximum(qk, pk[s, None]))
             if i == j:
-                ok &= qn > x
-            k = np.flatnonzero(ok)
-            if not len(k):
-                continue
-            same = sq[k] == s
-            good = same.mean(axis=1) >= limit
-            if before:
-                good &= ~same[:, :before].reshape(len(k), band, -1).all(axis=2).any(axis=1)
-            # The smaller component leads, so that both orders of two components meet in one part.
-            for y, c, other in zip(*(v[k[good]].tolist() for v in (qn, qc, qp)), strict=True):
-                out.setdefault((part, y) if comp < c else (other, x), []).append(x if comp < c else y)
+                ok &= qn > pn[s, None]
+            a, b = np.nonzero(ok)
+            a += at
+            for part in range(0, len(a), 4096):
+                x, y = a[part : part + 4096], b[part : part + 4096]
+                same = sp[x] == sq[y]
+                good = same.sum(axis=1) >= least
+                if before:
+                    good &= ~same[:, :before].reshape(len(x), band, -1).all(axis=2).any(axis=1)
+                x, y = x[good], y[good]
+                # The smaller component leads, so that both orders of two components meet in one part.
+                for u, cu, pu, v, cv, pv in zip(*(z.tolist() for z in (pn[x], pc[x], pp[x], qn[y], qc[y], qp[y])), strict=True):
+                    out.setdefault((pu, v) if cu < cv else (pv, u), []).append(u if cu < cv else v)
         return pd.DataFrame({"part": [k[0] for k in out], "a": [k[1] for k in out], "with": pd.Series(list(out.values()), dtype=object)}).astype({"part": "int64", "a": "int64"})
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(run, "part long, a long, with array<long>")
+    return rows.repartition(n, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(run, "part long, a long, with array<long>")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each input row."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    small_batches(docs.sparkSession)
-    rows = written(_described(docs, width), "sets")
-    known = rows.where("node is not null and doc_id is not null")
-    # One row for each set: its first document and its signature (equal for all of them).
-    nodes = written(known.groupBy("node").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x")).select("node", F.col("x.doc_id").alias("first"), "x.n", "x.sig"), "nodes")
-    bucket = Window.partitionBy("bucket")
-    members = _banded(nodes).withColumn("size", F.count("*").over(bucket)).withColumn("lead", F.min("node").over(bucket)).where("size > 1").drop("size")
-    members = written(members, "members")
-    sweep(docs.sparkSession)
-    wanted = written(members.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", "first"), "wanted")
-    texts = written(docs.join(sent(wanted, 2_000_000), F.col("doc_id") == F.col("first")).select("node", "text"), "texts")
+    small_batches(spark)
+    rows, nodes = _classes(written(_described(docs, width), "sets"))
+    # Buckets of two nodes at least, and these nodes; the smallest leads.
+    shared = written(_banded(nodes).groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1").select("bucket", "lead"), "buckets")
+    sweep(spark)
+    members = written(maybe_in(_banded(nodes), F.col("bucket"), shared, "bucket").join(shared, "bucket"), "members")
+    sweep(spark)
+    wanted = written(members.select("node").distinct().join(nodes.select("node", "first", "more"), "node"), "wanted")
+    texts = written(maybe_in(docs, F.col("doc_id"), wanted, "first").join(wanted, F.col("doc_id") == F.col("first")).select("node", "more", "text"), "texts")
+    discard(shared, wanted)
+    sweep(spark)
     left = members.select("bucket", "band", "node", F.col("node").alias("comp"), "lead", F.col("lead").alias("lead_comp"))
-    links = label = None
+    links = None
     for k in range(rounds):
         # A leader is only tried where some bands agree; whatever that leaves out, the exhaustive step takes up.
         pairs = left.where("comp <> lead_comp").groupBy(F.col("lead").alias("part"), F.col("node").alias("a")).agg(F.count("*").alias("bands")).where("bands >= 3")
         pairs = written(pairs.select("part", "a", F.array("part").alias("with")), "pairs")
-        found = written(_confirmed(pairs, pairs.select("part", F.col("part").alias("node")).distinct(), texts, width, percent), "links")
+        found = _confirmed(pairs, pairs.select("part", F.col("part").alias("node")).distinct(), texts, width, percent)
         links = found if links is None else links.union(found)
-        label = written(components(links), "label")
-        left = members.drop("lead").join(label, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("comp"))
-        split = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("x")).where("lo <> hi")
-        sweep(docs.sparkSession)
-        left = written(left.join(split.select("bucket", F.col("x.node").alias("lead"), F.col("x.comp").alias("lead_comp")), "bucket"), "left")
+        # Parts of components do here: what is linked only by detours is compared once more.
+        label = components(links, rounds=1)
+        now = written(members.drop("lead").join(label, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("comp")), "now")
+        split = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("x")).where("lo <> hi")
+        left = written(now.join(split.select("bucket", F.col("x.node").alias("lead"), F.col("x.comp").alias("lead_comp")), "bucket"), "left")
+        discard(pairs, now)
+        sweep(spark)
     # A component's nodes are dealt over parts of about TILE.
     ends = left.select("node", "comp").distinct()
     parts = ends.join(ends.groupBy("comp").agg(F.ceil(F.count("*") / TILE).alias("blocks")), "comp").select("node", F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("part"))
@@ -303,21 +348,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rest = left.select("bucket", "band", "node", "comp").join(nodes.select("node", "n", "sig").join(parts, "node"), "node")
     pairs = written(_tiled(rest, percent), "pairs")
     if not pairs.isEmpty():
-        links = links.union(written(_confirmed(pairs, parts.select("part", "node"), texts, width, percent), "links"))
-        label = written(components(links), "label")
+        links = links.union(_confirmed(pairs, parts.select("part", "node"), texts, width, percent))
+    label = written(components(links), "label")
+    discard(members, texts, left, parts, pairs)
+    sweep(spark)
     own = nodes.select("node", "first").join(label, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     low = own.groupBy("root").agg(F.min("first").alias("component_id"))
     group = own.where("root <> node").select("node", "root").join(low, "root").select("node", "component_id")
     group = own.where("root = node").join(low, "root").select("node", "component_id").union(group)
-    out = rows.drop("sig").join(group, "node", "left")
+    out = rows.drop("sig", "more").join(group, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     component = F.when(F.col("node").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, all columns, of the documents that are kept: one of each group, the least doc_id; rows that repeat one doc_id stay together."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("kept").select("doc_id").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(kept, rows.k.eqNullSafe(kept.doc_id)).select("k", "row")
-    return rows.select("row.*")
+    """The rows of docs, all columns, one document of each group: that with the least id.
+
+    Rows of one id are one document, of which the row whose text has the least hash stays. Rows without an id take part with a number from their text behind all ids, so that copies of
+    them go too, and a copy that has an id stays before them; those without an id and without words all stay.
+    """
+    text, own = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    bare = own.isNull() & ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.where(~bare).select(F.coalesce(own, F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2)).alias("k"), text.alias("text"), every)
+    again = written(rows.groupBy("k").count().where("count > 1").select("k"), "again")
+    if not again.isEmpty():
+        first = Window.partitionBy("k").orderBy(F.xxhash64("text"), F.xxhash64("row"))
+        once = rows.join(again, "k", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+        rows = written(rows.join(again, "k", "left_anti").union(once), "once")
+    gone = written(near_duplicates(rows, id_col="k", text_col="text", **how).where("not kept").select("doc_id"), "gone")
+    # Only rows that may be in a group are exchanged.
+    told = flagged(rows, F.col("k"), gone, "doc_id", "may_go")
+    kept = told.where("not may_go").select("row").union(told.where("may_go").join(gone, F.col("k") == F.col("doc_id"), "left_anti").select("row"))
+    return kept.union(docs.where(bare).select(every)).select("row.*")

@@ -55,7 +55,7 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(table(spark, sf_dir, "documents"))
+    return secret_scan(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
