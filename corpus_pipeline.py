@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import bpe, langid, minhash, mixing, secrets
 from quarry.llm.common import written
 
+#: The vocabulary of the tokens, whose words also rank what is easily guessed.
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the model rejects."""
@@ -21,7 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts and keeps all documents."""
-    return secrets.without_secrets(docs, length_col="n_chars")
+    return secrets.without_secrets(docs, WORDS, length_col="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the tokens and of the text decoded from them."""
-    return bpe.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.bpe_digests(docs, WORDS)
 
 
 STAGES = [
