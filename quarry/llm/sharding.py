@@ -7,7 +7,7 @@ depends on nothing else: when weights change, keys move only into or out of the
 is added as a branch of its own at the root takes keys only into itself.
 
 Slots number a shard's rows from 0 without gaps, in the order (hash bucket, key, size, checksum): counts of each
-bucket, of which there are a fixed number, give offsets, and rows are ranked within one bucket of one shard only.
+bucket, of which there are a fixed number, give offsets, and rows are ranked within one bucket of one shard only. The bucket is of key and checksum, so rows without a key are dealt over all of them.
 
 Defined results: a null key is placed as the empty string is; a null text has no bytes and checksum 0; repeated rows all go to
 one shard and get slots of their own; an empty table gives an empty table; other columns, whatever their names,
@@ -72,16 +72,17 @@ def place(key: Column, tree: Tree) -> Column:
 def shard(docs: DataFrame, tree: Tree, grown: Tree | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard), one for each input row."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    bucket = F.substring(F.md5(F.concat(key, F.lit(":slot"))), 1, SLOT_DIGITS)
+    text = F.col(text_col).cast("string")
+    crc = F.coalesce(F.crc32(text.cast("binary")), F.lit(0))
+    bucket = F.substring(F.md5(F.concat(key, F.lit(":"), crc.cast("string"), F.lit(":slot"))), 1, SLOT_DIGITS)
     ids = docs.select(F.col(id_col).alias("doc_id"), place(key, tree).alias("shard"), bucket.alias("bucket"))
     ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # At most 4,096 rows a shard, whatever the table: small enough to send to all.
     offsets = ids.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("offset"))
-    text = F.col(text_col).cast("string")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
-        F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"),
+        crc.alias("text_crc32"),
         place(key, tree).alias("shard"),
         (place(key, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
         bucket.alias("bucket"),
@@ -109,5 +110,5 @@ texts AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
   xor(list_reduce([4294967295::UBIGINT] || [('0x' || hex[2 * i - 1 : 2 * i])::UBIGINT FOR i IN range(1, len(hex) // 2 + 1)], lambda c, b: xor(c >> 8, v[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32
   FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS hex FROM documents), lookup)
 SELECT t.doc_id, t.size::BIGINT AS size, t.text_crc32, 'key' AS law, old.s AS shard,
-  row_number() OVER (PARTITION BY old.s ORDER BY substr(md5(old.k || ':slot'), 1, {SLOT_DIGITS}), t.doc_id, t.size, t.text_crc32) - 1 AS slot, grown.s AS grown_shard
+  row_number() OVER (PARTITION BY old.s ORDER BY substr(md5(old.k || ':' || t.text_crc32 || ':slot'), 1, {SLOT_DIGITS}), t.doc_id, t.size, t.text_crc32) - 1 AS slot, grown.s AS grown_shard
 FROM texts t JOIN old ON old.k = coalesce(t.doc_id::VARCHAR, '') JOIN grown ON grown.k = old.k"""
