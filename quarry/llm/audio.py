@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import small_batches, written
 
 WINDOW = 16  # frames that one integer sees
-#: Bits that two landmarks must share: three filters of four.
-MASK = np.uint32(0x00FFFFFF)
 #: Bits that are equal where two integers vote: the first or the last 12 filters.
 VOTES = (np.uint32(0x00FFFFFF), np.uint32(0xFFFFFF00))
 #: Integers of query classes in one part, integers of other classes looked up at once, and votes or integers compared at once.
@@ -105,18 +103,6 @@ def fingerprint(audio: bytes | None, rate: int = 8000, width: int = 1, frame: in
     return packed(chroma(samples, rate, frame, hop))
 
 
-def landmarks(ints: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of integers that stand for a recording: the least by hash of each `window` in a row, each value once. The search does not use them, it votes with all."""
-    if not len(ints):
-        return np.zeros(0, np.int64)
-    ints = ints & MASK
-    h = ints.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    w = min(window, len(h))
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(len(h) - w + 1))
-    return np.sort(at[np.unique(ints[at], return_index=True)[1]])
-
-
 def fingerprints(media: DataFrame, id_col: str, audio: Column, **how) -> DataFrame:
     """Rows (id, n_frames, print (sha256 of the integers), ints array<int>), one for each input row."""
 

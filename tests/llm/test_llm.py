@@ -53,6 +53,7 @@ def operators():
         "sharding": lambda d: sharding.shard(d, queries.SHARDS, queries.GROWN),
         "langid": langid.language_id,
         "license": lambda d: license.license_scan(d, F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.col("doc_id") % 2 == 0),
+        "vectors": lambda d: vectors.vector_duplicates(d.withColumn("v", F.array(F.col("n_chars").cast("double"), F.lit(1.0))), vector_col="v", id_col="doc_id", label_col="lang"),
         "audio": lambda d: audio.aligned(d, F.col("id") % 2 == 0, "doc_id", F.encode("text", "UTF-8")),
     }
 
@@ -645,7 +646,7 @@ def test_licenses_of_wrapped_notices(spark):
     assert {k: v[:2] for k, v in got.items()} == {1: ("MIT", "MIT"), 2: ("MPL-2.0", "MPL-2.0"), 3: ("Unlicense", "Unlicense"), 4: ("GPL-3.0", "GPL-3.0"), 5: ("MIT", "MIT"), 6: (None, "MIT"), 7: (None, "MIT")}
     weights, idf, unknown = license.template_vectors()
     for i, _, text, whole in rows:  # every run of lines, without bounds
-        lines = [x for x in (re.findall(license.WORD, y) for y in text.lower().split("\n")) if x]
+        lines = [x for x in (license.words_of(y) for y in text.split("\n")) if x]
         best = 0.0
         for run in [*(sum(lines[a : a + k], []) for a in range(len(lines)) for k in range(1, license.SPAN + 1)), *([sum(lines, [])] if whole else [])]:
             bag = {w: c * idf.get(w, unknown) for w, c in collections.Counter(run).items()}
@@ -653,7 +654,18 @@ def test_licenses_of_wrapped_notices(spark):
             for t, _, w, x in weights:
                 dots[t] += bag.get(w, 0) * x
             best = max(best, max(dots.values()) / math.sqrt(sum(x * x for x in bag.values())))
-        assert got[i][2] == (pytest.approx(best, abs=1e-6) if best >= 0.6 else None)
+        assert got[i][2] == (pytest.approx(best, abs=1e-6) if best >= 0.65 else None)
+
+
+def test_licenses_by_version_and_clause(spark):
+    """Whole licence files and wrapped notices that differ by a number or a clause; rows of one id and path with different texts; a licence at the root."""
+    wrap = lambda t: "\n".join(re.findall(r".{1,70}(?:\s|$)", t))
+    gnu = lambda v: wrap("# This program is free software; " + license.GNU_TERMS.format(kind="General Public License", v=v))
+    two, three, mit = (next(t for n, t in license.TEMPLATES if n == name and len(t) > 800) for name in ("BSD-2-Clause", "BSD-3-Clause", "MIT"))
+    rows = [(1, "a/LICENSE", "Copyright (c) 2020 Some Body\n" + wrap(two), True), (2, "b/LICENSE", "Copyright (c) 2020 Some Body\n" + wrap(three), True), (3, "c/LICENSE", wrap(mit), True), (4, "d/x.py", gnu("2") + "\nimport os", False), (5, "e/x.py", gnu("3") + "\nimport os", False), (6, "a/b/y.py", "code", False), (7, "z/q.py", "code", False), (8, "LICENSE", "Licensed under CC BY 4.0.", True), (9, "f/m.py", "code", False), (9, "f/m.py", "# Released under the MIT License.", False), (10, None, "code", False), (11, "g/h.txt", "mit\nvon der und die", False)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string, is_file boolean")
+    got = sorted((r.doc_id, r.license or "", r.inherited_from or "") for r in license.license_scan(df, F.col("path"), F.col("is_file")).collect())
+    assert got == [(1, "BSD-2-Clause", ""), (2, "BSD-3-Clause", ""), (3, "MIT", ""), (4, "GPL-2.0", ""), (5, "GPL-3.0", ""), (6, "BSD-2-Clause", "a/LICENSE"), (7, "CC-BY-4.0", "LICENSE"), (8, "CC-BY-4.0", ""), (9, "CC-BY-4.0", "LICENSE"), (9, "MIT", ""), (10, "", ""), (11, "CC-BY-4.0", "LICENSE")]
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -669,22 +681,7 @@ def test_sql_agrees(spark, name):
     assert sorted((tuple(r) for r in df.select(*cols).collect()), key=repr) == want
 
 
-def test_audio_recall():
-    rng = np.random.default_rng(6)
-    found = there = 0
-    for _ in range(60):
-        t = np.arange(12_000) / 8000
-        notes = 220 * 2 ** (rng.integers(0, 24, 24) / 12)
-        a = (128 + 50 * np.sin(2 * np.pi * np.cumsum(np.repeat(notes, 500)) / 8000) + rng.normal(0, 2, len(t))).clip(0, 255).astype(np.uint8)
-        b = (a[int(rng.integers(0, 40)) * 64 :].astype(float) + rng.normal(0, 1, 1)).clip(0, 255).astype(np.uint8)
-        x, y = audio.fingerprint(a.tobytes()), audio.fingerprint(b.tobytes())
-        if not any(n >= 16 and e <= 0.05 for n, e in (audio.bit_errors(x, y, o) for o in range(-2, 45))):
-            continue
-        there += 1
-        lx, ly = audio.landmarks(x), audio.landmarks(y)
-        votes = collections.Counter(int(p - q) for p in lx for q in ly if x[p] & audio.MASK == y[q] & audio.MASK)
-        found += any(audio.bit_errors(x, y, o)[0] >= 16 and audio.bit_errors(x, y, o)[1] <= 0.05 for o, _ in votes.most_common(1))
-    assert there >= 40 and found >= 0.9 * there
+def test_audio_without_integers():
     assert len(audio.fingerprint(None)) == 0 == len(audio.fingerprint(b"short"))
 
 
@@ -773,7 +770,40 @@ def test_audio_links_by_brute_force(spark, size, monkeypatch):
             assert (r.bit_error, -r.overlap, r.best_query, r.offset) == min(links)
 
 
-def test_pipeline(spark):
+def stages():
+    import corpus_pipeline as P
+
+    return P.STAGES
+
+
+@pytest.mark.parametrize(("name", "stage"), stages())
+def test_stages_over_odd_rows(spark, odd, docs, name, stage):
+    """Defined results for nulls, empty and long texts, repeats, clashing columns and empty tables."""
+    more = docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in odd.dtypes])
+    both = odd.union(more.where("doc_id > 10"))
+    out = stage(spark, both, SMALL)
+    rows = out.collect()
+    assert sorted(map(str, rows)) == sorted(map(str, stage(spark, both, SMALL).collect()))
+    empty = stage(spark, odd.where("false"), SMALL)
+    assert empty.collect() == []
+    kept = [r for r in rows if r.doc_id is None or r.doc_id <= 10]
+    by = collections.Counter(r.doc_id for r in kept)
+    if name != "bpe":
+        assert out.columns == odd.columns
+    if name == "language_id":
+        assert {3, 4, 7} & set(by) == set() and by[1] == 2
+        assert stage(spark, odd.withColumn("lang", F.lit(None).cast("string")), SMALL).count() == 0
+    elif name == "near_dedup":
+        assert by == {1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, None: 1}
+    elif name == "secret_scan":
+        assert len(rows) == both.count() and {r.doc_id: r.n_chars for r in kept} == {i: None if t is None else 8 if i == 6 else len(t) for i, t, *_ in ROWS}
+    elif name == "mixing":
+        assert set(collections.Counter(map(str, rows)).values()) <= {1, 2, 3, 4, 6} and {r.source for r in rows} >= {"a", "b", "c", None}
+    else:
+        assert len(rows) == both.count() and {r.n_tokens for r in kept if r.doc_id in (3, 4)} == {0}
+
+
+def test_pipeline(spark, guesser):
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
@@ -787,7 +817,7 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in b.collect()) == sorted(i for i in want if want[i] == i)
     c = P.mask_secrets(spark, b, SMALL)
     rows = c.collect()
-    assert all(r.text == secrets.masked(raw[r.doc_id].text, secrets.scan(raw[r.doc_id].text)[1]) and r.n_chars == len(r.text) for r in rows)
+    assert all(r.text == secrets.masked(raw[r.doc_id].text, secrets.scan(raw[r.doc_id].text, guesser)[1]) and r.n_chars == len(r.text) for r in rows)
     mixed = collections.Counter(r.doc_id for r in P.mix_sources(spark, c, SMALL).collect())
     copies = {r.doc_id: r.copies for r in mixing.mix_documents(c).collect()}
     assert mixed == collections.Counter({i: n for i, n in copies.items() if n})
