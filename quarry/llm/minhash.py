@@ -12,7 +12,7 @@ components: a pair at similarity 0.8 shares none with probability 5e-8). In each
 each other; linked ones are joined, and only buckets that still hold several components are compared again, with other leaders.
 What is left after the leaders' rounds are compared exhaustively across components: in tiles of bounded
 size where signatures rule out pairs far below the threshold (first by one bit of each component, then by whole components; either limit loses a pair at the threshold
-with probability 1e-10, by the binomial tail), then on full sets. Every link is confirmed on
+with probability 1e-8 at most, by the binomial tail, less than the bands do), then on full sets. Every link is confirmed on
 the full sets, recomputed from the texts. Groups come from distributed connected components.
 
 Defined results: a row with null or wordless text has an empty set (n_shingles 0), and is linked with nothing; so is a row with a null doc_id,
@@ -89,15 +89,15 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """SuperMinHash signatures of non-empty sets, one row of SIZE components each."""
-    out = np.empty((len(sets), SIZE), np.uint32)
+    """SuperMinHash signatures of non-empty sets, one row of SIZE components each; 16 bits of a component are kept, which agree by chance once in 65,536 times."""
+    out = np.empty((len(sets), SIZE), np.uint16)
     at = 0
     while at < len(sets):
         end, n = at, 0
         while end < len(sets) and (end == at or n + len(sets[end]) <= CHUNK):
             n += len(sets[end])
             end += 1
-        out[at:end] = _signatures(sets[at:end])
+        out[at:end] = (_signatures(sets[at:end]) & np.uint32(0xFFFF)).astype(np.uint16)
         at = end
     return out
 
@@ -133,9 +133,9 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def least_equal(p: float, lost: float = 1e-10) -> int:
+def least_equal(p: float, lost: float = 1e-8) -> int:
     """How many of SIZE components may be asked to agree, where each does with chance p, if at most a share `lost` is to be missed. Large sets have plain MinHash's
-    variance, and smaller ones less."""
+    variance, and smaller ones less. 1e-8 is a fifth of what the bands lose."""
     tail = 0.0
     for k in range(SIZE + 1):
         tail += math.comb(SIZE, k) * p**k * (1 - p) ** (SIZE - k)
@@ -210,26 +210,26 @@ def _banded(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h = band_hashes(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SIZE))
+            h = band_hashes(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SIZE))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, BANDS, dtype=np.int32)), pa.array(np.ascontiguousarray(h).ravel()))], names=["node", "buckets"])
 
     return nodes.select("node", "sig").mapInArrow(run, "node long, buckets array<long>").select(F.posexplode("buckets").alias("band", "bucket"), "node")
 
 
-def _confirmed(pairs: DataFrame, leads: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, leads: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets have 100 * intersection >= percent * union, of rows (part, a, with: the b of one part) and leads (part, node: all b of a part, about TILE
     at most). The b of a part are linked already, so one link for each a is enough.
 
     A part's a are dealt over blocks of about TILE texts; a task reads a part's b first, then meets the a one by one. Each text goes
-    once to each block that needs it, not once a pair.
+    once to each block that needs it, not once a pair, and no other text is exchanged.
     """
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.groupBy("part", "a").agg(F.array_distinct(F.flatten(F.collect_list("with"))).alias("with"))  # at most a part's b
     sizes = pairs.groupBy("part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     follow = pairs.join(sizes, "part").select("part", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("j"), F.col("a").alias("node"), "with")
     lead = leads.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", F.lit(None).cast("array<long>").alias("with"))
-    asked = written(lead.union(follow), "asked")
-    both = maybe_in(texts, F.col("node"), asked, "node").join(asked, "node").select("part", "j", F.col("with").isNotNull().alias("role"), "node", "with", "more", "text")
+    asked = written(lead.union(follow).join(nodes.select("node", "first", "more"), "node"), "asked")
+    both = maybe_in(docs, F.col("doc_id"), asked, "first").join(asked, F.col("doc_id") == F.col("first")).select("part", "j", F.col("with").isNotNull().alias("role"), "node", "with", "more", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -278,26 +278,26 @@ def _tiled(rows: DataFrame, percent: int) -> DataFrame:
     most_bits, least = SIZE - least_equal((1 + p_equal) / 2), least_equal(p_equal)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(pdf):
-        import pandas as pd
-
-        i, j, band = pdf["i"].iloc[0], pdf["j"].iloc[0], int(pdf["band"].iloc[0])
-        p, q = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        sp, sq = (np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, SIZE) for x in (p, q))
+    def meet(i: int, j: int, band: int, block, node, comp, part, size, sig):
+        """(part, a): with, of one group."""
+        p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        sp, sq = sig[p], sig[q]
         bp, bq = (np.packbits((x & 1).astype(np.uint8), axis=1).view(np.uint64) for x in (sp, sq))
-        (pn, pc, pk, pp), (qn, qc, qk, qp) = ([x[c].to_numpy() for c in ("node", "comp", "n", "part")] for x in (p, q))
+        (pn, pc, pk, pp), (qn, qc, qk, qp) = ([x[k] for x in (node, comp, size, part)] for k in (p, q))
         out: dict[tuple[int, int], list[int]] = {}
         before = band * (SIZE // BANDS)
         for at in range(0, len(p), 64):
             s = slice(at, at + 64)
-            ok = sum(np.bitwise_count(bp[s, None, w] ^ bq[None, :, w]).astype(np.uint8) for w in range(bp.shape[1])) <= most_bits
-            ok &= (qc != pc[s, None]) & (100 * np.minimum(qk, pk[s, None]) >= percent * np.maximum(qk, pk[s, None]))
+            ok = (qc != pc[s, None]) & (100 * np.minimum(qk, pk[s, None]) >= percent * np.maximum(qk, pk[s, None]))
             if i == j:
                 ok &= qn > pn[s, None]
+            if not ok.any():
+                continue
+            ok &= sum(np.bitwise_count(bp[s, None, w] ^ bq[None, :, w]).astype(np.uint8) for w in range(bp.shape[1])) <= most_bits
             a, b = np.nonzero(ok)
             a += at
-            for part in range(0, len(a), 4096):
-                x, y = a[part : part + 4096], b[part : part + 4096]
+            for k in range(0, len(a), 4096):
+                x, y = a[k : k + 4096], b[k : k + 4096]
                 same = sp[x] == sq[y]
                 good = same.sum(axis=1) >= least
                 if before:
@@ -306,9 +306,41 @@ def _tiled(rows: DataFrame, percent: int) -> DataFrame:
                 # The smaller component leads, so that both orders of two components meet in one part.
                 for u, cu, pu, v, cv, pv in zip(*(z.tolist() for z in (pn[x], pc[x], pp[x], qn[y], qc[y], qp[y])), strict=True):
                     out.setdefault((pu, v) if cu < cv else (pv, u), []).append(u if cu < cv else v)
-        return pd.DataFrame({"part": [k[0] for k in out], "a": [k[1] for k in out], "with": pd.Series(list(out.values()), dtype=object)}).astype({"part": "int64", "a": "int64"})
+        return out
+
+    def run(batches):
+        """Groups lie one after the other; none has over two blocks of rows."""
+        import pyarrow as pa
+
+        names = ("bucket", "i", "j", "block", "band", "node", "comp", "part", "n")
+        rest = None
+        for batch in _then_none(batches):
+            if batch is None:
+                cols, ends = rest, [len(rest[0])] if rest else []
+            else:
+                cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))] + [np.frombuffer(b"".join(batch.column(len(names)).to_pylist()), np.uint16).reshape(-1, SIZE)]
+                if rest:
+                    cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+                ends = []
+            if not cols or not len(cols[0]):
+                continue
+            new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), *ends]
+            rest = [x[edges[-1] :].copy() for x in cols] if batch is not None else None
+            out: list[list] = [[], [], []]
+            for a, b in zip(edges, edges[1:], strict=False):
+                block, node, comp, part, size, sig = (cols[k][a:b] for k in (3, 5, 6, 7, 8, 9))
+                for (part_, x), with_ in meet(int(cols[1][a]), int(cols[2][a]), int(cols[4][a]), block, node, comp, part, size, sig).items():
+                    out[0].append(part_), out[1].append(x), out[2].append(with_)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["part", "a", "with"])
+
+    dealt = rows.select("bucket", "i", "j", "block", "band", "node", "comp", "part", "n", "sig").repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(run, "part long, a long, with array<long>")
 
-    return rows.repartition(n, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(run, "part long, a long, with array<long>")
+
+def _then_none(batches):
+    yield from batches
+    yield None
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
@@ -322,24 +354,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sweep(spark)
     members = written(maybe_in(_banded(nodes), F.col("bucket"), shared, "bucket").join(shared, "bucket"), "members")
     sweep(spark)
-    wanted = written(members.select("node").distinct().join(nodes.select("node", "first", "more"), "node"), "wanted")
-    texts = written(maybe_in(docs, F.col("doc_id"), wanted, "first").join(wanted, F.col("doc_id") == F.col("first")).select("node", "more", "text"), "texts")
-    discard(shared, wanted)
-    sweep(spark)
+    discard(shared)
     left = members.select("bucket", "band", "node", F.col("node").alias("comp"), "lead", F.col("lead").alias("lead_comp"))
     links = None
     for k in range(rounds):
         # A leader is only tried where some bands agree; whatever that leaves out, the exhaustive step takes up.
         pairs = left.where("comp <> lead_comp").groupBy(F.col("lead").alias("part"), F.col("node").alias("a")).agg(F.count("*").alias("bands")).where("bands >= 3")
         pairs = written(pairs.select("part", "a", F.array("part").alias("with")), "pairs")
-        found = _confirmed(pairs, pairs.select("part", F.col("part").alias("node")).distinct(), texts, width, percent)
+        found = _confirmed(pairs, pairs.select("part", F.col("part").alias("node")).distinct(), docs, nodes, width, percent)
         links = found if links is None else links.union(found)
-        # Parts of components do here: what is linked only by detours is compared once more.
-        label = components(links, rounds=1)
+        label = written(components(links), "label")
         now = written(members.drop("lead").join(label, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("comp")), "now")
         split = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("x")).where("lo <> hi")
         left = written(now.join(split.select("bucket", F.col("x.node").alias("lead"), F.col("x.comp").alias("lead_comp")), "bucket"), "left")
-        discard(pairs, now)
+        discard(pairs, now, label)
         sweep(spark)
     # A component's nodes are dealt over parts of about TILE.
     ends = left.select("node", "comp").distinct()
@@ -348,9 +376,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rest = left.select("bucket", "band", "node", "comp").join(nodes.select("node", "n", "sig").join(parts, "node"), "node")
     pairs = written(_tiled(rest, percent), "pairs")
     if not pairs.isEmpty():
-        links = links.union(_confirmed(pairs, parts.select("part", "node"), texts, width, percent))
+        links = links.union(_confirmed(pairs, parts.select("part", "node"), docs, nodes, width, percent))
     label = written(components(links), "label")
-    discard(members, texts, left, parts, pairs)
+    discard(members, left, parts, pairs)
     sweep(spark)
     own = nodes.select("node", "first").join(label, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     low = own.groupBy("root").agg(F.min("first").alias("component_id"))
