@@ -164,7 +164,7 @@ def trailing_heading(c: Column) -> Column:
     """
     parts = sentences(c)
     n = F.size(parts) - 1  # sentence ends
-    tail = strip(F.array_join(F.slice(parts, F.size(parts) - 1, 2), ""))
+    tail = strip(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ""))
     rest = F.regexp_replace(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), ""), r"(?U)\s+$", "")
     ok = (n >= 2) & heading_level(tail).isNotNull()
     return F.struct(F.when(ok, tail).otherwise(F.lit("")).alias("heading"), F.when(ok, rest).otherwise(c).alias("rest"))
@@ -212,3 +212,59 @@ def sse_decode(frame: Column) -> Column:
     event = F.element_at(F.concat(F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("event:"))), lambda x: F.trim(F.substring(x, 7, 1 << 30))), F.array(F.lit("message"))), 1)
     data = F.array_join(F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("data:"))), lambda x: F.regexp_replace(F.substring(x, 6, 1 << 30), "^ ", "")), "\n")
     return F.struct(event.alias("event"), data.alias("data"))
+
+
+def location_label() -> Column:
+    """Where a chunk lies, without its file's name; parts that are missing are left out."""
+    page = F.col("page").cast("string")
+    sheet = _filled("sheet_name")
+    return F.concat_ws(
+        " | ", F.when(page.isNotNull() & ~page.isin("", "0", "?"), F.concat(F.lit("第"), page, F.lit("页"))), F.when(_filled("heading_path"), F.concat(F.lit("标题: "), "heading_path")),
+        _range("line_start", "line_end", "所属原文块: 第", "行"), _range("paragraph_start", "paragraph_end", "所属原文段落: 第", "段"), F.when(F.col("table_index").isNotNull(), F.concat(F.lit("第"), "table_index", F.lit("个表格"))),
+        F.when(sheet, F.concat(F.lit("工作表: "), "sheet_name")), F.when(sheet, _range("row_start", "row_end", "第", "行")), F.when(sheet, _range("column_start", "column_end", "", "列")), F.when(sheet, _range("header_row_start", "header_row_end", "表头: 第", "行")),
+    )
+
+
+def committed_length(c: Column) -> Column:
+    """Characters up to and with the last blank line outside a code fence: what of a text that still grows will not change."""
+    lines = F.split(c, "\n")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("safe"), F.lit(False).alias("fence"))
+
+    def step(s: Column, line: Column) -> Column:
+        fence = s["fence"] != line.rlike("^\\s*(```|~~~)")
+        end = s["at"] + F.length(line) + 1
+        return F.struct(end.cast("int").alias("at"), F.when(~fence & (F.trim(line) == "") & (end <= F.length(c)), end).otherwise(s["safe"]).cast("int").alias("safe"), fence.alias("fence"))
+
+    return F.aggregate(lines, start, step, lambda s: s["safe"])
+
+
+def score_format(s: Column) -> Column:
+    """A score with as many decimals as its size needs."""
+    return F.when(s.isNull(), "-").when(s >= 10, F.format_string("%.1f", s)).when(s >= 0.1, F.format_string("%.3f", s)).otherwise(F.format_string("%.4f", s))
+
+
+def recency(days: Column) -> Column:
+    return F.when(days == 0, "today").when(days <= 7, "week").otherwise("older")
+
+
+def shown_time(ms: Column) -> Column:
+    return F.when(F.coalesce(ms, F.lit(0)) == 0, F.lit("")).otherwise(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss"))
+
+
+def time_shown(text: Column) -> Column:
+    """Milliseconds of a shown time; null where it is none."""
+    return F.unix_millis(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
+def remaining_seconds(elapsed: Column, done: Column, total: Column) -> Column:
+    """What is left at the pace so far; null before anything is done."""
+    return F.when(done > 0, elapsed / done * (total - done))
+
+
+#: The stages of an answer.
+STAGES = ("rewrite", "retrieval", "rerank", "context", "generation")
+
+
+def timings(given: Column) -> Column:
+    """array<struct<stage, seconds>> of a map; stages that it lacks have null."""
+    return F.transform(F.array(*map(F.lit, STAGES)), lambda s: F.struct(s.alias("stage"), F.element_at(given, s).alias("seconds")))

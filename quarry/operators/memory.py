@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 
+#: How session files are named and laid out.
 SESSION_ID = r"^[0-9]{8}-[0-9]{6}-[0-9a-z]{6}\z"
 BOUNDARY = r"^ {0,3}##[ \t]*(用户|助手)[ \t]*#*[ \t]*$"
 SOURCES = r"^ {0,3}###[ \t]*参考来源[ \t]*#*[ \t]*$"

@@ -25,24 +25,56 @@ def corpus_stats(chunks: DataFrame, tokenizer: Callable[[Column], Column] = T.to
     return chunks.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.size(tokenizer(F.coalesce(F.col(text_col), F.lit(""))))), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
 
 
+#: Query terms up to this many are told to every task; with more, postings meet them by an exchange.
+MOST_TERMS = 10_000
+
+
+def query_terms(queries: DataFrame, tokenizer: Callable[[Column], Column] = T.tokens, qid_col: str = "qid", query_col: str = "query") -> DataFrame:
+    """Rows (qid, term, qtf): a term that a query repeats counts as often."""
+    return queries.select(F.col(qid_col).alias("qid"), F.explode(tokenizer(F.coalesce(F.col(query_col), F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+def wanted_postings(chunks: DataFrame, terms: list[str], tokenizer: Callable[[Column], Column] = T.tokens, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings (id, term, tf, dl) of these terms only, and their statistics (term, df, total): a null term has the number of chunks and the sum of their lengths.
+
+    A chunk's tokens are cut, filtered and counted inside its row; nothing but counts is exchanged.
+    """
+    toks = chunks.select(F.col(id_col).alias("id"), tokenizer(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    held = toks.select("id", F.size("t").cast("long").alias("dl"), F.filter("t", lambda x: x.isin(terms)).alias("h") if terms else F.array().cast("array<string>").alias("h"))
+    counted = F.transform(F.array_distinct("h"), lambda x: F.struct(x.alias("term"), F.size(F.filter("h", lambda y: y == x)).cast("long").alias("tf")))
+    post = held.where(F.size("h") > 0).select("id", "dl", F.explode(counted).alias("x")).select("id", "x.term", "x.tf", "dl")
+    stats = held.select("dl", F.explode(F.concat(F.array_distinct("h"), F.array(F.lit(None).cast("string")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    return post, stats
+
+
+def scored(post: DataFrame, stats: DataFrame, q: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Rows (qid, id, score) of postings, statistics by term (the null term's: of all chunks) and query terms."""
+    if k1 <= 0 or not 0 <= b <= 1:
+        raise ValueError("k1 must be positive and b between 0 and 1")
+    whole = stats.where("term is null").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), (F.coalesce(F.max("total"), F.lit(0)) / F.greatest(F.coalesce(F.max("df"), F.lit(0)), F.lit(1))).alias("avgdl"))  # one row
+    idf = stats.where("term is not null").crossJoin(F.broadcast(whole)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    rows = post.join(q.join(idf, "term"), "term").groupBy("qid", "id").agg(F.round(F.sum(weight * F.col("qtf")), 6).alias("score"))
+    return rows.where("score > 0")
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, tokenizer: Callable[[Column], Column] = T.tokens, id_col: str = "doc_id", text_col: str = "text", qid_col: str = "qid", query_col: str = "query") -> DataFrame:
     """Rows (qid, id, score, rank): the k best chunks of each query; a term that a query repeats counts as often; ties go to the lower id.
 
-    Query terms meet postings by term; their contributions are summed for each query and chunk before anything is ranked.
+    Chunks lose all tokens but the queries' inside their rows; what is left meets the queries by term, and contributions are summed for each query and chunk before anything is ranked.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    post = postings(chunks, tokenizer, id_col, text_col)
-    q = queries.select(F.col(qid_col).alias("qid"), F.explode(tokenizer(F.coalesce(F.col(query_col), F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    # Terms that no query has are left out before document frequencies are counted.
-    hit = post.join(q.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(chunks, tokenizer, text_col))  # one row
-    weighed = hit.join(df, "term").crossJoin(stats).select(
-        "term", "id", (F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w")
-    )
-    scored = weighed.join(q, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score")).where("score > 0")
-    return top(scored, k)
+    q = query_terms(queries, tokenizer, qid_col, query_col)
+    terms = [r.term for r in q.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(terms) <= MOST_TERMS:
+        post, stats = wanted_postings(chunks, terms, tokenizer, id_col, text_col)
+        stats, q = F.broadcast(stats), q  # at most MOST_TERMS + 1 rows
+    else:
+        post = postings(chunks, tokenizer, id_col, text_col).join(q.select("term").distinct(), "term", "left_semi")
+        whole = corpus_stats(chunks, tokenizer, text_col).select(F.lit(None).cast("string").alias("term"), F.col("n").alias("df"), (F.col("n") * F.col("avgdl")).alias("total"))
+        stats = post.groupBy("term").agg(F.count("*").alias("df"), F.lit(None).cast("double").alias("total")).union(whole)
+    return top(scored(post, stats, q, k1, b), k)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -60,8 +92,8 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
 
     Queries are counted; a block of at most QUERY_BLOCK goes to every task at a time and keeps k rows a query and task before the rows are exchanged.
     """
-    if k < 1:
-        raise ValueError("k must be positive")
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1:
+        raise ValueError("k must be a positive integer")
     rows = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).alias("e"))
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window  # noqa: F401  for the tests
 
 from quarry.functions import text as T
 from quarry.operators import chunking as C
@@ -15,7 +15,8 @@ from quarry.operators import incremental as I
 from quarry.operators import memory as M
 from quarry.operators import retrieval as R
 from quarry.operators import tables as G
-from quarry.plans.fixtures import Fixture, literal
+from quarry.plans.fixtures import Fixture
+from quarry.sources.store import export_record, filter_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,7 +72,7 @@ def _(spark, d):
 
 @add("flt4_type_source_limit", "SELECT doc_id, source FROM documents WHERE lang = 'en' AND contains(source, '1') ORDER BY doc_id LIMIT 100")
 def _(spark, d):
-    return read(spark, d, "documents").where((F.col("lang") == "en") & F.contains("source", F.lit("1"))).orderBy("doc_id").limit(100).select("doc_id", "source")
+    return filter_chunks(read(spark, d, "documents").withColumn("type", F.col("lang")), "en", "1", 100, order="doc_id").select("doc_id", "source")
 
 
 @add("agg1_term_frequency", f"SELECT doc_id AS id, term, len({TOKENS})::BIGINT AS dl, count(*) AS tf FROM (SELECT doc_id, text, unnest({TOKENS}) AS term FROM documents) GROUP BY doc_id, term, text")
@@ -139,20 +140,17 @@ def hybrid(spark, d):
 
 @add("agg6_counts_by_source_and_lang", "SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
 def _(spark, d):
-    docs = read(spark, d, "documents")
-    docs.createOrReplaceTempView("_quarry_documents")
-    return spark.sql("SELECT lang, source, count(*) AS n FROM _quarry_documents GROUP BY GROUPING SETS ((lang), (source), ())")
+    return E.counts_by(read(spark, d, "documents"), "lang", "source")
 
 
 @add("agg7_chunk_stats", "SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars, round(avg(length(text)), 1) AS mean, max(length(text)) AS longest, min(length(text)) AS shortest FROM documents GROUP BY source")
 def _(spark, d):
-    n = F.length("text")
-    return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(n).alias("chars"), F.round(F.avg(n), 1).alias("mean"), F.max(n).cast("long").alias("longest"), F.min(n).cast("long").alias("shortest"))
+    return E.chunk_stats(read(spark, d, "documents"), col="text")
 
 
 @add("srt9_sources_most_common", "SELECT source, n FROM (SELECT source, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source) ORDER BY n DESC, first LIMIT 10")
 def _(spark, d):
-    return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).orderBy(F.desc("n"), "first").limit(10).select("source", "n")
+    return E.most_common(read(spark, d, "documents"), order="doc_id", limit=10)
 
 
 @add("agg18_session_summaries", "SELECT conv_id, count(*) AS messages, max(turn) AS last, count(*) OVER () AS total FROM conversations GROUP BY conv_id")
@@ -188,17 +186,26 @@ def _(spark, d):
     return E.alignment(b, read(spark, d, "documents").select(F.col("text").alias("content")))
 
 
-@add("win10_byte_packing", "SELECT doc_id, CASE WHEN strlen(text) <= 30000 THEN 1 END AS whole, strlen(text) AS bytes FROM documents")
+#: Lines, long ones cut, dealt to parts one after the other; the line breaks that join them again do not count.
+PACKED = """WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE strlen(text) > 30000),
+pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k, x FROM (SELECT doc_id, i, j, substr(x, j * 7500 + 1, 7500) AS x FROM lines, generate_series(0, 100000) g(j) WHERE strlen(x) > 30000 AND j * 7500 < length(x)
+UNION ALL SELECT doc_id, i, 0, x FROM lines WHERE strlen(x) <= 30000)),
+dealt AS (SELECT doc_id, k, 1 AS part, strlen(x) AS n FROM pieces WHERE k = 1 UNION ALL SELECT p.doc_id, p.k, d.part + (d.n + strlen(p.x) > 30000)::INTEGER, CASE WHEN d.n + strlen(p.x) > 30000 THEN strlen(p.x) ELSE d.n + strlen(p.x) END FROM dealt d JOIN pieces p ON p.doc_id = d.doc_id AND p.k = d.k + 1),
+parts AS (SELECT doc_id, part, string_agg(x, chr(10) ORDER BY k) AS x FROM dealt JOIN pieces USING (doc_id, k) GROUP BY doc_id, part),
+kept AS (SELECT doc_id, list(md5(x) ORDER BY part) AS digests, sum(strlen(x))::BIGINT AS bytes FROM parts WHERE trim(x, ' ' || chr(10) || chr(9) || chr(13)) <> '' GROUP BY doc_id)
+SELECT doc_id, len(coalesce(digests, [md5(text)]))::INTEGER AS parts, coalesce(bytes, strlen(text)) AS bytes, array_to_string(coalesce(digests, [md5(text)]), ',') AS digests FROM documents LEFT JOIN kept USING (doc_id)"""
+
+
+@add("win10_byte_packing", PACKED)
 def _(spark, d):
-    parts = C.split_oversized(F.col("text"))
-    one = F.size(parts) == 1
-    # Parts hold all of the text: lines joined again, only blank parts may go.
-    return read(spark, d, "documents").select("doc_id", F.when(one & (F.octet_length("text") <= 30000), F.lit(1)).alias("whole"), F.octet_length(F.array_join(parts, "\n")).cast("long").alias("bytes"))
+    rows = read(spark, d, "documents").select("doc_id", C.split_oversized(F.col("text")).alias("p"))
+    return rows.select("doc_id", F.size("p").alias("parts"), F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)).alias("bytes"), F.array_join(F.transform("p", lambda x: F.md5(x)), ",").alias("digests"))
 
 
-@add("prj1_export_records", "SELECT doc_id, to_json({'source': source, 'type': 'text', 'content': text, 'page': n_chars}) AS record FROM documents")
+@add("prj1_export_records", "SELECT doc_id, to_json({'source': source, 'page': n_chars, 'type': 'text', 'content': text, 'line_start': 3, 'line_end': 9}) AS record FROM documents")
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.to_json(F.struct("source", F.lit("text").alias("type"), F.col("text").alias("content"), F.col("n_chars").alias("page"))).alias("record"))
+    docs = read(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("int").alias("page"), F.lit("text").alias("type"), F.col("text").alias("content"), F.lit(None).cast("string").alias("heading_path"), F.lit(3).alias("line_start"), F.lit(9).alias("line_end"))
+    return docs.select("doc_id", F.to_json(export_record(docs.columns)).alias("record"))
 
 
 @add("win15_stratified_questions", "SELECT doc_id AS id, lang AS type, k AS turn FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('17:' || doc_id), doc_id) AS k FROM documents) ORDER BY k, lang LIMIT 80")
@@ -221,6 +228,13 @@ def _(spark, d):
 
 
 CELLS = Fixture("k int, t string", ((1, "a|b"), (2, "x\r\ny\nz"), (3, "<b>&'\"</b>"), (4, "back\\slash"), (5, ""), (6, "【问题】和【回答】"), (7, "【历史对话】a【其他】"), (8, "  line one \n two\t `code` "), (9, "# title\n \\x\n  ## 助手\nplain"), (10, "  【长期记忆】记住这件事情，很长很长  ")))
+CELL_ROWS = f"(SELECT doc_id AS k, text AS t FROM documents UNION ALL SELECT -k, t FROM {CELLS.sql})"
+
+
+def cells(spark, d):
+    return read(spark, d, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("t")).union(CELLS.df(spark).select((-F.col("k")).cast("long"), "t"))
+
+
 ESC = "replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 ESC = f"replace(replace(replace(replace({ESC}, '\\', '\\\\'), '|', '\\|'), chr(13) || chr(10), chr(10)), chr(10), '<br>')"
 DEF = "t"
@@ -228,14 +242,14 @@ for _m in T.MARKERS:
     DEF = f"replace({DEF}, '{_m}', '[{_m[1:-1]}]')"
 
 
-@add("str5_escape_cell", f"SELECT k, {ESC} AS r FROM {CELLS.sql}")
+@add("str5_escape_cell", f"SELECT k, {ESC} AS r FROM {CELL_ROWS}")
 def _(spark, d):
-    return CELLS.df(spark).select("k", T.escape_cell(F.col("t")).alias("r"))
+    return cells(spark, d).select("k", T.escape_cell(F.col("t")).alias("r"))
 
 
-@add("str6_defuse", f"SELECT k, {DEF} AS r FROM {CELLS.sql}")
+@add("str6_defuse", f"SELECT k, {DEF} AS r FROM {CELL_ROWS}")
 def _(spark, d):
-    return CELLS.df(spark).select("k", T.defuse(F.col("t")).alias("r"))
+    return cells(spark, d).select("k", T.defuse(F.col("t")).alias("r"))
 
 
 @add("str7_memory_section", f"SELECT k, CASE WHEN b = '' THEN '' ELSE '【长期记忆】' || chr(10) || CASE WHEN length(b) > 10 THEN b[1:10] || chr(10) || '（长期记忆超过 10 字上限，后续内容未注入）' ELSE b END || chr(10) || chr(10) END AS r FROM (SELECT k, trim({DEF}, ' ' || chr(10)) AS b FROM {CELLS.sql})")
@@ -243,33 +257,47 @@ def _(spark, d):
     return CELLS.df(spark).select("k", T.memory_section(F.col("t"), 10).alias("r"))
 
 
-@add("str11_escape_lines", f"SELECT k, array_to_string(list_transform(string_split(regexp_replace(t, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^( *)([\\\\#])', '\\1\\\\\\2')), chr(10)) AS escaped, regexp_replace(t, '\\r\\n?', chr(10), 'g') AS back FROM {CELLS.sql}")
+@add("str11_escape_lines", f"SELECT k, array_to_string(list_transform(string_split(regexp_replace(t, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^( *)([\\\\#])', '\\1\\\\\\2')), chr(10)) AS escaped, regexp_replace(t, '\\r\\n?', chr(10), 'g') AS back FROM {CELL_ROWS}")
 def _(spark, d):
     e = T.escape_lines(F.col("t"))
-    return CELLS.df(spark).select("k", e.alias("escaped"), T.unescape_lines(e).alias("back"))
+    return cells(spark, d).select("k", e.alias("escaped"), T.unescape_lines(e).alias("back"))
 
 
-@add("str12_one_line", f"SELECT k, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS title, replace(trim(regexp_replace(t, '\\s+', ' ', 'g')), '`', '''') AS label FROM {CELLS.sql}")
+@add("str12_one_line", f"SELECT k, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS title, replace(trim(regexp_replace(t, '\\s+', ' ', 'g')), '`', '''') AS label FROM {CELL_ROWS}")
 def _(spark, d):
-    return CELLS.df(spark).select("k", T.one_line(F.col("t")).alias("title"), T.sanitize_label(F.col("t")).alias("label"))
+    return cells(spark, d).select("k", T.one_line(F.col("t")).alias("title"), T.sanitize_label(F.col("t")).alias("label"))
 
 
 GRAMS = "CASE WHEN length(s) >= 3 THEN list_distinct([s[i : i + 2] FOR i IN range(1, length(s) - 1)]) ELSE [] END"
 PAIRS = Fixture("k int, a string, b string", ((1, "能源 规划\n纲要", "能源规划纲要"), (2, "abcdef", "abcxyz"), (3, "ab", "ab"), (4, "", "x"), (5, "电力系统安全稳定运行", "电力系统安全稳定"), (6, "abcabcabc", "abc"), (7, "完全不同的内容", "毫无关系")))
 
 
-@add("mth3_jaccard_ngrams", f"SELECT k, len(g)::INTEGER AS n, round(CASE WHEN len(g) = 0 OR len(h) = 0 THEN 0.0 ELSE len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) END, 9)::DOUBLE AS j FROM (SELECT k, {GRAMS} AS g, {GRAMS.replace('(s)', '(u)').replace('s[i', 'u[i')} AS h FROM (SELECT k, replace(replace(a, chr(10), ''), ' ', '') AS s, replace(replace(b, chr(10), ''), ' ', '') AS u FROM {PAIRS.sql}))")
+PAIR_ROWS = f"(SELECT a.item_id AS k, a.text AS a, b.text AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 UNION ALL SELECT -k, a, b FROM {PAIRS.sql})"
+
+
+def pairs(spark, d):
+    b = read(spark, d, "benchmark")
+    rows = b.select(F.col("item_id").alias("k"), F.col("text").alias("a")).join(b.select((F.col("item_id") - 1).alias("k"), F.col("text").alias("b")), "k")
+    return rows.union(PAIRS.df(spark).select((-F.col("k")).cast("long"), "a", "b"))
+
+
+@add("mth3_jaccard_ngrams", f"SELECT k, len(g)::INTEGER AS n, round(CASE WHEN len(g) = 0 OR len(h) = 0 THEN 0.0 ELSE len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) END, 9)::DOUBLE AS j FROM (SELECT k, {GRAMS} AS g, {GRAMS.replace('(s)', '(u)').replace('s[i', 'u[i')} AS h FROM (SELECT k, replace(replace(a, chr(10), ''), ' ', '') AS s, replace(replace(b, chr(10), ''), ' ', '') AS u FROM {PAIR_ROWS}))")
 def _(spark, d):
     g = T.ngrams(F.col("a"))
-    return PAIRS.df(spark).select("k", F.size(g).alias("n"), F.round(T.jaccard(g, T.ngrams(F.col("b"))), 9).alias("j"))
+    return pairs(spark, d).select("k", F.size(g).alias("n"), F.round(T.jaccard(g, T.ngrams(F.col("b"))), 9).alias("j"))
 
 
-@add("mth7_char_overlap", f"SELECT k, round(CASE WHEN a = '' OR b = '' THEN 0.0 ELSE len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, '')))) / len(list_distinct(string_split(b, ''))) END, 9)::DOUBLE AS r FROM {PAIRS.sql}")
+@add("mth7_char_overlap", f"SELECT k, round(CASE WHEN a = '' OR b = '' THEN 0.0 ELSE len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, '')))) / len(list_distinct(string_split(b, ''))) END, 9)::DOUBLE AS r FROM {PAIR_ROWS}")
 def _(spark, d):
-    return PAIRS.df(spark).select("k", F.round(E.char_overlap(F.col("a"), F.col("b")), 9).alias("r"))
+    return pairs(spark, d).select("k", F.round(E.char_overlap(F.col("a"), F.col("b")), 9).alias("r"))
+
+
+#: The table of the longest common subsequence, row by row as lists.
+LCS = """list_last(list_reduce([[0 FOR _ IN range(0, length(a) + 1)]] || [[ord(c)] FOR c IN list_filter(string_split(b, ''), lambda c: c <> '')],
+lambda r, c: list_reduce([[0]] || [[i] FOR i IN range(1, length(a) + 1)], lambda acc, i: acc || [CASE WHEN ord(substr(a, i[1], 1)) = c[1] THEN r[i[1]] + 1 ELSE greatest(list_last(acc), r[i[1] + 1]) END])))"""
 
 
-@add("mth6_rouge_l")
+@add("mth6_rouge_l", f"SELECT k, round(CASE WHEN a = '' OR b = '' THEN 0.0 ELSE 2 * {LCS} / (length(a) + length(b)) END, 9)::DOUBLE AS f1 FROM {PAIRS.sql}")
 def rouge(spark, d):
     return PAIRS.df(spark).select("k", F.round(E.lcs_f1(F.col("a"), F.col("b")), 9).alias("f1"))
 
@@ -372,13 +400,16 @@ def _(spark, d):
     return I.source_counts(MANIFEST.df(spark), FRESH.df(spark))
 
 
-@add("set1_union_in_class_order", "SELECT * FROM (VALUES (0, 'text'), (1, 'code'), (2, 'table'), (3, 'figure')) t(class, type)")
+PIECES = Fixture("source string, ord int, type string, block_kind string, content string", (
+    ("a", 1, "table", "table", "| t |"), ("a", 2, "text", "section", "这一段正文足够长所以应该保留下来用于检索测试"), ("a", 3, "text", "code", "x = 1"), ("a", 4, "figure", "figure", "图"), ("a", 5, "text", None, "太短"), ("a", 6, "text", "list", "- 甲"), ("b", 1, "text", "section", "另一个文件里同样足够长的正文内容也会保留下来"),
+))
+
+
+@add("set1_union_in_class_order", f"SELECT source, (row_number() OVER (PARTITION BY source ORDER BY c, ord))::INTEGER AS ord, type, content FROM (SELECT *, CASE WHEN type = 'figure' THEN 3 WHEN type = 'table' THEN 2 WHEN block_kind IN ('code', 'list') THEN 1 ELSE 0 END AS c FROM {PIECES.sql}) WHERE c > 0 OR len(regexp_extract_all(content, '{T.MEANINGFUL}')) >= 20")
 def _(spark, d):
-    parts = [spark.createDataFrame([(i, t)], "class int, type string") for i, t in enumerate(("text", "code", "table", "figure"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from quarry.plans.chunker import Chunker
+
+    return Chunker().split(PIECES.df(spark)).select("source", "ord", "type", "content")
 
 
 @add("set2_replaced_sources", f"SELECT source FROM {FRESH.sql} UNION SELECT 'd.pdf'")
@@ -420,7 +451,7 @@ def _(spark, d):
     return E.numeric_support(SAMPLES.df(spark))
 
 
-SCORES = Fixture("question string, type string, faithfulness double, answer_relevancy double, context_precision double, context_recall double", (("a", "table", 0.5, None, 1.0, 0.25), ("b", "figure", 1.0, 0.75, None, 0.5), ("c", "table", None, 0.5, 0.5, None)))
+SCORES = Fixture("question string, type string, faithfulness double, answer_relevancy double, context_precision double, context_recall double", (("a", "table", 0.5, None, 1.0, 0.25), ("b", "figure", 1.0, 0.75, None, 0.5), ("c", "table", None, 0.5, 0.5, None), ("d", "negative", 1.0, 0.0, 0.5, 0.0)))
 
 
 @add("agg9_average_scores", f"SELECT count(*) AS n, {', '.join(f'round(avg({c}), 4) AS {c}' for c in E.SCORES)} FROM {SCORES.sql}")
@@ -428,9 +459,9 @@ def _(spark, d):
     return E.average_scores(SCORES.df(spark))
 
 
-@add("agg10_scores_by_type", f"SELECT type, {', '.join(f'round(avg({c}), 4) AS {c}' for c in E.SCORES)} FROM {SCORES.sql} GROUP BY ROLLUP (type)")
+@add("agg10_scores_by_type", f"SELECT negative, type, count(*) AS n, {', '.join(f'round(avg({c}), 4) AS {c}' for c in E.SCORES)} FROM (SELECT *, coalesce(type = 'negative', false) AS negative FROM {SCORES.sql}) GROUP BY GROUPING SETS ((negative, type), (negative))")
 def _(spark, d):
-    return SCORES.df(spark).rollup("type").agg(*[F.round(F.avg(c), 4).alias(c) for c in E.SCORES])
+    return E.scores_by_type(SCORES.df(spark))
 
 
 BLOCKS = Fixture("source string, ord int, level int, title string", (("a", 1, 1, "总则"), ("a", 2, 2, "目标"), ("a", 3, None, None), ("a", 4, 2, "范围"), ("a", 5, 3, "细则"), ("a", 6, 1, "附则"), ("b", 1, 2, "独立"), ("b", 2, None, None)))
@@ -506,8 +537,7 @@ def _(spark, d):
 
 @add("agg11_heat_bins", f"SELECT question, CASE WHEN faithfulness IS NULL THEN NULL WHEN faithfulness < 0.5 THEN 0 WHEN faithfulness < 0.7 THEN 1 WHEN faithfulness < 0.85 THEN 2 ELSE 3 END AS bin FROM {SCORES.sql}")
 def _(spark, d):
-    f = F.col("faithfulness")
-    return SCORES.df(spark).select("question", F.when(f.isNull(), None).when(f < 0.5, 0).when(f < 0.7, 1).when(f < 0.85, 2).otherwise(3).alias("bin"))
+    return SCORES.df(spark).select("question", E.heat_bin(F.col("faithfulness")).alias("bin"))
 
 
 FRAMES = Fixture("k int, name string, payload string", ((1, "token", "hello"), (2, "sources", "[1,\n2]"), (3, "done", "a\r\nb")))
@@ -541,7 +571,7 @@ def _(spark, d):
 STAMPS = Fixture("ms long", ((0,), (1700000000000,), (1735689599000,)))
 
 
-@add("dat1_timestamps", f"SELECT ms, strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M:%S') AS shown, ms AS back FROM {STAMPS.sql}")
+@add("dat1_timestamps", f"SELECT ms, CASE WHEN ms = 0 THEN '' ELSE strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M:%S') END AS shown, nullif(ms, 0) AS back FROM {STAMPS.sql}")
 def _(spark, d):
-    shown = F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd HH:mm:ss")
-    return STAMPS.df(spark).select("ms", shown.alias("shown"), F.unix_millis(F.try_to_timestamp(shown, F.lit("yyyy-MM-dd HH:mm:ss"))).alias("back"))
+    shown = T.shown_time(F.col("ms"))
+    return STAMPS.df(spark).select("ms", shown.alias("shown"), T.time_shown(shown).alias("back"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
+from quarry.operators import chunking as C
 from quarry.operators import evaluation as E
 from quarry.operators import incremental as I
 from quarry.operators import memory as M
@@ -13,6 +14,8 @@ from quarry.operators import retrieval as R
 from quarry.plans import catalog as K
 from quarry.plans.catalog import add, read
 from quarry.plans.fixtures import Fixture
+from quarry.plans.pipeline import TEXT_FORMATS
+from quarry.sources.files import Registry
 
 FILES = Fixture("name string, size int", (("b.PDF", 3), ("a.pdf", 1), ("~$x.docx", 1), ("c.docx", 2), ("d.png", 9), ("noext", 1)))
 
@@ -23,10 +26,9 @@ def _(spark, d):
     return FILES.df(spark).where(suffix.isin(".pdf", ".docx") & ~F.startswith("name", F.lit("~$"))).orderBy("name").limit(2).select("name")
 
 
-@add("src4_parser_fingerprint", "SELECT '.docx=WordParser;.md=MarkdownParser;.txt=TextParser' AS fingerprint")
+@add("src4_parser_fingerprint", "SELECT '.docx=read_word;.md=read_markdown;.txt=read_text' AS fingerprint")
 def _(spark, d):
-    rows = spark.createDataFrame([(".txt", "TextParser"), (".docx", "WordParser"), (".md", "MarkdownParser")], "suffix string, parser string")
-    return rows.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "suffix", "parser"))), ";").alias("fingerprint"))
+    return spark.createDataFrame([(Registry(TEXT_FORMATS).fingerprint,)], "fingerprint string")
 
 
 WORDS = Fixture("k int, t string", ((1, "短标题"), (2, "这一句是正文。"), (3, "长" * 41), (4, "  恰好四十个字以内的标题  ")))
@@ -68,16 +70,15 @@ def _(spark, d):
     return rows.select("k", T.json_safe(F.col("dense_score")).alias("dense"), T.json_safe(F.col("bm25_score")).alias("bm25"))
 
 
-@add("prj3_evidence_numbers", f"SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY pos, branch) AS n FROM {K.HITS.sql}")
+@add("prj3_evidence_numbers", f"SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY pos) AS n FROM (SELECT qid, key, min(pos) AS pos FROM {K.HITS.sql} WHERE branch = 'sparse' GROUP BY qid, key)")
 def _(spark, d):
-    return K.HITS.df(spark).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("pos", "branch"))).select("qid", "key", "n")
+    return R.first_of_each(K.HITS.df(spark).where("branch = 'sparse'"), by=("qid",)).select("qid", "key", F.col("rank").alias("n"))
 
 
 @add("prj4_timings", "SELECT * FROM (VALUES ('rewrite', NULL::DOUBLE), ('retrieval', 0.5), ('rerank', NULL), ('context', NULL), ('generation', 1.5)) t(stage, seconds)")
 def _(spark, d):
     given = F.create_map(F.lit("retrieval"), F.lit(0.5), F.lit("generation"), F.lit(1.5))
-    stages = F.array(*map(F.lit, ("rewrite", "retrieval", "rerank", "context", "generation")))
-    return spark.range(1).select(F.explode(F.transform(stages, lambda s: F.struct(s.alias("stage"), F.element_at(given, s).alias("seconds")))).alias("x")).select("x.*")
+    return spark.range(1).select(F.explode(T.timings(given)).alias("x")).select("x.*")
 
 
 KINDS = Fixture("k int, block_kind string, content string", ((1, "code", "x"), (2, "list", "- a"), (3, None, "太短"), (4, "section", "这一段正文足够长所以应该保留下来用于检索测试")))
@@ -85,18 +86,19 @@ KINDS = Fixture("k int, block_kind string, content string", ((1, "code", "x"), (
 
 @add("flt2_whole_units", f"SELECT k FROM {KINDS.sql} WHERE coalesce(block_kind IN ('code', 'list'), false) OR len(regexp_extract_all(content, '{T.MEANINGFUL}')) >= 20")
 def _(spark, d):
-    whole = F.coalesce(F.col("block_kind").isin("code", "list"), F.lit(False))
-    return KINDS.df(spark).where(whole | (T.meaningful_len(F.col("content")) >= 20)).select("k")
+    from quarry.plans.chunker import Chunker
+
+    return Chunker().split(KINDS.df(spark).select("k", "block_kind", "content", F.lit("text").alias("type"), F.lit("s").alias("source"), F.col("k").alias("ord"))).select("k")
 
 
 @add("flt5_question_types", f"SELECT question FROM {K.SAMPLES.sql} WHERE trim(question) <> '' AND type IN ('numeric', 'negative')")
 def _(spark, d):
-    return K.SAMPLES.df(spark).where((T.strip(F.col("question")) != "") & F.col("type").isin("numeric", "negative")).select("question")
+    return E.selected(K.SAMPLES.df(spark), ["numeric", "negative"]).select("question")
 
 
 @add("flt6_unlabelled", f"SELECT qid FROM {K.LABELS.sql} WHERE len(relevant) > 0")
 def _(spark, d):
-    return K.LABELS.df(spark).where(F.size("relevant") > 0).select("qid")
+    return E.labelled(K.LABELS.df(spark)).select("qid")
 
 
 GRID = Fixture("k int, row array<string>", ((1, ["a", " "]), (2, ["", " "]), (3, []), (4, ["", "b"])))
@@ -123,17 +125,20 @@ def _(spark, d):
     return rows.select("qid", "rank", T.relevant(F.col("content"), F.col("relevant")).alias("rel"))
 
 
-@add("jn12_resume", f"SELECT question, answer FROM {K.SAMPLES.sql} WHERE question IN ('q2', 'q4')")
+@add("jn12_resume", f"SELECT n, question, CASE WHEN question = 'q2' THEN 'later' ELSE answer END AS answer FROM {K.SAMPLES.sql} JOIN (VALUES (1, 'q4'), (2, 'q2'), (3, 'q9')) q(n, question) USING (question)")
 def _(spark, d):
-    asked = spark.createDataFrame([("q2",), ("q4",), ("q9",)], "question string")
-    same_index = F.lit("f1") == F.lit("f1")  # the stored index's fingerprint and the current one's
-    return K.SAMPLES.df(spark).join(asked, "question", "left_semi").where(same_index).select("question", "answer")
+    samples = K.SAMPLES.df(spark).withColumn("pos", F.monotonically_increasing_id())
+    again = samples.where("question = 'q2'").select("question", F.lit("numeric").alias("type"), F.lit("later").alias("answer"), "contexts", F.lit(1 << 40).alias("pos"))
+    asked = spark.createDataFrame([(1, "q4"), (2, "q2"), (3, "q9")], "n int, question string")
+    now = E.fingerprint(read(spark, d, "documents"), ["doc_id"], ["source", "doc_id"], "text").first().fingerprint
+    same, other = (E.resumed(asked, samples.union(again), now, x) for x in (now, "another"))
+    return same.union(other).select("n", "question", "answer")
 
 
 @add("jn13_question_types", f"SELECT r.qid, coalesce(q.type, '') AS type FROM (SELECT DISTINCT qid FROM {K.RANKED.sql}) r LEFT JOIN (VALUES (1, 'table'), (3, 'figure')) q(qid, type) USING (qid)")
 def _(spark, d):
-    types = spark.createDataFrame([(1, "table"), (3, "figure")], "qid int, type string")
-    return K.RANKED.df(spark).select("qid").distinct().join(types, "qid", "left").select("qid", F.coalesce("type", F.lit("")).alias("type"))
+    types = spark.createDataFrame([(1, "table"), (3, "figure"), (1, "table")], "qid int, type string")
+    return E.with_types(K.RANKED.df(spark).select("qid").distinct(), types)
 
 
 @add("mth1_idf", f"WITH {K.BM25.split('dfs AS')[0]} dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM dfs, stats")
@@ -154,7 +159,7 @@ LOGITS = Fixture("k int, yes double, no double", ((1, 1.0, 0.0), (2, -2.0, 3.0),
 
 @add("mth5_yes_probability", f"SELECT k, round(1 / (1 + exp(no - yes)), 9) AS p FROM {LOGITS.sql}")
 def _(spark, d):
-    return LOGITS.df(spark).select("k", F.round(1 / (1 + F.exp(F.col("no") - F.col("yes"))), 9).alias("p"))
+    return LOGITS.df(spark).select("k", F.round(E.yes_probability(F.col("yes"), F.col("no")), 9).alias("p"))
 
 
 @add("mth8_char_faithfulness", f"SELECT question, round(CASE WHEN answer = '' OR array_to_string(contexts, '') = '' THEN 0.0 ELSE len(list_intersect(list_distinct(string_split(answer, '')), list_distinct(string_split(array_to_string(contexts, ''), '')))) / len(list_distinct(string_split(answer, ''))) END, 9)::DOUBLE AS r FROM {K.SAMPLES.sql}")
@@ -167,20 +172,24 @@ def _(spark, d):
     return E.macro_average(E.query_metrics(K.RANKED.df(spark), K.LABELS.df(spark))).select("recall_1", "mrr")
 
 
-@add("agg16_outcome_counts", "SELECT * FROM (VALUES ('failed', 4), ('processed', 2)) t(state, n)")
+@add("agg16_outcome_counts", f"SELECT CASE WHEN failed THEN 'failed' ELSE 'processed' END AS state, count(*)::INTEGER AS n FROM {K.OUTCOMES.sql} GROUP BY 1")
 def _(spark, d):
-    return K.OUTCOMES.df(spark).groupBy(F.when(F.col("failed"), "failed").otherwise("processed").alias("state")).agg(F.count("*").cast("int").alias("n"))
+    return E.outcome_counts(K.OUTCOMES.df(spark))
+
 
+RESULTS = Fixture("strategy string, mode string, value double", (("semantic", "vector", 0.75), ("semantic", "hybrid", 1.0), ("recursive", "vector", 0.5)))
 
-@add("agg19_headline_pivot", "SELECT * FROM (VALUES ('recursive', 0.5::DOUBLE, NULL::DOUBLE), ('semantic', 0.75, 1.0)) t(strategy, vector, hybrid)")
+
+@add("agg19_headline_pivot", f"SELECT strategy, max(value) FILTER (mode = 'vector') AS vector, max(value) FILTER (mode = 'hybrid') AS hybrid FROM {RESULTS.sql} GROUP BY strategy")
 def _(spark, d):
-    rows = spark.createDataFrame([("semantic", "vector", 0.75), ("semantic", "hybrid", 1.0), ("recursive", "vector", 0.5)], "strategy string, mode string, recall double")
-    return rows.groupBy("strategy").pivot("mode", ["vector", "hybrid"]).agg(F.first("recall"))
+    return E.headline(RESULTS.df(spark), ["vector", "hybrid"])
 
 
-@add("agg14_index_fingerprint")
+@add("agg14_index_fingerprint", """WITH r AS (SELECT coalesce(source, '') AS s, doc_id, sha256(coalesce(source, '') || '|' || coalesce(doc_id::VARCHAR, '') || '|' || sha256(coalesce(text, ''))) AS d FROM documents),
+e AS (SELECT s, sha256(string_agg(d, '' ORDER BY doc_id, d)) AS d, count(*) AS n FROM r GROUP BY s)
+SELECT substr(sha256(string_agg(s || ':' || d, '|' ORDER BY s)), 1, 16) AS fingerprint, sum(n)::BIGINT AS chunks FROM e""")
 def _(spark, d):
-    return E.fingerprint(read(spark, d, "documents"), ["source", "doc_id"], "text")
+    return E.fingerprint(read(spark, d, "documents"), ["doc_id"], ["source", "doc_id"], "text")
 
 
 @add("win1_branch_rank", f"SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, pos) AS rank FROM {K.HITS.sql} WHERE branch = 'dense'")
@@ -222,9 +231,9 @@ def _(spark, d):
     return K.PAIRS.df(spark).select("k", F.size(F.array_intersect(g, h)).alias("both"), F.size(F.array_union(g, h)).alias("either"))
 
 
-@add("str13_strip_layout", f"SELECT k, replace(replace(t, chr(10), ''), ' ', '') AS r FROM {K.CELLS.sql}")
+@add("str13_strip_layout", f"SELECT k, replace(replace(t, chr(10), ''), ' ', '') AS r FROM {K.CELL_ROWS}")
 def _(spark, d):
-    return K.CELLS.df(spark).select("k", T.strip_layout(F.col("t")).alias("r"))
+    return K.cells(spark, d).select("k", T.strip_layout(F.col("t")).alias("r"))
 
 
 @add("str17_trailing_heading", "SELECT * FROM (VALUES ('a', 1, '（三）推进构网型技术应用。'), ('a', 2, ''), ('a', 3, '（四）标题。'), ('b', 1, '')) t(source, ord, heading)")
@@ -243,17 +252,20 @@ def _(spark, d):
     return rows.select(F.from_json("j", "qid int, key string, score double").alias("x")).select("x.*")
 
 
-@add("dat4_recency_groups", "SELECT * FROM (VALUES (0, 'today'), (3, 'week'), (7, 'week'), (30, 'older')) t(days, label)")
+DAYS = Fixture("days int", ((0,), (3,), (7,), (30,)))
+
+
+@add("dat4_recency_groups", f"SELECT days, CASE WHEN days = 0 THEN 'today' WHEN days <= 7 THEN 'week' ELSE 'older' END AS label FROM {DAYS.sql}")
 def _(spark, d):
-    days = F.col("days")
-    return spark.createDataFrame([(0,), (3,), (7,), (30,)], "days int").select("days", F.when(days == 0, "today").when(days <= 7, "week").otherwise("older").alias("label"))
+    return DAYS.df(spark).select("days", T.recency(F.col("days")).alias("label"))
+
 
+SHOWN = Fixture("k int, s double", ((1, None), (2, 12.34), (3, 0.1234), (4, 0.00161)))
 
-@add("str23_score_format", "SELECT * FROM (VALUES (1, '-'), (2, '12.3'), (3, '0.123'), (4, '0.0016')) t(k, shown)")
+
+@add("str23_score_format", f"SELECT k, CASE WHEN s IS NULL THEN '-' WHEN s >= 10 THEN printf('%.1f', s) WHEN s >= 0.1 THEN printf('%.3f', s) ELSE printf('%.4f', s) END AS shown FROM {SHOWN.sql}")
 def _(spark, d):
-    rows = spark.createDataFrame([(1, None), (2, 12.34), (3, 0.1234), (4, 0.00161)], "k int, s double")
-    s = F.col("s")
-    return rows.select("k", F.when(s.isNull(), "-").when(s >= 10, F.format_string("%.1f", s)).when(s >= 0.1, F.format_string("%.3f", s)).otherwise(F.format_string("%.4f", s)).alias("shown"))
+    return SHOWN.df(spark).select("k", T.score_format(F.col("s")).alias("shown"))
 
 
 @add("src30_session_parse", "SELECT * FROM (VALUES ('s', 1, 'user', '问题'), ('s', 2, 'assistant', '回答' || chr(10) || '## 不是边界')) t(conv_id, turn, role, text)")
@@ -267,3 +279,43 @@ def _(spark, d):
     from quarry.streaming.ingest import windowed
 
     return windowed(read(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@add("agg15_lexical_report", f"SELECT count(*) AS n, round(avg(r), 4) AS rouge_l, round(avg(o), 4) AS char_overlap, round(avg(f), 4) AS char_faithfulness FROM (SELECT CASE WHEN a = '' OR b = '' THEN 0.0 ELSE 2 * {K.LCS} / (length(a) + length(b)) END AS r, CASE WHEN a = '' OR b = '' THEN 0.0 ELSE len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, '')))) / len(list_distinct(string_split(b, ''))) END AS o, CASE WHEN b = '' THEN 0.0 ELSE 1.0 END AS f FROM {K.PAIRS.sql})")
+def _(spark, d):
+    rows = K.PAIRS.df(spark).select(F.col("a").alias("reference"), F.col("b").alias("answer"), F.array("b", F.lit("")).alias("contexts"))
+    return E.lexical_report(rows)
+
+
+@add("prj5_context_keys", """SELECT 1 AS qid, '[{"source":"a","page":2,"type":"text","block_index":4},{"source":"b","type":"table","table_index":1}]' AS keys""")
+def _(spark, d):
+    rows = spark.createDataFrame([(1, 2, "b", None, "table", None, 1), (1, 1, "a", 2, "text", 4, None)], "qid int, rank int, source string, page int, type string, block_index int, table_index int")
+    return E.context_keys(rows).select("qid", F.to_json("keys").alias("keys"))
+
+
+PLACES = f"SELECT k, CASE k WHEN 1 THEN '第3页 | 标题: 总则' WHEN 2 THEN '所属原文块: 第1—9行' WHEN 3 THEN '所属原文段落: 第2—5段 | 第1个表格' WHEN 4 THEN '工作表: S | 第2—9行 | A—C列 | 表头: 第1—1行' ELSE '' END AS label FROM {K.META.sql}"
+
+
+@add("str9_location_label", PLACES)
+def _(spark, d):
+    return K.META.df(spark).select("k", T.location_label().alias("label"))
+
+
+GROWING = Fixture("k int, t string", ((1, "one\n\ntwo"), (2, "```\n\ncode"), (3, "```\ncode\n```\n\nafter"), (4, "no blank"), (5, ""), (6, "a\n\nb\n\nc")))
+
+
+@add("str22_committed_prefix", f"SELECT k, CASE k WHEN 1 THEN 5 WHEN 3 THEN 14 WHEN 6 THEN 6 ELSE 0 END AS n FROM {GROWING.sql}")
+def _(spark, d):
+    return GROWING.df(spark).select("k", T.committed_length(F.col("t")).alias("n"))
+
+
+@add("mth10_remaining", "SELECT turn, conv_id, CASE WHEN turn > 0 THEN 60.0 / turn * (10 - turn) END AS seconds FROM conversations")
+def _(spark, d):
+    return read(spark, d, "conversations").select("turn", "conv_id", T.remaining_seconds(F.lit(60.0), F.col("turn"), F.lit(10)).alias("seconds"))
+
+
+@add("api11_recursive_split", "SELECT doc_id, true AS whole FROM documents WHERE length(text) <= 800 AND trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''")
+def _(spark, d):
+    """Texts that fit stay whole; the parts of others are tested against a plain version."""
+    docs = read(spark, d, "documents").where(F.length("text") <= 800)
+    return docs.select("doc_id", C.recursive_split(F.col("text")).alias("p"), "text").where(F.size("p") > 0).select("doc_id", ((F.size("p") == 1) & (F.get("p", 0) == T.strip(F.col("text")))).alias("whole"))

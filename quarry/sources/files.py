@@ -30,6 +30,11 @@ def scan(spark: SparkSession, folder: str, suffixes: list[str], max_files: int |
     return rows.orderBy("path").limit(max_files) if max_files else rows
 
 
+def digests(spark: SparkSession, folder: str, suffixes: list[str]) -> DataFrame:
+    """(source, digest, path) of the files that scan finds: contents are digested where they are read, and go no further."""
+    return scan(spark, folder, suffixes).select("source", "digest", "path")
+
+
 def block(source: str, ord_: int, **fields) -> dict:
     return dict.fromkeys(COLUMNS) | {"source": source, "ord": ord_} | fields
 

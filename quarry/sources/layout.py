@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +27,53 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("source", F.posexplode("items").alias("pos", "item")).select("source", "pos", "item.*")
 
 
+def described(figures: DataFrame, describe: Callable[[list[bytes], list[str]], list[str]], prompt: str = "描述图片", batch: int = 12) -> DataFrame:
+    """figures with content: the caption, and below it what `describe` says of the image. A batch that fails is tried again one by one; an image that fails by itself is left out."""
+    columns = [c for c in figures.columns if c != "content"]
+    schema = ", ".join(f"`{n}` {t}" for n, t in figures.select(*columns).dtypes) + ", content string"
+    asked = figures.select(*columns, T.figure_prompt(F.lit(prompt), F.col("caption")).alias("_prompt"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rows in batches:
+            items, told = rows.to_pylist(), []
+            for at in range(0, len(items), batch):
+                some = items[at : at + batch]
+                try:
+                    got = describe([x["image"] for x in some], [x["_prompt"] for x in some])
+                    if len(got) != len(some):
+                        raise ValueError("one description an image is needed")
+                except Exception:  # noqa: BLE001 - one image must not take the others with it
+                    got = []
+                    for x in some:
+                        try:
+                            got += describe([x["image"]], [x["_prompt"]])[:1] or [None]
+                        except Exception:  # noqa: BLE001
+                            got.append(None)
+                told += got
+            keep = [i for i, t in enumerate(told) if t and t.strip()]
+            text = [f"{items[i]['caption']}\n{told[i].strip()}" if items[i]["caption"] else told[i].strip() for i in keep]
+            kept = rows.take(pa.array(keep, pa.int64())).select(columns)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(text, pa.string())], names=[*columns, "content"])
+
+    return asked.mapInArrow(run, schema)
+
+
+def file_blocks(files: DataFrame, describe: Callable[[list[bytes], list[str]], list[str]] | None = None, **how) -> DataFrame:
+    """Blocks of files (source, content) that hold a JSON array of layout items, and an error row for each that holds none. Figures need a function that describes them."""
+    parsed = files.select("source", F.from_json(F.try_validate_utf8(F.col("content").cast("string")), ITEMS).alias("items"))
+    items = parsed.select("source", F.posexplode("items").alias("pos", "item")).select("source", "pos", "item.*")
+    made = blocks(items, **how)
+    good = made.where("type <> 'figure'")
+    if describe is not None:
+        good = good.unionByName(described(made.where("type = 'figure'"), describe))
+    slice_ = F.coalesce("table_index", F.lit(0))
+    good = good.withColumn("ord", F.row_number().over(Window.partitionBy("source").orderBy("pos", slice_))).drop("pos", "image")
+    bad = parsed.join(good.select("source").distinct(), "source", "left_anti").select("source", F.lit(0).alias("ord"), F.when(F.col("items").isNull(), "the file holds no layout items").otherwise("no usable content").alias("error"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 def caption() -> Column:
     one = lambda c: F.nullif(T.normalize_caption(F.array_join(F.filter(c, lambda x: x != ""), " ")), F.lit(""))
     return F.coalesce(*[one(F.col(c)) for c in ("table_caption", "chart_caption", "image_caption")], F.lit(""))

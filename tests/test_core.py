@@ -201,10 +201,11 @@ def test_oversized_and_recursive(spark):
     assert all(len(p) <= 300 for p in parts.r)
 
 
-def test_fingerprint_ignores_order_only(spark):
-    rows = [("a", 1, "x"), ("a", 2, "y"), ("b", None, "z")]
-    f = lambda r: evaluation.fingerprint(spark.createDataFrame(r, "source string, page int, content string"), ["source", "page"]).first()
-    assert f(rows) == f(rows[::-1]) and f(rows) != f([("a", 1, "y"), *rows[1:]]) and f(rows) != f([("a", 3, "x"), *rows[1:]])
+def test_fingerprint_follows_chunks_and_their_order(spark):
+    rows = [("a", 1, 1, "x"), ("a", 2, 2, "y"), ("b", 1, None, "z")]
+    f = lambda r: evaluation.fingerprint(spark.createDataFrame(r, "source string, ord int, page int, content string"), ["ord"], ["source", "page"]).first()
+    assert f(rows) == f(rows[::-1]) and f(rows).chunks == 3
+    assert len({f(r).fingerprint for r in (rows, [("a", 1, 1, "y"), *rows[1:]], [("a", 1, 3, "x"), *rows[1:]], [("a", 2, 1, "x"), ("a", 1, 2, "y"), rows[2]], rows[:2])}) == 5
 
 
 def test_html_spans():
@@ -220,3 +221,166 @@ def test_rerank_rejects_bad_scores(spark):
     with pytest.raises(Exception, match="finite"):
         rerank(hits, F.col("s")).collect()
     assert T.WORD
+
+
+LONG = "这是一份足够长的文本文件内容，用来测试构建与增量更新流程。"
+
+
+def test_build_scenarios(spark, tmp_path):
+    """Cache, fingerprints, only, max_files, failures, layout files and their breaker, interrupted writes."""
+    docs, idx = tmp_path / "docs", store.Store(spark, str(tmp_path / "index"))
+    docs.mkdir()
+    for n in "ab":
+        (docs / f"{n}.txt").write_text(LONG + n, encoding="utf-8")
+    item = {"type": "text", "text": LONG, "page_idx": 0}
+    (docs / "p.json").write_text(json.dumps([item, {"type": "image", "page_idx": 0, "img_path": "data:image/png;base64,cG5n", "image_caption": ["图 一"]}]), encoding="utf-8")
+    seen = []
+
+    def parse(source, content):
+        (tmp_path / f"seen-{source}").write_text("x")
+        return files.read_text(source, content)
+
+    parse.fingerprint = "counted"
+    reg = files.Registry({".txt": parse})
+    figures = lambda images, prompts: [f"{p}:{len(i)}" for i, p in zip(images, prompts, strict=True)]
+    build = lambda **how: pipeline.build(spark, str(docs), idx, registry=reg, describe=figures, **how)
+    assert build().processed == ["a.txt", "b.txt", "p.json"]
+    assert {(r.source, r.type, r.content[:3]) for r in idx.chunks().collect()} >= {("p.json", "figure", "图一\n")}
+    for n in "ab":
+        (tmp_path / f"seen-{n}.txt").unlink()
+    assert build().processed == ["a.txt", "b.txt", "p.json"] and not list(tmp_path.glob("seen-*"))  # from the cache
+    (docs / "a.txt").write_text(LONG + "new a", encoding="utf-8")
+    (docs / "b.txt").write_bytes(b"\xff")
+    out = build(incremental_=True)
+    assert out.processed == ["a.txt"] and list(out.failed) == ["b.txt"]
+    assert {r.content for r in idx.chunks().where("source <> 'p.json'").collect()} == {LONG + "new a", LONG + "b"}
+    (docs / "b.txt").write_text(LONG + "new b", encoding="utf-8")
+    (docs / "c.txt").write_text(LONG + "c", encoding="utf-8")
+    assert build(incremental_=True, max_files=1) == pipeline.Outcome()
+    assert build(incremental_=True, only=["c.txt", "c.txt"]).processed == ["c.txt"]
+    other = pipeline.Chunker(settings=pipeline.SplitSettings(min_chars=5))
+    with pytest.raises(ValueError, match="settings"):
+        build(incremental_=True, only=["a.txt"], chunker=other)
+    assert build(incremental_=True, chunker=other).processed == ["a.txt", "b.txt", "c.txt", "p.json"]  # other settings: a full build
+    assert len([n for n in os.listdir(tmp_path / "index") if n.startswith("v")]) == 2
+    for n in "xyz":
+        (docs / f"{n}.json").write_text("no json")
+    with pytest.raises(RuntimeError, match="in a row"):
+        build(incremental_=True, chunker=other)
+    idx.begin_write()
+    with pytest.raises(RuntimeError):
+        build(incremental_=True)
+    idx.discard()
+    assert idx.current() == {} and not seen
+    with pytest.raises(ValueError):
+        idx.publish(spark.createDataFrame([], "source string"), spark.createDataFrame([], "source string, digest string"), "f")
+
+
+def test_semantic_build(spark, tmp_path):
+    """Blocks cut where their sentences change, headings moved to what follows, in the order of classes."""
+    one, two = "甲一句话写得足够长以便保留下来使用。", "乙两句话说的是完全不同的另一件事情，而且它也写得足够长。"
+    rows = [("a", 1, one + one + two + "（三）推进应用。", "text", None), ("a", 2, "后面的正文同样要写得足够长才能够保留下来。", "text", None), ("a", 3, "| t |", "table", "table"), ("a", 4, "短", "text", None)]
+    df = spark.createDataFrame(rows, "source string, ord int, content string, type string, block_kind string")
+    embed = lambda c: F.when(F.contains(c, F.lit("乙")) | F.contains(c, F.lit("（三）")), F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))
+    got = pipeline.Chunker(embed, "fake", pipeline.SplitSettings(threshold=60.0, buffer=0)).split(df).orderBy("ord").collect()
+    assert [(r.ord, r.type) for r in got] == [(i + 1, "text") for i in range(len(got) - 1)] + [(len(got), "table")]
+    assert [r.content.strip() for r in got] == [f"{one} {one}", two, "（三）推进应用。" + rows[1][2], "| t |"]
+    assert pipeline.Chunker(embed, "fake").fingerprint != pipeline.Chunker(embed, "other").fingerprint
+
+
+def test_figures_one_by_one(spark):
+    rows = spark.createDataFrame([("a", bytearray(b"1"), "甲"), ("a", bytearray(b"bad"), None), ("a", bytearray(b"22"), None)], "source string, image binary, caption string").repartition(1)
+
+    def describe(images, prompts):
+        if any(i == b"bad" for i in images):
+            raise ValueError("bad image")
+        return [f"说明 {len(i)}" for i in images]
+
+    assert sorted(r.content for r in layout.described(rows, describe).collect()) == ["甲\n说明 1", "说明 2"]
+
+
+def test_store_parts(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    v = spark.createDataFrame([(1, "a b", [1.0]), (2, "c", [2.0])], "id int, source string, embedding array<double>")
+    s.replace_vectors(v)
+    s.add_vectors(spark.createDataFrame([(3, "d", [3.0])], v.schema))
+    s.delete_sources(["a b", "none"])
+    assert sorted(r.id for r in s.vectors().collect()) == [2, 3]
+    with pytest.raises(ValueError):
+        s.replace_vectors(v.where("false"))
+    s.write_report("r", {"a": 1})
+    s.write_report("r", {"a": 2})
+    (tmp_path / "s" / "bad.json").write_text("{")
+    assert s.read_report("r") == {"a": 2} and s.read_report("bad") == {} == s.read_report("none")
+    chunks = spark.createDataFrame([("a", 1, "text", "正文", 2, None), ("b", 1, "table", "| x |", None, 7)], "source string, ord int, type string, content string, page int, line_start int")
+    for kind in ("json", "jsonl", "csv", "md"):
+        store.export(chunks, str(tmp_path / kind), kind)
+    read = lambda k: "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / k).glob("part-*")))
+    assert {json.loads(x)["content"] for x in read("jsonl").splitlines()} == {"正文", "| x |"} and "line_end" not in read("json")
+    assert read("csv").splitlines()[0] == "﻿source,page,type,content,line_start"
+    assert "## a（1 chunks）" in read("md") and "### [1] 第2页（正文）" in read("md")
+
+
+def test_bm25_by_hand(spark):
+    """Against the formula in Python, by told terms and by an exchange, with repeated and unknown words."""
+    import math
+    from collections import Counter
+
+    from quarry.operators import retrieval as R
+
+    docs_ = {1: "a b a c", 2: "b c", 3: "", 4: "a a a a d"}
+    qs = {1: "a b b", 2: "zz", 3: "d c"}
+    d = spark.createDataFrame(list(docs_.items()), "doc_id int, text string")
+    q = spark.createDataFrame(list(qs.items()), "qid int, query string")
+    tok = {i: t.split() for i, t in docs_.items()}
+    avg = sum(map(len, tok.values())) / 4
+    want = {}
+    for qid, text in qs.items():
+        for i, t in tok.items():
+            s = 0.0
+            for w in text.split():
+                df = sum(w in x for x in tok.values())
+                tf = Counter(t)[w]
+                s += math.log((4 - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avg)) if tf else 0
+            if s:
+                want[qid, i] = round(s, 6)
+    for most in (10_000, 1):
+        R.MOST_TERMS, old = most, R.MOST_TERMS
+        try:
+            got = {(r.qid, r.id): r.score for r in R.bm25(d, q).collect()}
+        finally:
+            R.MOST_TERMS = old
+        assert got == pytest.approx(want)
+
+
+def test_alignment_both_ways(spark):
+    a = spark.createDataFrame([(1, "能源 规划\n纲要的一段足够长的文字"), (2, "不在其中的一段同样足够长的文字"), (3, "短句"), (4, "")], "qid int, annotation string")
+    c = spark.createDataFrame([("前文能源规划纲要的一段足够 长的文字后文",), ("有短句",)], "content string")
+    want = evaluation.alignment(a, c).collect()
+    assert want == evaluation.alignment(a, c, most=0, gram=6).collect() and want[0].aligned == 2
+
+
+def test_longest_common():
+    import random as rnd
+
+    rng = rnd.Random(1)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        prev = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(prev[j] + 1 if x == y else max(prev[j + 1], row[-1]))
+            prev = row
+        assert evaluation.longest_common(a, b) == prev[-1]
+
+
+def test_strategies_compared(spark):
+    from quarry.plans import chunker
+
+    blocks = spark.createDataFrame([("a", 1, "第一段。" * 60, "text", None), ("a", 2, "| t |", "table", "table")], "source string, ord int, content string, type string, block_kind string")
+    stats, metrics = evaluation.compared(blocks, {"block": chunker.by_block, "length": lambda b: chunker.by_length(b, 100, 20), "whole": chunker.Chunker().split}, lambda c: c.agg(F.count("*").alias("n")))
+    got = {r.strategy: (r.chunks, r.longest) for r in stats.collect()}
+    assert got["block"] == (1, 240) and got["whole"][0] == 2 and got["length"][0] > 2 and got["length"][1] <= 100
+    assert {r.strategy for r in metrics.collect()} == set(got)
+    assert chunking.cut_text("a" * 250, 100, 10) and max(map(len, chunking.cut_text("词，" * 400, 100, 10))) <= 100
