@@ -48,6 +48,7 @@ class Chunker:
             many = sents.withColumn("n", n).where("n > 1")
             seen = C.sentence_windows(many, self.settings.buffer)
             cut = C.semantic_chunks(seen.withColumn("v", self.embed(F.col("embed")).cast("array<double>")), amount=self.settings.threshold)
+            cut = cut.where(T.strip(F.col("content")) != "")  # what follows a last sentence end; a heading must not move there
             cut = cut.select(F.col("block.source").alias("source"), F.col("block.ord").alias("ord"), F.col("chunk").alias("piece"), F.col("content").alias("_part"))
             rows = prose.join(cut, ["source", "ord"], "left").withColumn("piece", F.coalesce("piece", F.lit(0).cast("long"))).withColumn("content", F.coalesce("_part", "content")).drop("_part")
         rows = rows.withColumn("_at", F.struct("ord", "piece"))
