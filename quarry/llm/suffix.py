@@ -23,6 +23,7 @@ their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import zstandard
@@ -443,8 +444,8 @@ def _cut(packed: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     return marked.select("ids", "lens", "data", "starts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = 10_000) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one for each input row. length: 33 to 64 bytes."""
+def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one for each input row. length: 33 to 64 bytes; hot: places of an anchor, of which each brings about 2 * length bytes into one task."""
     if not 33 <= length <= 64:
         raise ValueError("length must be from 33 to 64")
     spark = docs.sparkSession
@@ -460,9 +461,16 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     marks = written(_matched(_segments(packed.join(near, "gid"), buckets, length), length), "marks")
     # Key -1 in its bytes: the blocks that hold a hot anchor.
     is_hot = shared.where(F.exists(F.regexp_extract_all(F.hex("keys"), F.lit("(.{16})")), lambda k: k == "F" * 16))
-    if len(frequent.value) or not is_hot.isEmpty():
+    nothing = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    strings = []
+    if len(frequent.value):  # found in each block again, so that no block is exchanged for them
+        alone = packed.select("*", F.lit(None).cast("array<binary>").alias("pos"), F.lit(None).cast("array<binary>").alias("keys"))
+        strings.append(_hot_strings(alone, length, frequent))
+    if not is_hot.isEmpty():
         near = is_hot.groupBy("gid").agg(F.collect_list("pos").alias("pos"), F.collect_list("keys").alias("keys"))
-        strings = written(_hot_strings(packed.join(near, "gid", "left" if len(frequent.value) else "inner"), length, frequent), "strings")
+        strings.append(_hot_strings(packed.join(near, "gid"), length, nothing))
+    if strings:
+        strings = written(reduce(DataFrame.union, strings), "strings")
         # Only strings of several blocks need the others' first document.
         first = strings.groupBy("string").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("string", "first")
         late = strings.join(sent(written(first, "first")), "string", "left").select("gid", F.when(F.col("first") < F.col("doc"), F.col("pos")).otherwise(F.col("later")).alias("starts")).where(F.length("starts") > 0)
