@@ -289,12 +289,12 @@ class WordBpe:
 _coders: dict[str, WordBpe] = {}
 
 
-def coder(data: bytes) -> WordBpe:
+def coder(data: bytes, cache_words: int = 200_000) -> WordBpe:
     """One encoder for each worker process and file."""
-    name = hashlib.sha256(data).hexdigest()
+    name = f"{hashlib.sha256(data).hexdigest()}:{cache_words}"
     if name not in _coders:
         _coders.clear()
-        _coders[name] = WordBpe(data)
+        _coders[name] = WordBpe(data, cache_words)
     return _coders[name]
 
 
@@ -315,8 +315,8 @@ def _runs(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
         yield run
 
 
-def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), one for each input row; see the module for nulls and the rest."""
+def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 200_000) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), one for each input row; see the module for nulls and the rest. cache_words: words that a worker remembers, about 0.3 kB each."""
 
     small_batches(docs.sparkSession)
     file = _sent_file(docs, path)
@@ -324,7 +324,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         import pyarrow as pa
 
-        enc = coder(file.value)
+        enc = coder(file.value, cache_words)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = [x for part in _runs(texts) for x in enc.digests(part)]

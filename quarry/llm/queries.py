@@ -43,7 +43,7 @@ def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache_words=600_000)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
