@@ -352,21 +352,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # Buckets of two nodes at least, and these nodes; the smallest leads.
     shared = written(_banded(nodes).groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1").select("bucket", "lead"), "buckets")
     sweep(spark)
-    members = written(maybe_in(_banded(nodes), F.col("bucket"), shared, "bucket").join(shared, "bucket"), "members")
+    # One row for each node, with its buckets, BANDS at most: what is joined by node later are nodes, not their places in buckets.
+    members = maybe_in(_banded(nodes), F.col("bucket"), shared, "bucket").join(shared, "bucket")
+    members = written(members.groupBy("node").agg(F.collect_list(F.struct("bucket", "band", "lead")).alias("at")), "members")
     sweep(spark)
     discard(shared)
-    left = members.select("bucket", "band", "node", F.col("node").alias("comp"), "lead", F.col("lead").alias("lead_comp"))
+    # A leader is only tried where some bands agree; whatever that leaves out, the exhaustive step takes up.
+    bands = F.expr("filter(array_distinct(at.lead), x -> x <> node and size(filter(at.lead, y -> y = x)) >= 3)")
+    tried = members.select(F.explode(bands).alias("part"), F.col("node").alias("a"))
     links = None
     for k in range(rounds):
-        # A leader is only tried where some bands agree; whatever that leaves out, the exhaustive step takes up.
-        pairs = left.where("comp <> lead_comp").groupBy(F.col("lead").alias("part"), F.col("node").alias("a")).agg(F.count("*").alias("bands")).where("bands >= 3")
-        pairs = written(pairs.select("part", "a", F.array("part").alias("with")), "pairs")
+        pairs = written(tried.select("part", "a", F.array("part").alias("with")), "pairs")
         found = _confirmed(pairs, pairs.select("part", F.col("part").alias("node")).distinct(), docs, nodes, width, percent)
         links = found if links is None else links.union(found)
         label = written(components(links), "label")
-        now = written(members.drop("lead").join(label, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("comp")), "now")
+        now = members.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), F.inline("at"))
+        now = written(now.select("bucket", "band", "node", "comp"), "now")
         split = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("x")).where("lo <> hi")
         left = written(now.join(split.select("bucket", F.col("x.node").alias("lead"), F.col("x.comp").alias("lead_comp")), "bucket"), "left")
+        tried = left.where("comp <> lead_comp").groupBy(F.col("lead").alias("part"), F.col("node").alias("a")).agg(F.count("*").alias("bands")).where("bands >= 3")
         discard(pairs, now, label)
         sweep(spark)
     # A component's nodes are dealt over parts of about TILE.
