@@ -12,7 +12,8 @@ components: a pair at similarity 0.8 shares none with probability 5e-8). In each
 each other; linked ones are joined, and only buckets that still hold several components are compared again, with other leaders.
 What is left after the leaders' rounds are compared exhaustively across components: in tiles of bounded
 size where signatures rule out pairs far below the threshold (first by one bit of each component, then by whole components; either limit loses a pair at the threshold
-with probability 1e-8 at most, by the binomial tail, less than the bands do), then on full sets. Every link is confirmed on
+with probability 1e-8 at most, by the binomial tail, less than the bands do), then on full sets, where small components
+share parts, so that a text is asked for once a part and not once a component. Every link is confirmed on
 the full sets, recomputed from the texts. Groups come from distributed connected components.
 
 Defined results: a row with null or wordless text has an empty set (n_shingles 0), and is linked with nothing; so is a row with a null doc_id,
@@ -217,8 +218,8 @@ def _banded(nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, leads: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets have 100 * intersection >= percent * union, of rows (part, a, with: the b of one part) and leads (part, node: all b of a part, about TILE
-    at most). The b of a part are linked already, so one link for each a is enough.
+    """Pairs (a, b) whose sets have 100 * intersection >= percent * union, of rows (part, a, with: the b of one part) and leads (part, node, comp: all b of a part, about TILE
+    at most). The b of a part and component are linked already, so one link of each a to each of a part's components is enough.
 
     A part's a are dealt over blocks of about TILE texts; a task reads a part's b first, then meets the a one by one. Each text goes
     once to each block that needs it, not once a pair, and no other text is exchanged.
@@ -226,10 +227,10 @@ def _confirmed(pairs: DataFrame, leads: DataFrame, docs: DataFrame, nodes: DataF
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.groupBy("part", "a").agg(F.array_distinct(F.flatten(F.collect_list("with"))).alias("with"))  # at most a part's b
     sizes = pairs.groupBy("part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    follow = pairs.join(sizes, "part").select("part", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("j"), F.col("a").alias("node"), "with")
-    lead = leads.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", F.lit(None).cast("array<long>").alias("with"))
+    follow = pairs.join(sizes, "part").select("part", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("j"), F.col("a").alias("node"), "with", F.lit(None).cast("long").alias("comp"))
+    lead = leads.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", F.lit(None).cast("array<long>").alias("with"), "comp")
     asked = written(lead.union(follow).join(nodes.select("node", "first", "more"), "node"), "asked")
-    both = maybe_in(docs, F.col("doc_id"), asked, "first").join(asked, F.col("doc_id") == F.col("first")).select("part", "j", F.col("with").isNotNull().alias("role"), "node", "with", "more", "text")
+    both = maybe_in(docs, F.col("doc_id"), asked, "first").join(asked, F.col("doc_id") == F.col("first")).select("part", "j", F.col("with").isNotNull().alias("role"), "node", "with", "comp", "more", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -237,23 +238,24 @@ def _confirmed(pairs: DataFrame, leads: DataFrame, docs: DataFrame, nodes: DataF
         at, held = None, {}
         for batch in batches:
             out = [], []
-            for part, j, role, node, with_, more, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, j, role, node, with_, comp, more, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != (part, j):
                     at, held = (part, j), {}
                 s = shingles(text, width)
                 if set_id(s)[1] != more:  # another text of a repeated doc_id
                     continue
                 if not role:
-                    held[node] = s
+                    held[node] = s, comp
                     continue
+                linked = set()
                 for b in with_:
-                    t = held.get(b)
-                    if t is None or 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                    t, of = held.get(b, (None, None))
+                    if t is None or of in linked or 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
                         continue
                     common = len(np.intersect1d(s, t, assume_unique=True))
                     if 100 * common >= percent * (len(s) + len(t) - common):
                         out[0].append(node), out[1].append(b)
-                        break
+                        linked.add(of)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
         _numbers.clear()
         trim()
@@ -265,7 +267,8 @@ def _confirmed(pairs: DataFrame, leads: DataFrame, docs: DataFrame, nodes: DataF
 
 
 def _tiled(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (part, a, with: nodes b of that part) across components within a bucket whose signatures don't rule out a link; rows (bucket, band, node, comp, part, n, sig).
+    """Rows (part, a, with: nodes b of that part) across components within a bucket whose signatures don't rule out a link, and a row (part, a: b, no with, comp) for each b of
+    these; rows (bucket, band, node, comp, part, n, sig).
 
     A bucket is cut into blocks and each two blocks meet in one task, so none holds more than two blocks. A pair comes from the first
     of the bands that it shares only.
@@ -279,12 +282,13 @@ def _tiled(rows: DataFrame, percent: int) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def meet(i: int, j: int, band: int, block, node, comp, part, size, sig):
-        """(part, a): with, of one group."""
+        """(part, a): with, and (part, b): comp, of one group."""
         p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
         sp, sq = sig[p], sig[q]
         bp, bq = (np.packbits((x & 1).astype(np.uint8), axis=1).view(np.uint64) for x in (sp, sq))
         (pn, pc, pk, pp), (qn, qc, qk, qp) = ([x[k] for x in (node, comp, size, part)] for k in (p, q))
         out: dict[tuple[int, int], list[int]] = {}
+        leads: dict[tuple[int, int], int] = {}
         before = band * (SIZE // BANDS)
         for at in range(0, len(p), 64):
             s = slice(at, at + 64)
@@ -305,8 +309,10 @@ def _tiled(rows: DataFrame, percent: int) -> DataFrame:
                 x, y = x[good], y[good]
                 # The smaller component leads, so that both orders of two components meet in one part.
                 for u, cu, pu, v, cv, pv in zip(*(z.tolist() for z in (pn[x], pc[x], pp[x], qn[y], qc[y], qp[y])), strict=True):
-                    out.setdefault((pu, v) if cu < cv else (pv, u), []).append(u if cu < cv else v)
-        return out
+                    part_, c, b_, a_ = (pu, cu, u, v) if cu < cv else (pv, cv, v, u)
+                    out.setdefault((part_, a_), []).append(b_)
+                    leads[part_, b_] = c
+        return out, leads
 
     def run(batches):
         """Groups lie one after the other; none has over two blocks of rows."""
@@ -327,15 +333,37 @@ def _tiled(rows: DataFrame, percent: int) -> DataFrame:
             new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
             edges = [0, *(np.flatnonzero(new) + 1).tolist(), *ends]
             rest = [x[edges[-1] :].copy() for x in cols] if batch is not None else None
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for a, b in zip(edges, edges[1:], strict=False):
                 block, node, comp, part, size, sig = (cols[k][a:b] for k in (3, 5, 6, 7, 8, 9))
-                for (part_, x), with_ in meet(int(cols[1][a]), int(cols[2][a]), int(cols[4][a]), block, node, comp, part, size, sig).items():
-                    out[0].append(part_), out[1].append(x), out[2].append(with_)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["part", "a", "with"])
+                follow, leads = meet(int(cols[1][a]), int(cols[2][a]), int(cols[4][a]), block, node, comp, part, size, sig)
+                for (part_, x), with_ in follow.items():
+                    out[0].append(part_), out[1].append(x), out[2].append(with_), out[3].append(None)
+                for (part_, x), c in leads.items():
+                    out[0].append(part_), out[1].append(x), out[2].append(None), out[3].append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()) if k == 2 else pa.int64()) for k, x in enumerate(out)], names=["part", "a", "with", "comp"])
 
     dealt = rows.select("bucket", "i", "j", "block", "band", "node", "comp", "part", "n", "sig").repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "part long, a long, with array<long>")
+    return dealt.mapInArrow(run, "part long, a long, with array<long>, comp long")
+
+
+def _parts(left: DataFrame) -> DataFrame:
+    """node, part: nodes dealt over parts of about TILE; rows (bucket, size of the bucket, node, comp).
+
+    A large component has parts of its own. Small ones share parts with others whose largest bucket is the same: most of what a node meets in a bucket then lies in few parts,
+    where a part for each component would make nearly a row for each pair.
+    """
+    # Buckets of equal size and lower half share a name, which only joins their parts.
+    home = F.shiftleft("size", 32).bitwiseOR(F.col("bucket").bitwiseAND(F.lit(0xFFFFFFFF)))
+    ends = left.groupBy("node", "comp").agg(F.max(home).alias("home"))
+    comps = written(ends.groupBy("comp").agg(F.max("home").alias("home"), F.count("*").alias("n")), "comps")
+    pools = written(comps.where(F.col("n") <= TILE // 8).groupBy("home").agg(F.ceil(F.sum("n") / TILE).alias("pools")), "pools")
+    dealt = comps.join(sent(pools), "home", "left")
+    own = F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TILE)))
+    pool = F.xxhash64("home", F.pmod(F.xxhash64("comp"), F.col("pools")), F.lit("pool"))
+    parts = written(ends.drop("home").join(dealt, "comp").select("node", F.when(F.col("n") <= TILE // 8, pool).otherwise(own).alias("part")), "parts")
+    discard(comps, pools)
+    return parts
 
 
 def _then_none(batches):
@@ -363,24 +391,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = None
     for k in range(rounds):
         pairs = written(tried.select("part", "a", F.array("part").alias("with")), "pairs")
-        found = _confirmed(pairs, pairs.select("part", F.col("part").alias("node")).distinct(), docs, nodes, width, percent)
+        found = _confirmed(pairs, pairs.select("part", F.col("part").alias("node"), F.col("part").alias("comp")).distinct(), docs, nodes, width, percent)
         links = found if links is None else links.union(found)
         label = written(components(links), "label")
         now = members.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), F.inline("at"))
         now = written(now.select("bucket", "band", "node", "comp"), "now")
-        split = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("x")).where("lo <> hi")
-        left = written(now.join(split.select("bucket", F.col("x.node").alias("lead"), F.col("x.comp").alias("lead_comp")), "bucket"), "left")
+        split = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("x"), F.count("*").alias("size")).where("lo <> hi")
+        left = written(now.join(split.select("bucket", F.col("x.node").alias("lead"), F.col("x.comp").alias("lead_comp"), "size"), "bucket"), "left")
         tried = left.where("comp <> lead_comp").groupBy(F.col("lead").alias("part"), F.col("node").alias("a")).agg(F.count("*").alias("bands")).where("bands >= 3")
         discard(pairs, now, label)
         sweep(spark)
-    # A component's nodes are dealt over parts of about TILE.
-    ends = left.select("node", "comp").distinct()
-    parts = ends.join(ends.groupBy("comp").agg(F.ceil(F.count("*") / TILE).alias("blocks")), "comp").select("node", F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("part"))
-    parts = written(parts, "parts")
+    parts = _parts(left)
     rest = left.select("bucket", "band", "node", "comp").join(nodes.select("node", "n", "sig").join(parts, "node"), "node")
     pairs = written(_tiled(rest, percent), "pairs")
     if not pairs.isEmpty():
-        links = links.union(_confirmed(pairs, parts.select("part", "node"), docs, nodes, width, percent))
+        leads = pairs.where("with is null").select("part", F.col("a").alias("node"), "comp").distinct()
+        links = links.union(_confirmed(pairs.where("with is not null").select("part", "a", "with"), leads, docs, nodes, width, percent))
     label = written(components(links), "label")
     discard(members, left, parts, pairs)
     sweep(spark)

@@ -199,6 +199,31 @@ def test_near_duplicates_of_long_documents(spark):
     assert got == want
 
 
+def test_near_duplicates_asks_for_parts_not_pairs(spark, monkeypatch):
+    """Many texts that are alike, most of them not linked: the rows that ask for texts grow with nodes and parts, not with pairs, and no link is lost."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    rows = []
+    for i in range(200):
+        text = list(base)
+        for at in rng.sample(range(300), rng.randint(4, 9)):
+            text[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(text)))
+    asked, whole = [], minhash._confirmed
+
+    def confirmed(pairs, *how):
+        asked.append((pairs.select("part", "a").distinct().count(), pairs.select("a", F.explode("with")).distinct().count()))
+        return whole(pairs, *how)
+
+    monkeypatch.setattr(minhash, "_confirmed", confirmed)
+    want = brute_groups({i: shingle_set(t, 4) for i, t in rows})
+    assert 3 < len(set(want.values())) < 197
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert got == want
+    rows_made, pairs = asked[-1]
+    assert pairs > 5_000 and rows_made < 0.25 * pairs
+
+
 def test_near_duplicates_with_clashing_names(spark, monkeypatch):
     """Sets whose hashes agree in the first half stay apart."""
     rows = [(i, f"these are the words of text number {i} and of no other one {i * i}" if i % 5 else "the same words in every fifth text of this table") for i in range(40)]
