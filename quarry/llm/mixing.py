@@ -14,7 +14,7 @@ The driver holds one row for each membership pattern, never documents. Hash buck
 documents of one bucket range (about `region_rows` of them) of each pattern are put in order. There documents of one hash (rows with one key) are one entry with a number.
 
 Defined results: a null text has size 0; a null source is a source of its own (last in order); an empty source list counts as the null source; a document of size 0
-takes 0 words; rows with a null key are ordered by their text; repeated rows and ties count as documents of their own, of which any may be the ones taken once more; an empty table gives an empty table;
+takes 0 words, and where none of a pattern's documents has any all are taken once; rows with a null key are ordered by their text; repeated rows and ties count as documents of their own, of which any may be the ones taken once more; an empty table gives an empty table;
 other columns, whatever their names, are carried in one struct and can't clash.
 """
 
@@ -205,10 +205,10 @@ def mix(docs: DataFrame, weigh: Callable[[list], dict], sources: Column, key: Co
     bits = min(40, max(0, math.ceil(math.log2(max([4 * r.n / region_rows for r in sums], default=1) or 1))))
     rows_of, plan = {tuple(r.pattern): r.n for r in sums}, []
     for p in supply:
-        whole, rest = divmod(sum(n for _, n in routed[p]), supply[p]) if supply[p] else (0, 0)
+        whole, rest = divmod(sum(n for _, n in routed[p]), supply[p]) if supply[p] else (1, 0)  # without words: once, at no cost
         wide = min(1 << bits, max(1, -(-(region_rows << bits) // rows_of[p])))
         upto = np.cumsum([n for _, n in routed[p]]).tolist()
-        plan.append((list(p), int(whole), int(rest), int(wide), int(sizes[p[0]]), float(goal[p[0]]), [(s, u / upto[-1]) for (s, _), u in zip(routed[p], upto, strict=True)]))
+        plan.append((list(p), int(whole), int(rest), int(wide), int(sizes[p[0]]), float(goal[p[0]]), [(s, u / upto[-1]) for (s, _), u in zip(routed[p], upto, strict=True)] if supply[p] else [(p[0], 1.0)]))
     plan = spark.createDataFrame(plan, "pattern array<string>, whole int, rest long, wide long, source_size long, target double, shares array<struct<source string, upto double>>")
     # Both have one row a pattern.
     part = lambda: F.floor(F.shiftrightunsigned("h", 64 - bits) / F.col("wide")).cast("long") if bits else F.lit(0).cast("long")

@@ -535,6 +535,17 @@ def test_mixing_of_many_rows_with_one_key(spark):
     assert len(rows) == 20_200 and all(abs(taken[k] - target[k]) <= 3 for k in target)
 
 
+def test_mixing_of_sources_without_words(spark):
+    """Documents of a source that has no words at all are taken once, for that source, and cost nothing."""
+    rows = [(1, "some words", "a"), (2, "and more words", "b"), (3, "", None), (4, None, "c"), (5, " \t", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.size, r.target, r.taken, r.copies) for r in mixing.mix_documents(df).collect()}
+    assert [got[i] for i in (3, 4, 5)] == [(0, 0.0, 0, 1)] * 3
+    assert {3, 4, 5} <= {r.doc_id for r in mixing.mixed(df).collect()}
+    out = mixing.mix(df, mixing.cycle(), F.array("source"), F.col("doc_id"), mixing.words(F.col("text")), ["doc_id"]).collect()
+    assert {r.row.doc_id: r.counts_for for r in out if r.row.doc_id > 2} == {3: [None], 4: ["c"], 5: ["c"]}
+
+
 def test_flow_is_cheapest():
     got = mixing.flow({("a",): 10, ("a", "b"): 10, ("b",): 5}, {"a": 20, "b": 10})
     assert sum(n for (_, s), n in got.items() if s == "a") == 20
