@@ -60,6 +60,10 @@ def counts(text: str) -> np.ndarray:
     return total
 
 
+#: A small sample is gone over more often: after a few steps the languages with fewest rows are not learned, and their rows are rejected.
+LEAST_STEPS = 500
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -103,7 +107,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs: i
     used = order[len(rows) // 5 :] if len(rows) >= 20 else order
     emb = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     w, bias = np.zeros((dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    batch, steps = 16, epochs * -(-len(used) // 16)
+    batch, batches = 16, -(-len(used) // 16)
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
+    steps = epochs * batches
     step = 0
     for _ in range(epochs):
         rng.shuffle(used)

@@ -579,6 +579,16 @@ def test_language_rejection(spark):
     assert sum(model.predict(t)[2] for t in other) >= 2
 
 
+def test_language_id_of_few_rows(spark, docs):
+    """Of 200 clean documents nearly all are told right and accepted, and junk is still rejected."""
+    model = langid.train(docs, ~langid.held_out())
+    got = [(r.lang, *model.predict(r.text)) for r in docs.where("text is not null and lang is not null").collect()]
+    assert sum(r[0] == r[1] for r in got) >= 0.97 * len(got)
+    assert sum(r[3] for r in got) <= 0.03 * len(got)
+    rng = random.Random(5)
+    assert sum(model.predict("".join(rng.choice("qzxkwjvbgf0123 ") for _ in range(400)))[2] for _ in range(40)) >= 36
+
+
 def test_language_sample_is_bounded(spark):
     """Many rows of one sampled id, one language with most of the rows: the sample stays, and repeats of it change nothing."""
     rows = [(i % 40, f"les mots {i % 7} de la langue", "fr") for i in range(3_000)] + [(1_000 + i, f"the words {i} of the language", "en") for i in range(60)]
