@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, trim
+from quarry.llm.common import resident, small_batches, trim
 
 SPACE = regex.compile(r"\p{White_Space}+")
 #: Python's split() also splits at these; the tokenizer does not.
@@ -286,16 +286,9 @@ class WordBpe:
         return out
 
 
-_coders: dict[str, WordBpe] = {}
-
-
 def coder(data: bytes, cache_words: int = 200_000) -> WordBpe:
-    """One encoder for each worker process and file."""
-    name = f"{hashlib.sha256(data).hexdigest()}:{cache_words}"
-    if name not in _coders:
-        _coders.clear()
-        _coders[name] = WordBpe(data, cache_words)
-    return _coders[name]
+    """One encoder for each worker process and file, until another operator keeps something there."""
+    return resident(f"{hashlib.sha256(data).hexdigest()}:{cache_words}", lambda: WordBpe(data, cache_words))
 
 
 def _sent_file(df: DataFrame, path: str):

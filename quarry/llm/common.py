@@ -112,6 +112,21 @@ def trim() -> None:
         give_back(0)
 
 
+_resident: dict = {}
+
+
+def resident(key=None, make=None):
+    """What a Python worker keeps under this key for its next tasks, made if it is not there. Workers live on and serve all operators: what another one keeps goes first, and without a key
+    that is all, so that tables of one operator are held at a time."""
+    if key not in _resident:
+        if _resident:
+            _resident.clear()
+            trim()
+        if key is not None:
+            _resident[key] = make()
+    return _resident.get(key)
+
+
 def sweep(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files that nothing needs any more, and gives the driver's free memory back."""
     gc.collect()

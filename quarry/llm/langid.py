@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import small_batches, sweep, trim
+from quarry.llm.common import resident, small_batches, sweep, trim
 
 LETTER = regex.compile(r"\p{L}")
 BUCKETS = 1 << 14
@@ -164,6 +164,7 @@ def train(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str = "te
     def features(batches):
         import pyarrow as pa
 
+        resident()
         for batch in batches:
             ids, shares, langs, names = [], [], [], []
             for text, lang, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -199,6 +200,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches):
         import pyarrow as pa
 
+        resident()
         m = shared.value
         for batch in batches:
             got = [m.predict(t) for t in batch.column(2).to_pylist()]
@@ -222,6 +224,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches):
         import pyarrow as pa
 
+        resident()
         m = shared.value
         for batch in batches:
             yield batch.filter(pa.array([not m.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import components, discard, flagged, maybe_in, sent, small_batches, sweep, trim, written
+from quarry.llm.common import components, discard, flagged, maybe_in, resident, sent, small_batches, sweep, trim, written
 
 SIZE, BANDS = 128, 32
 STEP_BITS = 25
@@ -157,6 +157,7 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        resident()
         for batch in batches:
             ids, n, names, sigs = batch.column(0), [], [], []
             held: list[np.ndarray] = []
@@ -208,6 +209,7 @@ def _banded(nodes: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        resident()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -235,6 +237,7 @@ def _confirmed(pairs: DataFrame, leads: DataFrame, docs: DataFrame, nodes: DataF
     def run(batches):
         import pyarrow as pa
 
+        resident()
         at, held = None, {}
         for batch in batches:
             out = [], []
@@ -318,6 +321,7 @@ def _tiled(rows: DataFrame, percent: int) -> DataFrame:
         """Groups lie one after the other; none has over two blocks of rows."""
         import pyarrow as pa
 
+        resident()
         names = ("bucket", "i", "j", "block", "band", "node", "comp", "part", "n")
         rest = None
         for batch in _then_none(batches):

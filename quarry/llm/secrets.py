@@ -25,7 +25,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, trim
+from quarry.llm.common import resident, small_batches, trim
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -225,15 +225,9 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-_guessers: dict[int, Guesser] = {}
-
-
 def _guesser(rank) -> Guesser:
-    """One for each worker process and broadcast of ranks, and so its cache."""
-    if rank.id not in _guessers:
-        _guessers.clear()
-        _guessers[rank.id] = Guesser(rank.value)
-    return _guessers[rank.id]
+    """One for each worker process and broadcast of ranks, and so its cache, until another operator keeps something there."""
+    return resident(("guesser", rank.id), lambda: Guesser(rank.value))
 
 
 class _Ranks:

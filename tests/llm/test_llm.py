@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 
 import duckdb
@@ -872,3 +873,28 @@ def test_pipeline(spark, guesser):
     e = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
     text = {r.doc_id: r.text for r in rows}
     assert all(r.n_tokens == len(e.encode(text[r.doc_id])) for r in out[:40])
+
+
+def test_workers_keep_tables_of_one_operator():
+    """Workers live on: what one stage of the pipeline keeps must not lie beside the next one's work."""
+    import pyarrow as pa
+
+    class Caught:
+        def mapInArrow(self, run, schema):
+            return run
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        data = f.read()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words of a text"]})
+    held = weakref.ref(bpe.coder(data))
+    assert held() is not None and held() is bpe.coder(data)
+    assert [b.num_rows for b in minhash._described(Caught(), 5)(iter([batch]))] == [1]
+    assert held() is None
+
+    class Ranks:
+        id, value = 1, {"word": 1}
+
+    held = weakref.ref(secrets._guesser(Ranks))
+    assert held() is secrets._guesser(Ranks)
+    bpe.coder(data)
+    assert held() is None
