@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Context, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
@@ -79,7 +84,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b:
 
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The k best rows (qid, id, score) of each query with their rank; ties go to the lower id."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -87,23 +92,175 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def rounded(x: np.ndarray, digits: int = 6) -> np.ndarray:
+    """As Spark's round: half up of the shortest decimal form."""
+    unit = 10.0**digits
+    with np.errstate(all="ignore"):
+        out = np.rint(x * unit) / unit
+        near = np.isfinite(x) & ((np.abs(x * unit - np.floor(x * unit) - 0.5) < 1e-3) | (np.abs(x) > 1e8))
+    for i in np.flatnonzero(near):
+        at = Decimal(repr(float(x[i])))
+        out[i] = float(at.quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, Context(prec=400)))
+    return out
+
+
+def _by_id(ids: pa.Array) -> np.ndarray:
+    """The place of each id, nulls last; equal ids share one."""
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy()
+
+
+#: What rounding to six digits can move two scores towards each other, and a little more.
+SLACK = 1.1e-6
+
+
+class Best:
+    """The k best ids of each query among the pairs given so far, by the rounded score, then by id; null scores come last. Holds a bounded number of pairs, however many are given or tie."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.room, self.held, self.n = k, 2 * k * queries + 200_000, [], 0
+        #: Scores below a query's floor are not among its best.
+        self.floor = np.full(queries, -np.inf)
+
+    def add(self, q: np.ndarray, ids: pa.Array, scores: np.ndarray, null: bool = False) -> None:
+        self.held.append((q, ids, scores, np.full(len(q), null)))
+        self.n += len(q)
+        if self.n > self.room:
+            self.cut()
+
+    def cut(self) -> None:
+        q, scores, null = (np.concatenate([x[i] for x in self.held]) for i in (0, 2, 3))
+        ids = pa.concat_arrays([x[1] for x in self.held])
+        nan, r = np.isnan(scores), rounded(scores)
+        by_id = _by_id(ids)
+        order = np.lexsort((by_id, np.where(nan, 0.0, -r), ~nan, null, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        kept, last = order[place < self.k], order[place == self.k - 1]
+        last = last[~null[last] & ~nan[last]]
+        at = np.concatenate([x[0] for x in self.held])
+        self.floor[at[last]] = r[last] - SLACK
+        self.held, self.n = [(at[kept], ids.take(pa.array(kept)), scores[kept], null[kept])], len(kept)
+
+    def rows(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Queries, ids and scores as they were given."""
+        if not self.held:
+            return np.zeros(0, np.int64), None, None
+        self.cut()
+        q, ids, scores, null = self.held[0]
+        return q, ids, pa.array(scores, mask=null, from_pandas=False)
+
+
+def _vectors(column: pa.ListArray) -> tuple[np.ndarray, list]:
+    """The length of each list, -1 for null ones and those with a null; and (numbers of the rows, matrix) of each length."""
+    values, size = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    kind = np.where(column.is_null().to_numpy(zero_copy_only=False), -1, size)
+    if values.null_count:
+        gone = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+        kind = np.where(gone[ends] > gone[ends - size], -1, kind)
+    numbers = values.to_numpy(zero_copy_only=False)
+    groups = []
+    for n in np.unique(kind[kind >= 0]):
+        rows = np.flatnonzero(kind == n)
+        groups.append((int(n), rows, numbers[(ends - size)[rows][:, None] + np.arange(n)[None, :]].astype(np.float64)))
+    return kind, groups
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, added in dot's order."""
+    out = np.zeros(len(a))
+    with np.errstate(all="ignore"):
+        for j in range(a.shape[1]):
+            out = out + a[:, j] * b[:, j]
+    return out
+
+
+def _few_alike(rows: np.ndarray, x: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors the k rows of the least ids; more are not among the best of any query."""
+    if len(x) <= k or not x.shape[1]:
+        return rows, x
+    alike = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((_by_id(ids.take(pa.array(rows))), alike))
+    alike = alike[order]
+    kept = np.sort(order[np.arange(len(order)) - np.searchsorted(alike, alike, "left") < k])
+    return rows[kept], x[kept]
+
+
+#: Rows that are multiplied with a block of queries at a time, and pairs that are multiplied without screening.
+TILE, PAIRS = 512, 200_000
+
+
+def nearest(ids: pa.Array, e: pa.ListArray, v: pa.ListArray, k: int) -> Best:
+    """The k best of the rows (ids, e) for each of the vectors v. Products in single precision, with their error's bound, say which pairs to multiply as dot does."""
+    best = Best(len(v), k)
+    kind, groups = _vectors(e)
+    kinds, asked = _vectors(v)
+    for n, qs, q in asked:
+        rows, x = next(((r, m) for l, r, m in groups if l == n), (np.zeros(0, np.int64), np.zeros((0, n))))
+        rows, x = _few_alike(rows, x, ids, k)
+        usual_q, usual = ((np.abs(m) < 1e15).all(axis=1) for m in (q, x))  # not for those with NaN
+        a, b = x[usual].astype(np.float32), np.ascontiguousarray(q[usual_q].astype(np.float32).T)
+        mine, own = qs[usual_q], rows[usual]
+        norms = [np.sqrt((m * m).sum(axis=1)) for m in (x[usual], q[usual_q])]
+        slack = 2 * (n + 8) * 2.0**-24 * norms[0].max(initial=0.0) * norms[1] + SLACK
+        x64, q64 = x[usual], q[usual_q]
+        for at in range(0, len(a) if len(mine) else 0, TILE):
+            s = a[at : at + TILE] @ b
+            if not at and len(s) >= k:
+                best.floor[mine] = np.partition(s, len(s) - k, axis=0)[len(s) - k].astype(np.float64) - slack
+            r, c = np.nonzero(s >= (best.floor[mine] - slack).astype(np.float32))
+            for i in range(0, len(r), PAIRS):
+                ri, ci = r[i : i + PAIRS] + at, c[i : i + PAIRS]
+                best.add(mine[ci], ids.take(pa.array(own[ri])), _products(x64[ri], q64[ci]))
+        for some_q, some_x in ((~usual_q, np.ones(len(x), bool)), (usual_q, ~usual)):
+            left = np.flatnonzero(some_x)
+            step = max(1, PAIRS // max(1, int(some_q.sum())))
+            for at in range(0, len(left) if some_q.any() else 0, step):
+                ri, ci = (m.ravel() for m in np.meshgrid(left[at : at + step], np.flatnonzero(some_q), indexing="ij"))
+                best.add(qs[ci], ids.take(pa.array(rows[ri])), _products(x[ri], q[ci]))
+    # Vectors of another length, or with a null: a null score, of which the first k by id can matter.
+    by_id = None
+    for n in np.unique(kinds):
+        other = np.ones(len(kind), bool) if n < 0 else kind != n
+        if other.any():
+            by_id = np.argsort(_by_id(ids), kind="stable") if by_id is None else by_id
+            first = by_id[other[by_id]][:k]
+            for i in np.flatnonzero(kinds == n):
+                best.add(np.full(len(first), i), ids.take(pa.array(first)), np.zeros(len(first)), True)
+    return best
+
+
+#: Rows are dealt to parts of at least and at most so many, of which MANY are enough.
+LEAST_ROWS, MOST_ROWS, MANY = 2_048, 32_768, 64
+
+
 def dense(chunks: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (qid, id, score, rank): exact top k by inner product of unit vectors, queries (qid, v) against all rows.
 
-    Queries are counted; a block of at most QUERY_BLOCK goes to every task at a time and keeps k rows a query and task before the rows are exchanged.
+    Both sides are counted and dealt, rows to parts and queries to blocks of about QUERY_BLOCK; each part meets each block in one task, which keeps k rows a query. All pairs are multiplied, so the
+    work grows with rows times queries; what a task holds doesn't grow, and nothing goes to the driver.
     """
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k must be a positive integer")
-    rows = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).alias("e"))
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for i in range(blocks):
-        q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        scored = rows.crossJoin(F.broadcast(q.select("qid", "v"))).select("qid", "id", F.round(dot(F.col("e"), F.col("v")), 6).alias("score"))
-        part = top(scored, k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    n, m = chunks.count(), queries.count()
+    parts, blocks = max(-(-n // MOST_ROWS), min(MANY, -(-n // LEAST_ROWS)), 1), max(1, -(-m // QUERY_BLOCK))
+    tasks = min(parts * blocks, 2_000)
+    number = lambda c, df: F.col(c) if df.schema[c].dataType == S.ArrayType(S.FloatType(), df.schema[c].dataType.containsNull) else F.col(c).cast("array<double>")
+    deal = lambda c, by, n: F.pmod(F.xxhash64(c, F.lit(by)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = chunks.select(deal(id_col, "part", parts).alias("part"), every(blocks).alias("block"), F.col(id_col).alias("id"), number(vector_col, chunks).alias("e"))
+    asked = queries.select(every(parts).alias("part"), deal("qid", "block", blocks).alias("block"), "qid", number("v", queries).alias("v"))
+    kinds = S.StructType([S.StructField("qid", queries.schema["qid"].dataType), S.StructField("id", chunks.schema[id_col].dataType), S.StructField("score", S.DoubleType())])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        whole = lambda t, c: t[c].combine_chunks() if t.num_rows else pa.array([], t[c].type)
+        q, ids, scores = nearest(whole(left, "id"), whole(left, "e"), whole(right, "v"), k).rows() if left.num_rows and right.num_rows else (None, None, None)
+        if ids is None:
+            return pa.table({"qid": pa.array([], right["qid"].type), "id": pa.array([], left["id"].type), "score": pa.array([], pa.float64())})
+        return pa.table({"qid": whole(right, "qid").take(pa.array(q)), "id": ids, "score": scores})
+
+    dealt = [df.repartition(tasks, "part", "block").groupBy("part", "block") for df in (rows, asked)]
+    return top(dealt[0].cogroup(dealt[1]).applyInArrow(meet, kinds).withColumn("score", F.round("score", 6)), k)
 
 
 def first_of_each(hits: DataFrame, key: str = "key", pos: str = "pos", by: tuple[str, ...] = ("qid",)) -> DataFrame:

@@ -384,3 +384,38 @@ def test_strategies_compared(spark):
     assert got["block"] == (1, 240) and got["whole"][0] == 2 and got["length"][0] > 2 and got["length"][1] <= 100
     assert {r.strategy for r in metrics.collect()} == set(got)
     assert chunking.cut_text("a" * 250, 100, 10) and max(map(len, chunking.cut_text("词，" * 400, 100, 10))) <= 100
+
+
+def test_dense_deals_rows_and_queries(spark, monkeypatch):
+    """Odd vectors, ties and several blocks, against sums in Python; no task meets all rows or all queries."""
+    import math
+    import random as rnd
+
+    from quarry.operators import retrieval as R
+
+    rng = rnd.Random(3)
+    vectors = [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in range(120)]
+    for at, odd in ((5, None), (17, [1.0]), (40, [1.0, None, 0.0]), (41, [math.nan] * 3), (90, [1e30, 0.0, 0.0]), (91, [])):
+        vectors[at] = odd
+    asked = {1: [1.0, 2.0, -1.0], 2: [0.0, 0.1, 0.0], 3: None, 4: [1e25, 1.0, 0.0], 5: [2.0], 6: [0.1234565, 0.0, 0.0], 7: [0.0] * 3}
+    want = []
+    for qid, v in asked.items():
+        found = []
+        for i, e in enumerate(vectors):
+            if v is None or e is None or len(e) != len(v) or None in e:
+                found.append((1, False, 0.0, i, None))
+            else:
+                s = 0.0
+                for x, y in zip(e, v, strict=True):
+                    s += x * y
+                s = float(R.rounded(R.np.array([s]))[0])
+                found.append((0, s == s, 0.0 if s != s else -s, i, s))
+        want += [(qid, i, repr(s), k) for k, (*_, i, s) in enumerate(sorted(found, key=lambda x: x[:4])[:9], 1)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame(list(asked.items()), "qid int, v array<double>")
+    for name, to in (("QUERY_BLOCK", 2), ("LEAST_ROWS", 20), ("TILE", 8), ("PAIRS", 50)):
+        monkeypatch.setattr(R, name, to)
+    got = R.dense(rows, queries, k=9)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "Cartesian" not in plan
+    assert sorted((r.qid, r.id, repr(None if r.score is None else r.score + 0.0), r["rank"]) for r in got.collect()) == sorted((q, i, s.replace("-0.0", "0.0") if s == "-0.0" else s, k) for q, i, s, k in want)
