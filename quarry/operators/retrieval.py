@@ -30,8 +30,8 @@ def corpus_stats(chunks: DataFrame, tokenizer: Callable[[Column], Column] = T.to
     return chunks.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.size(tokenizer(F.coalesce(F.col(text_col), F.lit(""))))), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
 
 
-#: Query terms up to this many are told to every task; with more, postings meet them by an exchange.
-MOST_TERMS = 10_000
+#: Query terms, rows of them, and terms times queries up to so many are told to every task; with more, postings meet them by an exchange.
+MOST_TERMS, MOST_TOLD, MOST_CELLS = 10_000, 200_000, 4_000_000
 
 
 def query_terms(queries: DataFrame, tokenizer: Callable[[Column], Column] = T.tokens, qid_col: str = "qid", query_col: str = "query") -> DataFrame:
@@ -39,17 +39,32 @@ def query_terms(queries: DataFrame, tokenizer: Callable[[Column], Column] = T.to
     return queries.select(F.col(qid_col).alias("qid"), F.explode(tokenizer(F.coalesce(F.col(query_col), F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def wanted_postings(chunks: DataFrame, terms: list[str], tokenizer: Callable[[Column], Column] = T.tokens, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings (id, term, tf, dl) of these terms only, and their statistics (term, df, total): a null term has the number of chunks and the sum of their lengths.
+def by_name(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    A chunk's tokens are cut, filtered and counted inside its row; nothing but counts is exchanged.
-    """
-    toks = chunks.select(F.col(id_col).alias("id"), tokenizer(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    held = toks.select("id", F.size("t").cast("long").alias("dl"), F.filter("t", lambda x: x.isin(terms)).alias("h") if terms else F.array().cast("array<string>").alias("h"))
-    counted = F.transform(F.array_distinct("h"), lambda x: F.struct(x.alias("term"), F.size(F.filter("h", lambda y: y == x)).cast("long").alias("tf")))
-    post = held.where(F.size("h") > 0).select("id", "dl", F.explode(counted).alias("x")).select("id", "x.term", "x.tf", "dl")
-    stats = held.select("dl", F.explode(F.concat(F.array_distinct("h"), F.array(F.lit(None).cast("string")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
-    return post, stats
+
+#: Ids of several chunks up to this many are told to every task.
+MOST_REPEATED = 100_000
+
+
+def by_repetition(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows (id, text) of the chunks that have their id alone, and of the others; None for what there is not. Where very many ids repeat, all chunks are among the others."""
+    rows = by_name(chunks, id_col, text_col)
+    again = rows.groupBy(F.col("id").alias("other")).agg(F.count("*").alias("n")).where("n > 1").select("other")
+    n = again.limit(MOST_REPEATED + 1).count()
+    if n > MOST_REPEATED:
+        return None, rows
+    same = F.col("id").eqNullSafe(F.col("other"))
+    return (rows.join(F.broadcast(again), same, "left_anti"), rows.join(F.broadcast(again), same, "left_semi")) if n else (rows, None)
+
+
+def cut(rows: DataFrame, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    return rows.select("id", tokenizer(F.coalesce("text", F.lit(""))).alias("t"))
+
+
+def merged(rows: DataFrame, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    """Postings (id, term, tf, dl) of chunks that share ids, which count as one chunk with the length of the longest."""
+    return cut(rows, tokenizer).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
 def scored(post: DataFrame, stats: DataFrame, q: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -66,22 +81,96 @@ def scored(post: DataFrame, stats: DataFrame, q: DataFrame, k1: float = 1.5, b:
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, tokenizer: Callable[[Column], Column] = T.tokens, id_col: str = "doc_id", text_col: str = "text", qid_col: str = "qid", query_col: str = "query") -> DataFrame:
     """Rows (qid, id, score, rank): the k best chunks of each query; a term that a query repeats counts as often; ties go to the lower id.
 
-    Chunks lose all tokens but the queries' inside their rows; what is left meets the queries by term, and contributions are summed for each query and chunk before anything is ranked.
+    Chunks are scored for all queries inside their rows, and each task keeps k chunks a query. With more terms than can be told, postings meet the queries by term, and contributions are summed for
+    each query and chunk before anything is ranked. Chunks that share an id count as one with all their tokens.
     """
     if k < 1:
         raise ValueError("k must be positive")
+    if k1 <= 0 or not 0 <= b <= 1:
+        raise ValueError("k1 must be positive and b between 0 and 1")
     q = query_terms(queries, tokenizer, qid_col, query_col)
-    terms = [r.term for r in q.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-    if len(terms) <= MOST_TERMS:
-        post, stats = wanted_postings(chunks, terms, tokenizer, id_col, text_col)
-        stats, q = F.broadcast(stats), q  # at most MOST_TERMS + 1 rows
-    else:
-        post = postings(chunks, tokenizer, id_col, text_col).join(q.select("term").distinct(), "term", "left_semi")
-        whole = corpus_stats(chunks, tokenizer, text_col).select(F.lit(None).cast("string").alias("term"), F.col("n").alias("df"), (F.col("n") * F.col("avgdl")).alias("total"))
-        stats = post.groupBy("term").agg(F.count("*").alias("df"), F.lit(None).cast("double").alias("total")).union(whole)
+    told = q.limit(MOST_TOLD + 1).collect()
+    terms, qids = sorted({r.term for r in told if r.term is not None}), list(dict.fromkeys(r.qid for r in told))
+    alone, again = by_repetition(chunks, id_col, text_col)
+    if alone is not None and len(told) <= MOST_TOLD and len(terms) <= MOST_TERMS and len(terms) * len(qids) <= MOST_CELLS:
+        return top(_scored_in_rows(alone, again, q, told, terms, qids, k, k1, b, tokenizer), k)
+    post = postings(chunks, tokenizer, id_col, text_col).select("id", "term", "tf", "dl") if again is None else merged(by_name(chunks, id_col, text_col), tokenizer)
+    post = post.join(q.select("term").distinct(), "term", "left_semi")
+    whole = corpus_stats(chunks, tokenizer, text_col).select(F.lit(None).cast("string").alias("term"), F.col("n").alias("df"), (F.col("n") * F.col("avgdl")).alias("total"))
+    stats = post.groupBy("term").agg(F.count("*").alias("df"), F.lit(None).cast("double").alias("total")).union(whole)
     return top(scored(post, stats, q, k1, b), k)
 
 
+#: Chunks whose tokens are looked up at a time, and scores held at a time.
+LOOKED_UP, SCORES = 1_000, 200_000
+
+
+def _held(batches, terms: list[str]):
+    """(ids, lengths, chunk, term, tf) of batches (id, t): numbers of chunks and terms, by chunk, and how often it holds the term."""
+    wanted = pa.array(terms, pa.string())
+    for batch in batches:
+        for at in range(0, batch.num_rows, LOOKED_UP):
+            ids, toks = batch.slice(at, LOOKED_UP).columns
+            size = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = pc.fill_null(pc.index_in(toks.flatten().cast(pa.string()), value_set=wanted), -1).to_numpy(zero_copy_only=False)
+            key = (np.repeat(np.arange(len(size)), size) * max(1, len(terms)) + place)[place >= 0]
+            key, tf = np.unique(key, return_counts=True)
+            yield ids, size, *np.divmod(key, max(1, len(terms))), tf
+
+
+def _scored_in_rows(alone: DataFrame, again: DataFrame | None, q: DataFrame, told: list, terms: list[str], qids: list, k: int, k1: float, b: float, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    """Rows (qid, id, score), the k best of each query and task at least: a chunk is scored for all queries where it is read, once the terms' frequencies are known.
+
+    Chunks that share ids (again) are scored by an exchange, as one.
+    """
+
+    def count(batches):
+        df, n, total = np.zeros(len(terms), np.int64), 0, 0
+        for _, size, _, term, _ in _held(batches, terms):
+            df += np.bincount(term, minlength=len(terms))
+            n, total = n + len(size), total + int(size.sum())
+        yield pa.RecordBatch.from_pydict({"at": pa.array(range(-2, len(terms)), pa.int32()), "n": pa.array([n, total, *df.tolist()], pa.int64())})
+
+    counts = {r["at"]: r.n for r in cut(alone, tokenizer).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    n, total, df = counts.get(-2, 0), counts.get(-1, 0), np.array([counts.get(i, 0) for i in range(len(terms))], np.float64)
+    if again is not None:
+        post = merged(again, tokenizer).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
+        number = {t: i for i, t in enumerate(terms)}
+        for r in post.groupBy("term").agg(F.count("*").alias("n")).collect():
+            df[number[r.term]] += r.n
+        more = cut(again, tokenizer).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("t").cast("long")), F.lit(0)).alias("total")).first()
+        n, total = n + more.n, total + more.total
+    mean = total / max(n, 1)
+    number, place = {t: i for i, t in enumerate(terms)}, {x: i for i, x in enumerate(qids)}
+    weights = [(number[r.term], place[r.qid], r.qtf) for r in told if r.term is not None]
+
+    def find(batches):
+        best, table = Best(len(qids), k), np.zeros((len(terms), len(qids)))
+        if weights:
+            i, j, qtf = (np.array(x) for x in zip(*weights, strict=True))
+            table[i, j] = np.log((n - df[i] + 0.5) / (df[i] + 0.5) + 1) * (k1 + 1) * qtf
+        step = max(1, SCORES // max(1, len(qids)))
+        for ids, size, chunk, term, tf in _held(batches, terms):
+            weight = tf / (tf + k1 * (1 - b + b * size[chunk] / (mean or 1)))
+            rows, starts = np.unique(chunk, return_index=True)
+            ends = np.append(starts[1:], len(chunk))
+            for at in range(0, len(rows), step):
+                s = np.stack([weight[x:y] @ table[term[x:y]] for x, y in zip(starts[at : at + step], ends[at : at + step], strict=True)])
+                r, c = np.nonzero((s > 0) & (s >= best.floor))
+                best.add(c, ids.take(pa.array(rows[at + r])), s[r, c])
+        at, ids, scores = best.rows()
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), ids, scores], ["at", "id", "score"])
+
+    kinds = S.StructType([S.StructField("at", S.IntegerType()), S.StructField("id", alone.schema["id"].dataType), S.StructField("score", S.DoubleType())])
+    names = alone.sparkSession.createDataFrame(list(enumerate(qids)), S.StructType([S.StructField("at", S.IntegerType()), S.StructField("qid", q.schema["qid"].dataType)]))
+    found = cut(alone, tokenizer).mapInArrow(find, kinds).join(F.broadcast(names), "at").select("qid", "id", F.round("score", 6).alias("score")).where("score > 0")
+    if again is None:
+        return found
+    stats = alone.sparkSession.createDataFrame([(t, int(x), None) for t, x in zip(terms, df, strict=True) if x] + [(None, n, float(total))], "term string, df long, total double")
+    return found.unionByName(scored(post, F.broadcast(stats), q, k1, b).select("qid", "id", "score"))
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The k best rows (qid, id, score) of each query with their rank; ties go to the lower id."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_last("id"))

@@ -419,3 +419,30 @@ def test_dense_deals_rows_and_queries(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "Cartesian" not in plan
     assert sorted((r.qid, r.id, repr(None if r.score is None else r.score + 0.0), r["rank"]) for r in got.collect()) == sorted((q, i, s.replace("-0.0", "0.0") if s == "-0.0" else s, k) for q, i, s, k in want)
+
+
+ODD_DOCUMENTS = [(1, "a b a c"), (2, "b c"), (3, None), (5, "a b a c"), (5, "a b a c"), (4, "a b a c"), (6, "d, D e-f"), (None, "a a a a d"), (7, "x"), (7, "x"), (8, "")]
+
+
+def odd_db():
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", ODD_DOCUMENTS)
+    return c
+
+
+@pytest.mark.parametrize("most", [{}, {"MOST_TERMS": 1}, {"MOST_REPEATED": 0}, {"LOOKED_UP": 2, "SCORES": 1}])
+def test_bm25_of_odd_rows_agrees_with_sql(spark, monkeypatch, most):
+    """Chunks that share an id count as one; a chunk without an id comes last among ties. Scores are made inside the rows where the terms can be told."""
+    from quarry.operators import retrieval as R
+
+    for name, to in most.items():
+        monkeypatch.setattr(R, name, to)
+    questions = [(1, "a b b"), (2, "zz"), (3, "d c"), (4, "x"), (5, "")]
+    c = odd_db()
+    c.execute("CREATE TABLE questions (qid INT, query VARCHAR)")
+    c.executemany("INSERT INTO questions VALUES (?, ?)", questions)
+    want = sorted(c.execute(f"WITH {catalog.BM25} SELECT qid, id, score, rank FROM sparse").fetchall(), key=repr)
+    got = R.bm25(spark.createDataFrame(ODD_DOCUMENTS, "doc_id long, text string"), spark.createDataFrame(questions, "qid int, query string"))
+    assert ("MapInArrow" in got._jdf.queryExecution().executedPlan().toString()) == (not {"MOST_TERMS", "MOST_REPEATED"} & set(most))
+    assert sorted((tuple(map(plain, r)) for r in got.select("qid", "id", "score", "rank").collect()), key=repr) == [tuple(map(plain, r)) for r in want]
