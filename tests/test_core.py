@@ -446,3 +446,22 @@ def test_bm25_of_odd_rows_agrees_with_sql(spark, monkeypatch, most):
     got = R.bm25(spark.createDataFrame(ODD_DOCUMENTS, "doc_id long, text string"), spark.createDataFrame(questions, "qid int, query string"))
     assert ("MapInArrow" in got._jdf.queryExecution().executedPlan().toString()) == (not {"MOST_TERMS", "MOST_REPEATED"} & set(most))
     assert sorted((tuple(map(plain, r)) for r in got.select("qid", "id", "score", "rank").collect()), key=repr) == [tuple(map(plain, r)) for r in want]
+
+
+def test_hybrid_of_odd_rows_agrees_with_sql(spark, tmp_path):
+    """Chunks that share an id, and null and equal texts, in both branches and their fusion."""
+    import random as rnd
+
+    rng, c = rnd.Random(5), odd_db()
+    c.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO benchmark VALUES (?, ?)", [(1, "a b b"), (2, "x a"), (4, None), (8, "c d"), (99, "x")])
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?)", [(i, [float(rng.randint(-1, 1)) for _ in range(3)]) for i in range(60)])
+    for name in ("documents", "benchmark", "embeddings"):
+        c.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    q = c.execute(catalog.SQL["api1_hybrid_retrieve"])
+    cols = [x[0] for x in q.description]
+    want = sorted((tuple(map(plain, r)) for r in q.fetchall()), key=repr)
+    df = catalog.QUERIES["api1_hybrid_retrieve"](spark, str(tmp_path))
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((tuple(map(plain, r)) for r in df.select(*cols).collect()), key=repr) == want
