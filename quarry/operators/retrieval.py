@@ -25,6 +25,21 @@ def postings(chunks: DataFrame, tokenizer: Callable[[Column], Column] = T.tokens
     return toks.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def document_frequencies(chunks: DataFrame, tokenizer: Callable[[Column], Column] = T.tokens, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = True) -> DataFrame:
+    """Rows (term, df): in how many chunks each term is. Chunks that share an id count once; those without one count as one, or not if unnamed is false.
+
+    A task adds up its chunks before the exchange, which so has a row for each term and task.
+    """
+    n = F.count("*" if unnamed else "id").alias("df")
+    alone, again = by_repetition(chunks, id_col, text_col)
+    out = []
+    if alone is not None:
+        out.append(cut(alone, tokenizer).select("id", F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(n))
+    if again is not None:
+        out.append(cut(again, tokenizer).select("id", F.explode(F.array_distinct("t")).alias("term")).distinct().groupBy("term").agg(n))
+    return out[0] if len(out) == 1 else out[0].union(out[1]).groupBy("term").agg(F.sum("df").alias("df"))
+
+
 def corpus_stats(chunks: DataFrame, tokenizer: Callable[[Column], Column] = T.tokens, text_col: str = "text") -> DataFrame:
     """One row (n, avgdl): number of chunks and their mean length in tokens."""
     return chunks.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.size(tokenizer(F.coalesce(F.col(text_col), F.lit(""))))), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))

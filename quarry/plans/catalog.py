@@ -87,7 +87,7 @@ def _(spark, d):
 
 @add("agg3_document_frequency", f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term")
 def _(spark, d):
-    return R.postings(read(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"))
+    return R.document_frequencies(read(spark, d, "documents"), unnamed=False)
 
 
 BM25 = f"""post AS (SELECT doc_id AS id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len({TOKENS}) AS dl, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL),

@@ -144,7 +144,7 @@ def _(spark, d):
 @add("mth1_idf", f"WITH {K.BM25.split('dfs AS')[0]} dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM dfs, stats")
 def _(spark, d):
     docs = read(spark, d, "documents")
-    df = R.postings(docs).groupBy("term").agg(F.count("*").alias("df"))
+    df = R.document_frequencies(docs)
     return df.crossJoin(F.broadcast(R.corpus_stats(docs))).select("term", F.round(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("idf"))
 
 

@@ -465,3 +465,19 @@ def test_hybrid_of_odd_rows_agrees_with_sql(spark, tmp_path):
     df = catalog.QUERIES["api1_hybrid_retrieve"](spark, str(tmp_path))
     assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
     assert sorted((tuple(map(plain, r)) for r in df.select(*cols).collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("name", ["agg3_document_frequency", "mth1_idf"])
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_frequencies_of_odd_rows_agree_with_sql(spark, monkeypatch, tmp_path, name, most):
+    """Chunks that share an id count once; the exchange has terms, not chunks."""
+    from quarry.operators import retrieval as R
+
+    monkeypatch.setattr(R, "MOST_REPEATED", most)
+    c = odd_db()
+    c.execute("INSERT INTO documents VALUES (NULL, 'y a'), (NULL, 'z'), (5, 'other a')")
+    c.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    got = {tuple(map(plain, r)) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {tuple(map(plain, r)) for r in c.execute(catalog.SQL[name]).fetchall()}
+    plan = R.document_frequencies(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
