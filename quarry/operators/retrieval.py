@@ -19,10 +19,34 @@ from quarry.functions import text as T
 QUERY_BLOCK = 2_000
 
 
+def counted(t: Column) -> Column:
+    """(term, tf) of each distinct value of an array, by sorting it: nothing is exchanged, and the work is in proportion to the array."""
+
+    def starts(s):
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+
+    def lengths(x):
+        return F.transform(x["at"], lambda at, j: F.struct(F.get(x["s"], at).alias("term"), (F.coalesce(F.get(x["at"], j + 1), F.size(x["s"])) - at).cast("long").alias("tf")))
+
+    # Arrays of one give what they hold a name, so that it isn't computed anew for each element.
+    held = F.transform(F.array(F.sort_array(t)), lambda s: F.struct(s.alias("s"), F.when(F.size(s) > 0, starts(s)).otherwise(F.array().cast("array<int>")).alias("at")))
+    return F.transform(held, lengths)[0]
+
+
 def postings(chunks: DataFrame, tokenizer: Callable[[Column], Column] = T.tokens, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, term, tf, dl): how often each chunk holds each term, and the chunk's length in tokens."""
-    toks = chunks.select(F.col(id_col).alias("id"), tokenizer(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    return toks.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    """Rows (id, term, dl, tf): how often each chunk holds each term, and the chunk's length in tokens. Chunks that share their id and text count as one, with that length.
+
+    Tokens are counted inside the chunk's row; only chunks that share an id are exchanged.
+    """
+    alone, again = by_repetition(chunks, id_col, text_col)
+    out = None
+    if alone is not None:
+        out = cut(alone, tokenizer).select("id", F.size("t").cast("long").alias("dl"), F.explode(counted(F.col("t"))).alias("x")).select("id", "x.term", "dl", "x.tf")
+    if again is not None:
+        toks = again.select("id", F.sha2("text", 256).alias("same"), tokenizer(F.coalesce("text", F.lit(""))).alias("t"))
+        more = toks.select("id", "same", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term", "dl", "same").agg(F.count("*").alias("tf")).drop("same")
+        out = more if out is None else out.union(more)
+    return out
 
 
 def document_frequencies(chunks: DataFrame, tokenizer: Callable[[Column], Column] = T.tokens, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = True) -> DataFrame:

@@ -481,3 +481,30 @@ def test_frequencies_of_odd_rows_agree_with_sql(spark, monkeypatch, tmp_path, na
     assert got == {tuple(map(plain, r)) for r in c.execute(catalog.SQL[name]).fetchall()}
     plan = R.document_frequencies(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_postings_of_odd_rows_agree_with_sql(spark, monkeypatch, tmp_path, most):
+    """Chunks that share id and text count as one, others of the id apart; where ids differ, nothing is exchanged but the count of ids."""
+    from quarry.operators import retrieval as R
+
+    monkeypatch.setattr(R, "MOST_REPEATED", most)
+    c = odd_db()
+    c.execute("INSERT INTO documents VALUES (NULL, 'y a'), (NULL, 'y a'), (5, 'a q'), (5, 'a r'), (9, 'Z z-1 z 1')")
+    c.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    q = c.execute(catalog.SQL["agg1_term_frequency"])
+    cols = [x[0] for x in q.description]
+    got = catalog.QUERIES["agg1_term_frequency"](spark, str(tmp_path)).select(*cols).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(q.fetchall(), key=repr)
+    alone = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "c")], "doc_id long, text string")
+    post = R.postings(alone)
+    assert sorted(map(tuple, post.collect())) == [(1, "a", 3, 1), (1, "b", 3, 2), (4, "c", 1, 1)]
+    assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted(spark):
+    from quarry.operators import retrieval as R
+
+    rows = spark.createDataFrame([(1, ["b", None, "a", "b", None]), (2, []), (3, None), (4, ["x"] * 3)], "k int, t array<string>")
+    got = {r.k: r.n and [(x.term, x.tf) for x in r.n] for r in rows.select("k", R.counted(F.col("t")).alias("n")).collect()}
+    assert got == {1: [(None, 2), ("a", 1), ("b", 2)], 2: [], 3: [], 4: [("x", 3)]}
